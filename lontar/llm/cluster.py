@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a Python worker gets at once.
+RECORDS = 1000
 PACKAGE = Path(__file__).resolve().parent.parent
 
 
@@ -28,6 +30,8 @@ def prepare(spark: SparkSession) -> SparkSession:
         Path(archive).write_bytes(held.getvalue())
         sc.addPyFile(archive)
         sc._shipped_package = True
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > RECORDS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(RECORDS))  # texts can be long
     return spark
 
 
