@@ -1,9 +1,10 @@
 """Quality grades by cumulative-link regression on hashed text.
 
-Labelled documents have ordered grades: 0 low quality, 1 good but toxic, 2 good. One weight vector w
+Labelled documents have ordered grades: 0 toxic, 1 of low quality, 2 good. One weight vector w
 over hashed features and ordered thresholds t0 < t1 give P(grade <= j) = 1 / (1 + exp(w.x - tj)); the
-expected grade and the tail P(grade >= 2) follow, and the tail selects. The model is fitted on a
-bounded sample of labelled documents, whose features come from executors as hashes.
+expected grade and the tail P(grade >= 2) follow, and the tail selects. Words can only lower a grade,
+so that a long text doesn't outweigh what is wrong with it. The model is fitted on a bounded sample of
+labelled documents, whose features come from executors as hashes.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,11 +22,14 @@ from pyspark.sql import functions as F
 from .cluster import prepare
 
 BITS = 18
+MARKS = 1 << 13
 GRADES = 3
 #: Labelled documents that the model is fitted on, drawn by a hash of their ids.
 SAMPLE = 8000
 #: A feature needs so many documents of the sample.
 RAREST = 3
+#: Chi-square that a feature's presence needs with one of the grades.
+TELLING = 30.0
 KEEP = 0.5
 REMEMBERED = 250_000
 
@@ -33,7 +38,9 @@ _marks = (0.0, 0.01, 0.03, 0.08, 0.2, 0.4, 0.7)
 
 
 def bucket(name: str) -> int:
-    return xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+    """A word's bucket; what features() says of a text as a whole has the last MARKS buckets to itself."""
+    value = xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"))
+    return value % ((1 << BITS) - MARKS) if name.startswith("w ") else (1 << BITS) - MARKS + value % MARKS
 
 
 def shape(token: str) -> str:
@@ -90,6 +97,19 @@ def _mark(name: str, known: dict[str, int] = {}) -> int:  # noqa: B006
     return known[name]
 
 
+def telling(flat: np.ndarray, grade: np.ndarray, grades: np.ndarray) -> np.ndarray:
+    """Which features depend on a grade: by a chi-square of presence and grade, so that chance words of a few documents get no weight."""
+    size, n = 1 << BITS, float(len(grades))
+    every = np.bincount(flat, minlength=size).astype(np.float64)
+    out = np.zeros(size, bool)
+    for g in range(GRADES):
+        own, of = np.bincount(flat[grade == g], minlength=size).astype(np.float64), float((grades == g).sum())
+        spread = every * (n - every) * of * (n - of)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out |= np.where(spread > 0, n * (own * n - every * of) ** 2 / spread, 0) >= TELLING
+    return out & (every >= RAREST)
+
+
 class Ordinal:
     """Shared weights and ordered thresholds."""
 
@@ -101,12 +121,12 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
 
     @staticmethod
-    def fit(rows: list[np.ndarray], grades: np.ndarray, epochs: int = 30, batch: int = 128, rate: float = 0.05, decay: float = 2e-4, seed: int = 1) -> Ordinal:
+    def fit(rows: list[np.ndarray], grades: np.ndarray, epochs: int = 40, batch: int = 128, rate: float = 0.3, decay: float = 1e-3, seed: int = 1) -> Ordinal:
         size = 1 << BITS
         lengths = np.asarray([len(r) for r in rows])
         flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int32)
-        used = np.bincount(flat, minlength=size) >= min(RAREST, max(1, len(rows) // 50))
-        names = np.flatnonzero(used)
+        names = np.flatnonzero(telling(flat, np.repeat(grades, lengths), grades))
+        word = names < size - MARKS
         code = np.full(size, -1, np.int64)
         code[names] = np.arange(len(names))
         ids, owner = code[flat], np.repeat(np.arange(len(rows)), lengths)
@@ -133,6 +153,7 @@ class Ordinal:
                 g = np.bincount(x, slope[who], len(w)) / len(own) + decay * w
                 gw += g * g
                 w -= rate * g / np.sqrt(gw)
+                w[word] = np.minimum(w[word], 0)
                 d = np.zeros(GRADES - 1)
                 np.add.at(d, y[y < GRADES - 1], -(fu / p)[y < GRADES - 1] / len(own))
                 np.add.at(d, y[y > 0] - 1, (fd / p)[y > 0] / len(own))
@@ -148,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal |
     """A model of the labelled documents; None without any. Labels with nulls are not used."""
     spark = prepare(docs.sparkSession)
     good = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).dropna()
-    good = good.select("id", F.when(F.col("quality") < 1, 0).when(F.col("toxic") > 0, 1).otherwise(2).alias("grade")).groupBy("id").agg(F.min("grade").alias("grade"))
+    good = good.select("id", F.when(F.col("toxic") > 0, 0).when(F.col("quality") < 1, 1).otherwise(2).alias("grade")).groupBy("id").agg(F.min("grade").alias("grade"))
     drawn = good.orderBy(F.xxhash64("id", F.lit(29)), "id").limit(sample).collect()
     if not drawn:
         return None
@@ -178,8 +199,6 @@ def graded(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     if model is None:
         return own.withColumns({c: F.lit(None).cast("double") for c in ("expected_grade", "p_keep")})
     shared = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
-    import pandas as pd
-
     @F.pandas_udf("expected_grade double, p_keep double")
     def grade(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         weights, thresholds = shared.value
