@@ -12,7 +12,7 @@ KEYS = "project_id string, name string, description string, values map<string,ma
 
 def list_keys(keys: DataFrame, project: str) -> DataFrame:
     """Keys of a project by name, as people sort."""
-    return keys.where(F.col("project_id") == project).orderBy(F.col("name").collate("UNICODE"))
+    return keys.where(F.col("project_id") == project).orderBy(F.collate("name", "UNICODE"))
 
 
 def _put(table: Column, name: Column, value: Column) -> Column:
