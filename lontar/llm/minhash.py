@@ -13,15 +13,16 @@ texts are linked if the sum of the smaller counts is at least 0.8 of the sum of
 3. Bands of components are joined; each member of a band's bucket links to the bucket's smallest
    doc_id. Components of these links are the candidate groups: any two texts that share a band are
    in the same one.
-4. Within a candidate group, every text is held against every other one that is not linked to it
-   yet, by exact overlap of the multisets. A group over a bound of size is cut into blocks, and each
-   pair of blocks is a task: memory is bounded and no pair is lost. Output is a star for each class
-   and task, never the pairs.
+4. Within a candidate group, every text is held against every other one that is not joined to it
+   yet, by exact overlap of the multisets. Groups over a bound of size are cut into blocks, contract
+   block by block, and then compare what is still apart in pairs of blocks: memory is bounded and no
+   link between classes is lost. Output is a star for each class and task, never the pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -135,44 +136,101 @@ class Block:
         return out
 
 
-def spanning(bags: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> np.ndarray:
-    """For each bag the first one of its class of links with similarity threshold or more."""
+def spanning(bags: list[tuple[np.ndarray, np.ndarray]], threshold: float, classes: np.ndarray | None = None) -> np.ndarray:
+    """A label for each bag; those joined by links with similarity threshold or more have the same.
+
+    classes: what is joined already. Only bags of different labels are compared, each pair at most once.
+    """
     block = Block(bags)
-    root = np.arange(len(bags))
-    left = np.flatnonzero(block.length > 0)
-    while len(left):
-        head, left = left[0], left[1:]
-        reached, at = [head], 0
-        while at < len(reached) and len(left):
-            one = reached[at]
-            at += 1
-            a, b = block.total[one], block.total[left]
-            near = np.minimum(a, b) >= threshold * np.maximum(a, b) * (1 - 1e-12)
-            if not near.any():
-                continue
-            others = left[near]
-            both = block.overlap(one, others)
-            linked = others[both >= threshold * (a + block.total[others] - both) * (1 - 1e-12)]
-            if len(linked):
-                root[linked] = head
-                reached.extend(linked.tolist())
-                left = left[~np.isin(left, linked)]
-    return root
+    label = np.arange(len(bags)) if classes is None else np.unique(classes, return_inverse=True)[1]
+    for one in range(len(bags) - 1):
+        if not block.length[one]:
+            continue
+        rest = slice(one + 1, None)
+        a, b = block.total[one], block.total[rest]
+        near = (label[rest] != label[one]) & (block.length[rest] > 0) & (np.minimum(a, b) >= threshold * np.maximum(a, b) * (1 - 1e-12))
+        others = np.flatnonzero(near) + one + 1
+        if not len(others):
+            continue
+        both = block.overlap(one, others)
+        linked = others[both >= threshold * (a + block.total[others] - both) * (1 - 1e-12)]
+        if len(linked):
+            label[np.isin(label, label[linked])] = label[one]
+    return label
 
 
 def _verifier(width: int, threshold: float):
+    """(u, v) from every text of a block, or its class if it has one, to the smallest joined with it."""
+
     def run(group):
         import pandas as pd
 
         group = group.sort_values("id", kind="stable")
-        ids = group["id"].to_numpy()
-        root = spanning([bag(t, width) for t in group["text"]], threshold)
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        return pd.DataFrame({"u": ids[moved], "v": ids[root[moved]]})
+        label = spanning([bag(t, width) for t in group["text"]], threshold, group["class"].to_numpy())
+        node = group["class"].to_numpy(np.int64)
+        low = pd.Series(node).groupby(label).transform("min").to_numpy()
+        out = pd.DataFrame({"u": node, "v": low})
+        return out[out["u"] != out["v"]].drop_duplicates()
 
     return run
 
 
+def _verified(blocks: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Links found within each block of (id, class, component, block)."""
+    rows = blocks.select("id", "class", "component", "block").join(texts, "id")
+    return cut(rows.groupBy("component", "block").applyInPandas(_verifier(width, threshold), "u long, v long"))
+
+
+def _dealt(nodes: DataFrame, level: int) -> DataFrame:
+    """nodes (id, component, n) with the number of blocks of their component and a block of their own."""
+    weight = F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("n") / BLOCK_SHINGLES)
+    parts = nodes.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(weight)).cast("int").alias("parts"))
+    return cut(nodes.join(parts, "component").withColumn("block", F.expr(f"pmod(xxhash64(id, {level}), parts)")).withColumn("class", F.col("id")))
+
+
+def _joined(nodes: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(node, component): classes of links among nodes (id, component, n), each component for itself.
+
+    A component that fits a block is settled by it. A larger one first contracts: its blocks are
+    settled side by side, one text of each class goes on, and again, until that no longer helps. So
+    a large group of near copies shrinks to few texts in linear work. Only where classes remain apart
+    are texts of different classes compared, in pairs of blocks of bounded size.
+    """
+    first = dealt = _dealt(nodes, 0)
+    links = [_verified(dealt, texts, width, threshold)]
+    large = first.where("parts > 1")
+    if large.isEmpty():
+        return components(links[0])
+    level, count = 0, large.count()
+    while count:
+        gone = links[-1].select(F.col("u").alias("id")).distinct()
+        left = cut(dealt.where("parts > 1").select("id", "component", "n").join(gone, "id", "left_anti"))
+        level, before, count = level + 1, count, left.count()
+        if count > 0.7 * before:
+            break
+        dealt = _dealt(left, level)
+        links.append(_verified(dealt, texts, width, threshold))
+    every = reduce(DataFrame.unionByName, links)
+    classes = components(every)
+    held = cut(large.drop("class", "block").join(classes.select(F.col("node").alias("id"), F.col("component").alias("class")), "id", "left").withColumn("class", F.coalesce("class", "id")))
+    apart = held.groupBy("component").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("component")
+    rows = held.join(apart, "component")
+    # Large classes have blocks of their own, small ones share blocks; a class needs no block paired with its own.
+    sizes = rows.groupBy("component", "class").agg(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("n") / BLOCK_SHINGLES).alias("weight"))
+    group = F.when(F.col("weight") >= 0.5, F.col("class"))
+    grouped = sizes.withColumn("group", group).groupBy("component", "group").agg(F.greatest(F.lit(1), F.ceil(F.sum("weight"))).cast("int").alias("parts"))
+    rows = rows.drop("parts").join(sizes.withColumn("group", group), ["component", "class"]).alias("r").join(grouped.alias("g"), (F.col("r.component") == F.col("g.component")) & F.col("r.group").eqNullSafe(F.col("g.group")))
+    rows = rows.select("r.id", "r.class", "r.component", F.xxhash64(F.coalesce("r.group", F.lit(-1)), F.expr("pmod(xxhash64(r.id, 77), g.parts)")).alias("own"), F.col("r.group").alias("group"))
+    rows = cut(rows)
+    blocks = rows.select("component", "own", "group").distinct()
+    other = blocks.select("component", F.col("own").alias("own2"), F.col("group").alias("group2"))
+    pairs = blocks.join(other, "component").where((F.col("own") <= F.col("own2")) & ~F.coalesce(F.col("group") == F.col("group2"), F.lit(False)))
+    pairs = pairs.select("component", "own", "own2", F.xxhash64("own", "own2").alias("block"))
+    ends = pairs.select("component", "own", "block").unionByName(pairs.where("own < own2").select("component", F.col("own2").alias("own"), "block"))
+    across = _verified(rows.join(ends, ["component", "own"]), texts, width, threshold)
+    return components(every.unionByName(across))
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, component_id, kept) for each row of docs (doc_id, text, ...).
 
@@ -193,13 +251,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     near = bucket.join(lead, "key").where("id > v").select(F.col("id").alias("u"), "v").distinct()
     group = components(near)
 
-    sized = member.where("id = rep").select("id", "n").distinct().join(group, F.col("id") == F.col("node")).select("id", "component", "n")
-    parts = sized.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    placed = sized.join(parts, "component").withColumn("own", F.expr("cast(pmod(xxhash64(id, 5), parts) as int)"))
-    pairs = placed.select("id", "component", F.explode(F.expr("transform(sequence(0, parts - 1), x -> struct(least(own, x) as i, greatest(own, x) as j))")).alias("p"))
-    texts = pairs.join(known.select("id", "text"), "id").select("id", "text", "component", "p.i", "p.j")
-    found = texts.groupBy("component", "i", "j").applyInPandas(_verifier(width, threshold), "u long, v long")
-    classes = components(found)
+    nodes = member.where("id = rep").select("id", "n").distinct().join(group, F.col("id") == F.col("node")).select("id", "component", "n")
+    classes = _joined(nodes, known.select("id", "text"), width, threshold)
 
     out = member.join(classes, member.rep == classes.node, "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "rep").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

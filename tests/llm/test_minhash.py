@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from lontar.llm import minhash
 from lontar.llm.words import bag
@@ -40,8 +41,8 @@ def brute(rows):
     return {d: find(d) for d in parent}
 
 
-def result(spark, rows, **kw):
-    df = spark.createDataFrame([(d, t, None, 1, 2) for d, t in rows], SCHEMA)
+def result(spark, given, **kw):
+    df = spark.createDataFrame([(d, t, None, 1, 2) for d, t in given], SCHEMA)
     return sorted([tuple(r) for r in minhash.near_duplicates(df, **kw).collect()], key=str)
 
 
@@ -77,6 +78,22 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     assert {d: c for d, c, _ in result(spark, rows)} == brute(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_large_groups_contract_and_lose_no_link(spark, monkeypatch, seed):
+    """Chains and clusters of texts in one candidate group, in blocks of five."""
+    rng = np.random.default_rng(seed)
+    rows, base = [], [f"v{i}" for i in range(80)]
+    for d in range(90):
+        words = list(base)
+        for p in range(0, int(rng.choice([0, 1, 2, 3])) * 3, 3):
+            words[(p + 7 * (d % 4)) % 80] = f"edit{d % 12}_{p}"
+        rows.append((d, " ".join(words)))
+        if d % 9 == 0:
+            base[int(rng.integers(80))] = f"moved{d}"
+    monkeypatch.setattr(minhash, "BLOCK_TEXTS", 5)
+    assert {d: c for d, c, _ in result(spark, rows, bands=100, rows=2)} == brute(rows)
+
+
 def test_signatures_estimate_weighted_jaccard():
     a, b = "x " * 9 + "y " * 5 + "z q r", "x " * 5 + "y " * 8 + "z s t"
     sig = minhash.sign([bag(a, 1), bag(b, 1)], 4096)
