@@ -149,3 +149,18 @@ def test_stream(spark, tmp_path):
     query.awaitTermination(120)
     assert [(r.locale, r.rule) for r in spark.table("findings").collect()] == [("vi", "hardcoded-currency")]
     assert streaming.finding_counts(streaming.lint_stream(stream)).isStreaming
+
+
+def test_sql_names(spark):
+    from lontar.functions import sql
+    from lontar.functions.clusters import Lexicon
+
+    assert len(sql.register(spark, {"th": Lexicon.of(["ฉัน", "รัก"])})) == 8
+    row = spark.sql("select lontar_words('ฉันรัก', 'th') as w, lontar_telex('chaof') as t, lontar_truncate_text('hello world', 'en', 6) as s, lontar_resolve_locale('VI_vn') as l, lontar_graphemes('เกา', 'th') as g").first()
+    assert (row.w, row.t, row.s, row.l, row.g) == (["ฉัน", "รัก"], "chào", "hello…", "vi", ["เกา"])
+
+
+def test_scaffold(tmp_path):
+    from lontar.sources.scaffold import scaffold
+
+    assert set(scaffold(str(tmp_path), "th")) == {"th.json", "en.json", "config.json"} and scaffold(str(tmp_path), "th") == []
