@@ -173,6 +173,17 @@ def test_clusters_and_spans(script):
                 assert short == t or len(C.clusters(short, script)) <= max(2, most)
 
 
+@pytest.mark.parametrize("script", SAMPLES)
+def test_one_pattern_for_clusters(script):
+    """The pattern for runs of native letters against the rules, on random letters."""
+    rng = random.Random(script)
+    first, last = {"Thai": (0xE01, 0xE5B), "Laoo": (0xE81, 0xEDF), "Khmr": (0x1780, 0x17F9), "Mymr": (0x1000, 0x109F), "Hans": (0x4E00, 0x9FFF)}[script]
+    common = [c for c in SAMPLES[script] if first <= ord(c) <= last]
+    for _ in range(3000):
+        run = "".join(rng.choice(common) if rng.random() < 0.6 else chr(rng.randint(first, last)) for _ in range(rng.randint(1, 10)))
+        assert C.native_clusters(run, script) == list(C.clusters(run, script)), ascii(run)
+
+
 def test_graphemes():
     assert C.graphemes("a\r\nb") == ["a", "\r\n", "b"] and C.graphemes("🇹🇭🇸🇬") == ["🇹🇭", "🇸🇬"] and C.graphemes("👍🏽") == ["👍🏽"]
     assert C.graphemes("각가") == ["각", "가"] and C.graphemes("éx") == ["é", "x"] and C.graphemes("") == []
