@@ -1,18 +1,15 @@
-"""Settings that every operator here shares: where lineage is cut, and how code reaches executors."""
+"""Settings that every operator here shares: where lineage is cut, and how much a Python worker gets at once."""
 
 from __future__ import annotations
 
-import io
-import os
 import tempfile
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..ship import ship
+
 #: Rows that a Python worker gets at once.
 RECORDS = 1000
-PACKAGE = Path(__file__).resolve().parent.parent
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -21,15 +18,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    if not getattr(sc, "_shipped_package", False):
-        held = io.BytesIO()
-        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-            for path in sorted(PACKAGE.rglob("*.py")):
-                z.write(path, f"{PACKAGE.name}/{path.relative_to(PACKAGE)}")
-        archive = os.path.join(tempfile.mkdtemp(prefix="package-"), f"{PACKAGE.name}.zip")
-        Path(archive).write_bytes(held.getvalue())
-        sc.addPyFile(archive)
-        sc._shipped_package = True
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > RECORDS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(RECORDS))  # texts can be long
     return spark
@@ -40,6 +29,3 @@ def cut(df: DataFrame) -> DataFrame:
     prepare(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
