@@ -31,7 +31,7 @@ RAREST = 3
 #: Chi-square that a feature's presence needs with one of the grades.
 TELLING = 30.0
 KEEP = 0.5
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 
 _edge = re.compile(r"^\W+|\W+$")
 _marks = (0.0, 0.01, 0.03, 0.08, 0.2, 0.4, 0.7)

@@ -7,7 +7,7 @@ import xxhash
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Words that a worker remembers hashes of; beyond that it starts anew, so its memory is bounded.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 
 
 class _Hashes(dict):
