@@ -13,6 +13,7 @@ from .. import registry as R
 from ..functions import dates, digits, grammar, numbers, scripts, segment, text
 from ..functions.locale import fallback_chain, locale_from_request, negotiate, parse_accept_language, resolve_locale
 from ..operators import evaluate, export, lint, messages, readiness, store
+from ..ship import spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -87,7 +88,7 @@ FROM documents GROUP BY lang
 """)
 def words_and_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and sentences of documents by language."""
-    docs = _table(spark, sf_dir, "documents").select("lang", "text")
+    docs = spread(_table(spark, sf_dir, "documents").select("lang", "text"))
     return docs.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(text.spaced_word_count(F.col("text"))).cast("long").alias("words"), F.sum(F.size(text.sentences(F.col("text")))).cast("long").alias("sentences"))
 
 
@@ -97,7 +98,7 @@ _FOLD = "replace(replace(strip_accents(text), 'đ', 'd'), 'Đ', 'D')"
 @query(f"SELECT md5(trim(regexp_replace(lower({_FOLD}), '\\s+', ' ', 'g'))) AS search_key, count(*) AS docs, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
 def search_key_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that one search would find alike."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.md5(scripts.to_search_key(F.col("text"), F.lit("en"))).alias("search_key"))
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.md5(scripts.to_search_key(F.col("text"), F.lit("en"))).alias("search_key"))
     return docs.groupBy("search_key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc")).where("docs > 1")
 
 
@@ -105,7 +106,7 @@ def search_key_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slugs of whole documents, and whether folding changes them."""
     t = F.col("text")
-    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(scripts.slugify_vietnamese(t)).alias("slug"), (t != scripts.fold_vietnamese(t)).alias("has_marks"))
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.md5(scripts.slugify_vietnamese(t)).alias("slug"), (t != scripts.fold_vietnamese(t)).alias("has_marks"))
 
 
 _LINT_DOCS = f"""
@@ -126,7 +127,7 @@ f AS (
 def lint_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings on documents as if each were a message of its language's locale."""
     to = R.literal_map(dict(_LANGS))
-    docs = _table(spark, sf_dir, "documents").where(F.col("lang").isin(*[a for a, _ in _LANGS]))
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text").where(F.col("lang").isin(*[a for a, _ in _LANGS])))
     rows = docs.select(to[F.col("lang")].alias("locale"), F.col("doc_id").cast("string").alias("key"), F.lit(None).cast("string").alias("register"), F.lit(None).cast("string").alias("plural"), F.col("text").alias("value"), F.lit(0).alias("ord"))
     return lint.lint(rows, reference=None).groupBy("locale", "rule").agg(F.count("*").alias("findings"))
 
@@ -154,7 +155,7 @@ _PARTS = [(c, v.count_order, R.classifier(c, "thing"), c in ("fil", "ceb", "fil-
 def counted_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A counted phrase for each part and locale."""
     locales = R.dim_locale(spark).select(F.col("code").alias("locale"))
-    parts = _table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name").crossJoin(F.broadcast(locales))
+    parts = spread(_table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name")).crossJoin(F.broadcast(locales))
     return parts.select("p_partkey", "locale", grammar.format_count(F.col("p_size"), F.col("p_name"), F.col("locale")).alias("phrase"))
 
 
@@ -449,7 +450,7 @@ def longest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def truncated_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns in at most 40 clusters."""
-    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lit("en").alias("locale"))
+    turns = spread(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lit("en").alias("locale")))
     return segment.with_truncated(turns, "text", "locale", 40).select("conv_id", "turn", "truncated")
 
 
@@ -469,7 +470,7 @@ def segmented_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def boundary_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well spaces and the tokenizer agree on where words of conversation turns end."""
-    turns = _table(spark, sf_dir, "conversations").select(F.col("role").alias("locale"), F.concat_ws(":", "conv_id", "turn").alias("text_id"), "text")
+    turns = spread(_table(spark, sf_dir, "conversations")).select(F.col("role").alias("locale"), F.concat_ws(":", "conv_id", "turn").alias("text_id"), "text")
 
     def ends(pattern: str) -> DataFrame:
         parts = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))

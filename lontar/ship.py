@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -23,3 +23,9 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(archive)
         sc._shipped_package = True
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it comes in fewer partitions than there are, as a small file does; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
