@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import spread
 from .cluster import cut, prepare
 
 SHORTEST, COMMON = 40, 5
@@ -99,7 +100,7 @@ def dedup_lines(docs: DataFrame, shortest: int = SHORTEST, common: int = COMMON,
 
 def op6_line_runs(spark, sf_dir: str) -> DataFrame:
     """Digests of all documents without their repeated lines."""
-    clean = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    clean = dedup_lines(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     return clean.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import spread
 from .cluster import cut, prepare
 from .graph import components
 from .words import GOLDEN, bag, mix
@@ -261,4 +262,4 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
 
 def op1_minhash(spark, sf_dir: str) -> DataFrame:
     """Classes of near duplicates among all documents."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))

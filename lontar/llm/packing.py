@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ship import spread
 from .cluster import cut, prepare
 
 LENGTH = 2048
@@ -202,4 +203,4 @@ def pack(docs: DataFrame, tokenizer: str, most: int = LENGTH) -> DataFrame:
 
 def op3_best_fit(spark, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path())
+    return pack(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), tokenizer_path())

@@ -24,6 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import spread
 from .cluster import prepare
 
 KINDS = ("assign", "access", "hex")
@@ -273,4 +274,4 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
 def op2_secrets(spark, sf_dir: str) -> DataFrame:
     """Secrets of all documents."""
-    return secret_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return secret_spans(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
