@@ -4,7 +4,9 @@ A run is a table (h1, h2, n, top): for each line key its 128-bit hash, in how ma
 occurs and the largest doc_id among them, sorted by hash. A batch of documents becomes a run of level
 0; as soon as a level has FANIN runs they are merged into one of the next level, so a key is
 rewritten a logarithmic number of times. Documents come in batches by a hash of their id, so counts
-of different runs add up. After the last batch, lines are anti-joined with the merged runs.
+of different runs add up. new_lines() gives what a batch has and no run: the anti-join by which a
+stream of batches keeps first lines only. Here the largest doc_id of all keeps a line, so lines meet
+the merged runs after the last batch, and those that belong to another document go.
 """
 
 from __future__ import annotations
