@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import registry as R
 from ..functions import dates, digits, grammar, numbers, scripts, segment, text
-from ..functions.locale import fallback_chain, locale_from_request, negotiate, parse_accept_language, resolve_locale
+from ..functions.locale import fallback_chain, locale_from_request, parse_accept_language, resolve_locale
 from ..operators import evaluate, export, lint, messages, readiness, store
 from ..ship import spread
 
