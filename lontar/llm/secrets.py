@@ -5,6 +5,8 @@ document is the first layer. A worklist takes a layer, scans it, and adds what i
 percent escapes, Unicode escapes (\\uXXXX, \\UXXXXXXXX, \\xXX, &#N;), base64 (standard or
 URL-safe), and gzip, zlib, bzip2, xz or zstd data inside base64. It ends when no layer is new;
 layers already seen (same text for the same place) are not taken again, which ends cycles.
+Decoded bytes need not be a text: all that is looked for is ASCII, so bytes are read one by one, and
+again as UTF-16 where ASCII and zero bytes alternate; bytes of other kinds between are no hindrance.
 A finding in a layer is reported at the place in the document that its characters came from.
 """
 
@@ -38,6 +40,10 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 ESCAPE = re.compile(r"\\[uUx]([0-9A-Fa-f]+)|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: All that bytes can hold, matches and nested layers, is in a run of so many ASCII characters.
+READABLE = re.compile(rb"[\t-\r -~]{16}")
+#: Such runs in UTF-16 of either byte order.
+WIDE = (re.compile(rb"(?:[\t-\r -~]\x00){16,}"), re.compile(rb"(?:\x00[\t-\r -~]){16,}"))
 #: Bytes that packed data may unfold to. Beyond that it is refused and counted in n_refused.
 LARGEST = 64 << 20
 
@@ -90,29 +96,43 @@ def _unpack(data: bytes) -> bytes | None:
     return None
 
 
-def _text(data: bytes) -> str | None:
-    """The text that the bytes are, if they are one: UTF-8 or UTF-16 and printable."""
-    for code in ("utf-8", "utf-16-le") if data[1::2].count(0) * 4 > len(data) else ("utf-8",):
-        try:
-            text = data.decode(code)
-        except UnicodeDecodeError:
-            continue
-        if text and all(c.isprintable() or c in "\t\n\r\f\v" for c in text):
-            return text
-    return None
+def _is_text(data: bytes) -> bool:
+    """Whether the bytes are nothing but printable UTF-8."""
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return bool(text) and all(c.isprintable() or c in "\t\n\r\f\v" for c in text)
+
+
+def _wide(data: bytes) -> list[tuple[int, int]]:
+    """(start, end) of runs of UTF-16. A run in one byte order is also one in the other, a byte on: the longer
+    counts, and of equal ones that at an even place."""
+    taken: list[tuple[int, int]] = []
+    for a, b in sorted(m.span() for order in WIDE for m in order.finditer(data)):
+        if not taken or a >= taken[-1][1] - 2:
+            taken.append((a, b))
+        elif (b - a, a % 2 == 0) > (taken[-1][1] - taken[-1][0], taken[-1][0] % 2 == 0):
+            taken[-1] = (a, b)
+    return taken
 
 
 class Layer:
-    """A text; starts[i], ends[i]: where in the document its character i came from. None: it is the document."""
+    """A text and where in the document it came from: starts[i], ends[i] for its character i, or spot for all. None: it is the document."""
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None):
-        self.text, self.starts, self.ends = text, starts, ends
+    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None, spot: tuple[int, int] | None = None):
+        self.text, self.starts, self.ends, self.spot = text, starts, ends, spot
 
     def place(self, start: int, end: int) -> tuple[int, int]:
+        if self.spot:
+            return self.spot
         return (start, end) if self.starts is None else (self.starts[start], self.ends[end - 1])
 
     def rewritten(self, pattern: re.Pattern, decode) -> Layer | None:
         """This layer with each match replaced by decode(match) -> [(characters, start, end)]; None if nothing changes."""
+        if self.spot:
+            text = pattern.sub(lambda m: m[0] if (pieces := decode(m)) is None else "".join(c for c, _, _ in pieces), self.text)
+            return None if text == self.text else Layer(text, spot=self.spot)
         parts, starts, ends, at, changed = [], [], [], 0, False
 
         def keep(a: int, b: int) -> None:
@@ -136,13 +156,23 @@ class Layer:
         keep(at, len(self.text))
         return Layer("".join(parts), starts, ends)
 
-    def inner(self, text: str, start: int, end: int, each=None) -> Layer:
-        """A layer from the characters start to end; each(i): which of them character i of it came from."""
-        if each is None:
-            a, b = self.place(start, end)
-            return Layer(text, [a] * len(text), [b] * len(text))
-        spots = [self.place(start + a, start + b) for a, b in map(each, range(len(text)))]
-        return Layer(text, [a for a, _ in spots], [b for _, b in spots])
+    def read(self, data: bytes, start: int, end: int, packed: bool) -> Iterator[Layer]:
+        """Layers of the bytes that the base64 from start to end holds; packed: after unpacking, when each stands for all of it."""
+        if _is_text(data) or READABLE.search(data):
+            yield self._inner(data, range(len(data)), 1, start, end, packed)
+        for a, b in _wide(data):
+            low = data[a] == 0
+            yield self._inner(data[a + low : b : 2], range(a, b, 2), 2, start, end, packed)
+
+    def _inner(self, data: bytes, at: range, width: int, start: int, end: int, packed: bool) -> Layer:
+        text = data.decode("latin-1")
+        if packed or self.spot:
+            return Layer(text, spot=self.place(start, end))
+        starts = [start + i * 4 // 3 for i in at]
+        ends = [min(end, start - (-(i + width) * 4 // 3)) for i in at]
+        if self.starts is not None:
+            starts, ends = [self.starts[i] for i in starts], [self.ends[i - 1] for i in ends]
+        return Layer(text, starts, ends)
 
 
 def _percent(m: re.Match) -> list[tuple[str, int, int]] | None:
@@ -172,41 +202,33 @@ def _unicode(m: re.Match) -> list[tuple[str, int, int]] | None:
     return out if not any(0xD800 <= ord(c) < 0xE000 for c, _, _ in out) else None
 
 
-def _from_base64(layer: Layer, start: int, end: int, refused: list[int]) -> Layer | None:
+def _from_base64(layer: Layer, start: int, end: int, refused: list[int]) -> tuple[list[Layer], bool, bool]:
+    """Layers in the base64 from start to end, whether it was packed, and whether nothing in it is left unread."""
     run = layer.text[start:end].rstrip("=").replace("-", "+").replace("_", "/")
     if len(run) % 4 == 1:
-        return None
+        return [], False, False
     try:
         data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
     except (binascii.Error, ValueError):
-        return None
+        return [], False, False
     try:
         packed = _unpack(data)
     except Refused:
         refused.append(1)
-        return None
-    if packed is not None:
-        for _ in range(8):  # packed again without a text layer between
-            try:
-                again = _unpack(packed)
-            except Refused:
-                refused.append(1)
-                return None
-            if again is None or again == packed:
-                break
-            packed = again
-        text = _text(packed)
-        return layer.inner(text, start, end) if text else None
-    text = _text(data)
-    if text is None:
-        return None
-    edge = [0]
-    for c in text:
-        edge.append(edge[-1] + len(c.encode("utf-8")))
-    if edge[-1] != len(data):
-        return layer.inner(text, start, end)
-    last = end - start
-    return layer.inner(text, start, end, lambda i: (edge[i] * 4 // 3, min(last, -(-edge[i + 1] * 4 // 3))))
+        return [], True, False
+    if packed is None:
+        return list(layer.read(data, start, end, False)), False, _is_text(data)
+    for _ in range(8):  # packed again without a text layer between
+        try:
+            again = _unpack(packed)
+        except Refused:
+            refused.append(1)
+            return [], True, False
+        if again is None or again == packed:
+            break
+        packed = again
+    layers = list(layer.read(packed, start, end, True))
+    return layers, True, bool(layers)
 
 
 def unwrap(layer: Layer, refused: list[int]) -> Iterator[Layer]:
@@ -216,13 +238,15 @@ def unwrap(layer: Layer, refused: list[int]) -> Iterator[Layer]:
     if ("\\" in text or "&#" in text) and (out := layer.rewritten(UNICODE, _unicode)):
         yield out
     for m in BASE64.finditer(text):
-        if out := _from_base64(layer, m.start(), m.end(), refused):
-            yield out
+        whole, _, done = _from_base64(layer, m.start(), m.end(), refused)
+        yield from whole
+        if done:
             continue
         for part in re.finditer(r"[A-Za-z0-9+]{16,}", m[0]) if re.search(r"[/_-]", m[0]) else ():  # a path or a name around it
             end = m.start() + part.end()
-            if out := _from_base64(layer, m.start() + part.start(), m.end() if end >= m.end() - 2 and m[0].endswith("=") else end, refused):
-                yield out
+            inner, packed, _ = _from_base64(layer, m.start() + part.start(), m.end() if end >= m.end() - 2 and m[0].endswith("=") else end, refused)
+            if packed or part.start() % 4 or not whole:  # else whole has read these bytes already
+                yield from inner
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
@@ -233,7 +257,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     while work:
         layer = work.pop()
         for inner in unwrap(layer, refused):
-            mark = (hashlib.blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), inner.starts[0] if inner.starts else 0, inner.ends[-1] if inner.ends else 0)
+            mark = (hashlib.blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *inner.place(0, len(inner.text)))
             if mark in seen:
                 continue
             seen.add(mark)

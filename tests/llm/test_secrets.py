@@ -51,6 +51,21 @@ def test_layers():
     assert any(k == 0 for k, _, _ in found(nested))
 
 
+def test_layers_that_are_not_all_printable():
+    for c in "\u00a0\u202f\u3000\u200b\u200d\u00ad\ufeff\0\x1b\U000e0fff":
+        for form, code in ((f"clé{c}: {KEY} fin", "utf-8"), (f"{KEY} fin{c}", "utf-8"), (f"{c}{KEY}{c}", "utf-16-le"), (f"é{c}{KEY}{c}", "utf-16-be")):
+            data = form.encode(code)
+            coded = base64.b64encode(data).decode()
+            ((kind, s, e),) = found(f"<{coded}>")
+            at = data.index(KEY.encode(code))
+            assert kind == 1 and s == 1 + at * 4 // 3 and e <= 1 + len(coded), (c, data)
+            assert (1, 1) in {(k, s) for k, s, _ in found("<" + base64.b64encode(gzip.compress(data)).decode())}
+    for data in (f"clé {KEY} é".encode("latin-1"), KEY.encode() + b"\xff\xfe\x80", b"\x80\x81" + base64.b64encode(b"\xff" + KEY.encode() + b"\xff") + b"\x82"):
+        assert [k for k, _, _ in found(base64.b64encode(data).decode())] == [1]
+    name = base64.urlsafe_b64encode(f"{KEY}\u00a0".encode() * 2).decode()
+    assert [k for k, _, _ in found(f"a/{name}")] == [1, 1]
+
+
 def test_bombs_are_refused():
     bomb = base64.b64encode(gzip.compress(b"a" * (secrets.LARGEST + 10))).decode()
     assert secrets.scan(bomb)[3] == 1
