@@ -7,6 +7,9 @@ URL-safe), and gzip, zlib, bzip2, xz or zstd data inside base64. It ends when no
 layers already seen (same text for the same place) are not taken again, which ends cycles.
 Decoded bytes need not be a text: all that is looked for is ASCII, so bytes are read one by one, and
 again as UTF-16 where ASCII and zero bytes alternate; bytes of other kinds between are no hindrance.
+Base64 in several lines is also taken as one: joined over the breaks and indentation, from each of the
+four places where a group of its characters can begin (other words may be joined to its ends), and from
+each line at which packed data begins.
 A finding in a layer is reported at the place in the document that its characters came from.
 """
 
@@ -19,7 +22,7 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import zstandard
@@ -40,10 +43,15 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 ESCAPE = re.compile(r"\\[uUx]([0-9A-Fa-f]+)|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over line breaks and indentation. From its start only, so that a long run is passed over once.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+(?:\r*+\n|\r)[\x20\t]*+[A-Za-z0-9+/_-]++)++")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 #: All that bytes can hold, matches and nested layers, is in a run of so many ASCII characters.
 READABLE = re.compile(rb"[\t-\r -~]{16}")
 #: Such runs in UTF-16 of either byte order.
 WIDE = (re.compile(rb"(?:[\t-\r -~]\x00){16,}"), re.compile(rb"(?:\x00[\t-\r -~]){16,}"))
+#: How packed data begins.
+PACKED = re.compile(rb"\x1f\x8b|\x78[\x01\x20\x3f\x5e\x7d\x9c\xbb\xda\xf9]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 #: Bytes that packed data may unfold to. Beyond that it is refused and counted in n_refused.
 LARGEST = 64 << 20
 
@@ -156,20 +164,21 @@ class Layer:
         keep(at, len(self.text))
         return Layer("".join(parts), starts, ends)
 
-    def read(self, data: bytes, start: int, end: int, packed: bool) -> Iterator[Layer]:
-        """Layers of the bytes that the base64 from start to end holds; packed: after unpacking, when each stands for all of it."""
+    def read(self, data: bytes, spots: Sequence[int], packed: bool) -> Iterator[Layer]:
+        """Layers of the bytes that the base64 characters at spots hold; packed: after unpacking, when each stands for all of it."""
         if _is_text(data) or READABLE.search(data):
-            yield self._inner(data, range(len(data)), 1, start, end, packed)
+            yield self._inner(data, range(len(data)), 1, spots, packed)
         for a, b in _wide(data):
             low = data[a] == 0
-            yield self._inner(data[a + low : b : 2], range(a, b, 2), 2, start, end, packed)
+            yield self._inner(data[a + low : b : 2], range(a, b, 2), 2, spots, packed)
 
-    def _inner(self, data: bytes, at: range, width: int, start: int, end: int, packed: bool) -> Layer:
+    def _inner(self, data: bytes, at: range, width: int, spots: Sequence[int], packed: bool) -> Layer:
         text = data.decode("latin-1")
         if packed or self.spot:
-            return Layer(text, spot=self.place(start, end))
-        starts = [start + i * 4 // 3 for i in at]
-        ends = [min(end, start - (-(i + width) * 4 // 3)) for i in at]
+            return Layer(text, spot=self.place(spots[0], spots[-1] + 1))
+        last = len(spots)
+        starts = [spots[i * 4 // 3] for i in at]
+        ends = [spots[min(last, -(-(i + width) * 4 // 3)) - 1] + 1 for i in at]
         if self.starts is not None:
             starts, ends = [self.starts[i] for i in starts], [self.ends[i - 1] for i in ends]
         return Layer(text, starts, ends)
@@ -202,33 +211,62 @@ def _unicode(m: re.Match) -> list[tuple[str, int, int]] | None:
     return out if not any(0xD800 <= ord(c) < 0xE000 for c, _, _ in out) else None
 
 
-def _from_base64(layer: Layer, start: int, end: int, refused: list[int]) -> tuple[list[Layer], bool, bool]:
-    """Layers in the base64 from start to end, whether it was packed, and whether nothing in it is left unread."""
-    run = layer.text[start:end].rstrip("=").replace("-", "+").replace("_", "/")
-    if len(run) % 4 == 1:
-        return [], False, False
+def _bytes(run: str) -> bytes | None:
+    """What base64 without its padding holds."""
+    run = run.replace("-", "+").replace("_", "/")
     try:
-        data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
+        return base64.b64decode(run + "=" * (-len(run) % 4), validate=True) if len(run) % 4 != 1 else None
     except (binascii.Error, ValueError):
-        return [], False, False
+        return None
+
+
+def _packed(layer: Layer, data: bytes, spots: Sequence[int], refused: list[int]) -> list[Layer] | None:
+    """Layers in packed data from the base64 characters at spots; None if it isn't packed."""
     try:
         packed = _unpack(data)
+        if packed is None:
+            return None
+        for _ in range(8):  # packed again without a text layer between
+            again = _unpack(packed)
+            if again is None or again == packed:
+                break
+            packed = again
     except Refused:
         refused.append(1)
-        return [], True, False
-    if packed is None:
-        return list(layer.read(data, start, end, False)), False, _is_text(data)
-    for _ in range(8):  # packed again without a text layer between
-        try:
-            again = _unpack(packed)
-        except Refused:
-            refused.append(1)
-            return [], True, False
-        if again is None or again == packed:
-            break
-        packed = again
-    layers = list(layer.read(packed, start, end, True))
-    return layers, True, bool(layers)
+        return []
+    return list(layer.read(packed, spots, True))
+
+
+def _from_base64(layer: Layer, start: int, end: int, refused: list[int]) -> tuple[list[Layer], bool, bool]:
+    """Layers in the base64 from start to end, whether it was packed, and whether nothing in it is left unread."""
+    data = _bytes(layer.text[start:end].rstrip("="))
+    if data is None:
+        return [], False, False
+    spots = range(start, end)
+    packed = _packed(layer, data, spots, refused)
+    if packed is not None:
+        return packed, True, bool(packed)
+    return list(layer.read(data, spots, False)), False, _is_text(data)
+
+
+def _from_lines(layer: Layer, start: int, end: int, refused: list[int]) -> Iterator[Layer]:
+    """Layers in the lines of base64 from start to end, joined."""
+    lines = [m.span() for m in LINE.finditer(layer.text, start, end)]
+    run = "".join(layer.text[a:b] for a, b in lines)
+    if len(run) < 16:
+        return
+    spots = [i for a, b in lines for i in range(a, b)]
+    for skip in range(4):
+        part = run[skip:]
+        data = _bytes(part[:-1] if len(part) % 4 == 1 else part)
+        if data and (READABLE.search(data) or _wide(data)):
+            yield from layer.read(data, spots[skip:], False)
+    at = 0
+    for n, (a, b) in enumerate(lines):
+        if n + 1 < len(lines) and PACKED.match(_bytes(run[at : at + 12].ljust(12, "A"))):
+            part = run[at:]
+            yield from _packed(layer, _bytes(part[:-1] if len(part) % 4 == 1 else part), spots[at:], refused) or ()
+        at += b - a
 
 
 def unwrap(layer: Layer, refused: list[int]) -> Iterator[Layer]:
@@ -247,6 +285,9 @@ def unwrap(layer: Layer, refused: list[int]) -> Iterator[Layer]:
             inner, packed, _ = _from_base64(layer, m.start() + part.start(), m.end() if end >= m.end() - 2 and m[0].endswith("=") else end, refused)
             if packed or part.start() % 4 or not whole:  # else whole has read these bytes already
                 yield from inner
+    if "\n" in text or "\r" in text:
+        for m in WRAPPED.finditer(text):
+            yield from _from_lines(layer, m.start(), m.end(), refused)
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:

@@ -1,10 +1,14 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import urllib.parse
 import zlib
 
+import zstandard
+
 from lontar.llm import secrets
 
 KEY = "AKIA" + "ABCDEFGH12345678"
@@ -66,6 +70,27 @@ def test_layers_that_are_not_all_printable():
     assert [k for k, _, _ in found(f"a/{name}")] == [1, 1]
 
 
+def wrapped(data, width, cut="\n"):
+    coded = base64.b64encode(data).decode()
+    return cut.join(coded[i : i + width] for i in range(0, len(coded), width))
+
+
+def test_base64_over_line_breaks():
+    for width, cut in ((76, "\n"), (64, "\r\n"), (75, "\n  "), (10, "\n\t"), (61, " \r")):
+        for lead in range(30, 60):
+            data = b"x" * lead + b" " + KEY.encode() + b" end"
+            text = "see\n" + wrapped(data, width, cut) + "\nregards"
+            once = base64.b64encode(data).decode()
+            spots = [i for i in range(4, len(text)) if text[i] in once and text[i] not in cut]
+            at = data.index(b"A")
+            want = (1, spots[at * 4 // 3], spots[-(-(at + len(KEY)) * 4 // 3) - 1] + 1)
+            assert want in found(text), (width, lead)
+    prose = b"".join(hashlib.sha256(b"%d" % i).digest() for i in range(40))
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
+        text = "-----BEGIN LONGER CERTIFICATE-----\n" + wrapped(pack(prose + KEY.encode()), 64) + "\n-----END"
+        assert any(k == 1 and text[s:e].startswith(text[35:60]) for k, s, e in found(text)), pack
+
+
 def test_bombs_are_refused():
     bomb = base64.b64encode(gzip.compress(b"a" * (secrets.LARGEST + 10))).decode()
     assert secrets.scan(bomb)[3] == 1
