@@ -54,6 +54,8 @@ WIDE = (re.compile(rb"(?:[\t-\r -~]\x00){16,}"), re.compile(rb"(?:\x00[\t-\r -~]
 PACKED = re.compile(rb"\x1f\x8b|\x78[\x01\x20\x3f\x5e\x7d\x9c\xbb\xda\xf9]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 #: Bytes that packed data may unfold to. Beyond that it is refused and counted in n_refused.
 LARGEST = 64 << 20
+#: Packed bytes are taken so many at a time, which bounds what each step unfolds to.
+FEED = 256
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -76,32 +78,82 @@ class Refused(Exception):
     pass
 
 
-def _bounded(engine, data: bytes) -> bytes:
-    out = engine.decompress(data, LARGEST + 1)
-    if len(out) > LARGEST:
-        raise Refused
-    return out
+def _engine(data: bytes, at: int):
+    """What unpacks the member of packed data that begins at a place; None if none does."""
+    head = data[at : at + 6]
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    if head[:4] == b"\x28\xb5\x2f\xfd" or (head[1:4] == b"\x2a\x4d\x18" and head[0] >> 4 == 5):  # a frame to be skipped is one, too
+        return zstandard.ZstdDecompressor().decompressobj()
+    return None
 
 
-def _unpack(data: bytes) -> bytes | None:
-    """The bytes that packed data unfolds to; None if it isn't packed."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return _bounded(zlib.decompressobj(31), data)
-        if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            return _bounded(zlib.decompressobj(), data)
-        if data[:3] == b"BZh":
-            return _bounded(bz2.BZ2Decompressor(), data)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return _bounded(lzma.LZMADecompressor(), data)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            out = zstandard.ZstdDecompressor().stream_reader(data).read(LARGEST + 1)
-            if len(out) > LARGEST:
-                raise Refused
-            return out
-    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        pass
-    return None
+_BROKEN = (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError)
+
+
+class Unpacking:
+    """Pieces that packed data unfolds to, member after member. Then end says where its last member
+    ends, and whole is false if that one breaks off or is damaged; pieces before that are given."""
+
+    def __init__(self, data: bytes):
+        self.data, self.end, self.whole = data, 0, True
+
+    def pieces(self) -> Iterator[bytes]:
+        data, at = self.data, 0
+        while at < len(data) and (engine := _engine(data, at)):
+            given, stop = False, at
+            try:
+                while stop < len(data) and not engine.eof:
+                    piece = engine.decompress(data[stop : stop + FEED])
+                    stop = min(len(data), stop + FEED)
+                    if piece:
+                        given = True
+                        yield piece
+            except _BROKEN:
+                for piece in self._last(at, stop):
+                    given = True
+                    yield piece
+            if not engine.eof:
+                if given or data[at : at + 1] != b"\x78":  # two bytes of zlib occur by chance
+                    self.end, self.whole = len(data), False
+                return
+            at = stop - len(engine.unused_data)
+            self.end = at
+            while data[at : at + 1] == b"\0":  # padding
+                at += 1
+
+    def _last(self, at: int, stop: int) -> Iterator[bytes]:
+        """What the damaged stretch from stop on still gives, byte by byte."""
+        engine = _engine(self.data, at)
+        for i in range(at, stop, FEED):
+            engine.decompress(self.data[i : i + FEED])
+        for i in range(stop, min(len(self.data), stop + FEED)):
+            try:
+                piece = engine.decompress(self.data[i : i + 1])
+            except _BROKEN:
+                return
+            if piece:
+                yield piece
+
+
+def _unpack(data: bytes, refused: list[int]) -> tuple[bytes, int] | None:
+    """The bytes that packed data unfolds to and where it ends; None if it isn't packed."""
+    if _engine(data, 0) is None:
+        return None
+    packed, out = Unpacking(data), bytearray()
+    for piece in packed.pieces():
+        out += piece
+        if len(out) > LARGEST:
+            raise Refused
+    if not packed.whole:
+        refused.append(1)
+    return (bytes(out), packed.end) if packed.end else None
 
 
 def _is_text(data: bytes) -> bool:
@@ -221,20 +273,21 @@ def _bytes(run: str) -> bytes | None:
 
 
 def _packed(layer: Layer, data: bytes, spots: Sequence[int], refused: list[int]) -> list[Layer] | None:
-    """Layers in packed data from the base64 characters at spots; None if it isn't packed."""
+    """Layers in packed data, and in what follows it, from the base64 characters at spots; None if it isn't packed."""
     try:
-        packed = _unpack(data)
+        packed = _unpack(data, refused)
         if packed is None:
             return None
+        rest = data[packed[1] :]
         for _ in range(8):  # packed again without a text layer between
-            again = _unpack(packed)
-            if again is None or again == packed:
+            again = _unpack(packed[0], refused)
+            if again is None or again[0] == packed[0]:
                 break
             packed = again
     except Refused:
         refused.append(1)
         return []
-    return list(layer.read(packed, spots, True))
+    return [*layer.read(packed[0], spots, True), *(layer.read(data, spots, False) if READABLE.search(rest) or _wide(rest) else ())]
 
 
 def _from_base64(layer: Layer, start: int, end: int, refused: list[int]) -> tuple[list[Layer], bool, bool]:
@@ -275,19 +328,26 @@ def unwrap(layer: Layer, refused: list[int]) -> Iterator[Layer]:
         yield out
     if ("\\" in text or "&#" in text) and (out := layer.rewritten(UNICODE, _unicode)):
         yield out
+    lines = [m.span() for m in WRAPPED.finditer(text)] if "\n" in text or "\r" in text else []
+    for a, b in lines:
+        yield from _from_lines(layer, a, b, refused)
+    ends = iter([*lines, (len(text), len(text))])
+    a, b = next(ends)
     for m in BASE64.finditer(text):
-        whole, _, done = _from_base64(layer, m.start(), m.end(), refused)
+        while m.start() >= b and b < len(text):
+            a, b = next(ends)
+        # Of packed data in lines, one line alone is a stream broken off, which must not be counted.
+        whole, unpacked, done = _from_base64(layer, m.start(), m.end(), [] if a <= m.start() < b else refused)
         yield from whole
         if done:
             continue
         for part in re.finditer(r"[A-Za-z0-9+]{16,}", m[0]) if re.search(r"[/_-]", m[0]) else ():  # a path or a name around it
+            if unpacked and not part.start():
+                continue
             end = m.start() + part.end()
             inner, packed, _ = _from_base64(layer, m.start() + part.start(), m.end() if end >= m.end() - 2 and m[0].endswith("=") else end, refused)
             if packed or part.start() % 4 or not whole:  # else whole has read these bytes already
                 yield from inner
-    if "\n" in text or "\r" in text:
-        for m in WRAPPED.finditer(text):
-            yield from _from_lines(layer, m.start(), m.end(), refused)
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
@@ -330,7 +390,8 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
     n_assign, n_access, n_hex, base_sha256: what the text itself holds; spans: with what its layers
     hold, as kind:start:end in code points of the document. n_layers: layers unwrapped; n_refused:
-    layers that would have unfolded to more than 64 MiB. Null and empty texts have no spans; repeated
+    layers that would have unfolded to more than 64 MiB, and packed data that breaks off or is damaged,
+    of which what could be unpacked was scanned. Null and empty texts have no spans; repeated
     rows and null doc_ids are kept as they are. Other columns are not read.
     """
     prepare(docs.sparkSession)

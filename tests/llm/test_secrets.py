@@ -91,6 +91,23 @@ def test_base64_over_line_breaks():
         assert any(k == 1 and text[s:e].startswith(text[35:60]) for k, s, e in found(text)), pack
 
 
+def test_all_members_of_packed_data():
+    one, two = b"nothing here", KEY.encode()
+    for pack in (gzip.compress, zlib.compress, lambda x: bz2.compress(x, 1), lzma.compress, zstandard.compress):
+        for data in (pack(one) + pack(two), pack(one) * 3 + b"\0" * 4 + pack(two), pack(one) + gzip.compress(two), pack(one) + two):
+            _, every, _, refused = secrets.scan(base64.b64encode(data).decode())
+            assert [k for _, k, _ in every] == [1] and refused == 0, (pack, data)
+        prose = b"".join(hashlib.sha256(b"%d" % i).hexdigest().upper().encode() for i in range(9000))
+        data = pack(two + b" " + prose)
+        for cut in (data[:-20], data[: len(data) // 2] + bytes(40)):
+            _, every, _, refused = secrets.scan(base64.b64encode(cut).decode())
+            assert refused == 1 and 1 in [k for _, k, _ in every], pack
+            assert secrets.scan(wrapped(cut, 76))[3] >= 1
+        assert secrets.scan(wrapped(data, 76))[3] == 0
+    frame = b"\x50\x2a\x4d\x18\x04\0\0\0skip"
+    assert [k for _, k, _ in secrets.scan(base64.b64encode(frame + zstandard.compress(two)).decode())[1]] == [1]
+
+
 def test_bombs_are_refused():
     bomb = base64.b64encode(gzip.compress(b"a" * (secrets.LARGEST + 10))).decode()
     assert secrets.scan(bomb)[3] == 1
