@@ -52,8 +52,9 @@ READABLE = re.compile(rb"[\t-\r -~]{16}")
 WIDE = (re.compile(rb"(?:[\t-\r -~]\x00){16,}"), re.compile(rb"(?:\x00[\t-\r -~]){16,}"))
 #: How packed data begins.
 PACKED = re.compile(rb"\x1f\x8b|\x78[\x01\x20\x3f\x5e\x7d\x9c\xbb\xda\xf9]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
-#: Bytes that packed data may unfold to. Beyond that it is refused and counted in n_refused.
-LARGEST = 64 << 20
+#: Packed data that unfolds to more bytes than LARGEST is counted in n_refused and scanned in blocks of that size, which
+#: overlap by a quarter. One place in a layer may unfold to MOST bytes in all, so that data that grows for ever ends.
+LARGEST, MOST = 64 << 20, 1 << 30
 #: Packed bytes are taken so many at a time, which bounds what each step unfolds to.
 FEED = 256
 
@@ -74,10 +75,6 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-class Refused(Exception):
-    pass
-
-
 def _engine(data: bytes, at: int):
     """What unpacks the member of packed data that begins at a place; None if none does."""
     head = data[at : at + 6]
@@ -142,27 +139,13 @@ class Unpacking:
                 yield piece
 
 
-def _unpack(data: bytes, refused: list[int]) -> tuple[bytes, int] | None:
-    """The bytes that packed data unfolds to and where it ends; None if it isn't packed."""
-    if _engine(data, 0) is None:
-        return None
-    packed, out = Unpacking(data), bytearray()
-    for piece in packed.pieces():
-        out += piece
-        if len(out) > LARGEST:
-            raise Refused
-    if not packed.whole:
-        refused.append(1)
-    return (bytes(out), packed.end) if packed.end else None
-
-
 def _is_text(data: bytes) -> bool:
     """Whether the bytes are nothing but printable UTF-8."""
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
         return False
-    return bool(text) and all(c.isprintable() or c in "\t\n\r\f\v" for c in text)
+    return bool(text) and text.translate(dict.fromkeys(range(9, 14))).isprintable()
 
 
 def _wide(data: bytes) -> list[tuple[int, int]]:
@@ -218,7 +201,7 @@ class Layer:
 
     def read(self, data: bytes, spots: Sequence[int], packed: bool) -> Iterator[Layer]:
         """Layers of the bytes that the base64 characters at spots hold; packed: after unpacking, when each stands for all of it."""
-        if _is_text(data) or READABLE.search(data):
+        if READABLE.search(data) or _is_text(data):
             yield self._inner(data, range(len(data)), 1, spots, packed)
         for a, b in _wide(data):
             low = data[a] == 0
@@ -272,34 +255,52 @@ def _bytes(run: str) -> bytes | None:
         return None
 
 
-def _packed(layer: Layer, data: bytes, spots: Sequence[int], refused: list[int]) -> list[Layer] | None:
-    """Layers in packed data, and in what follows it, from the base64 characters at spots; None if it isn't packed."""
-    try:
-        packed = _unpack(data, refused)
-        if packed is None:
-            return None
-        rest = data[packed[1] :]
-        for _ in range(8):  # packed again without a text layer between
-            again = _unpack(packed[0], refused)
-            if again is None or again[0] == packed[0]:
+def _packed(layer: Layer, data: bytes, spots: Sequence[int], refused: list[int]) -> Iterator[Layer]:
+    """Layers in packed data, and in what follows it, from the base64 characters at spots. Returns whether it is packed."""
+    work, seen, left, inside = [data], set(), MOST, False
+    while work:  # packed again without a text layer between
+        data = work.pop()
+        packed, out, large = Unpacking(data), bytearray(), False
+        for piece in packed.pieces():
+            out += piece
+            left -= len(piece)
+            if left < 0:
+                large, packed.end = True, len(data)
                 break
-            packed = again
-    except Refused:
-        refused.append(1)
-        return []
-    return [*layer.read(packed[0], spots, True), *(layer.read(data, spots, False) if READABLE.search(rest) or _wide(rest) else ())]
+            if len(out) > LARGEST:
+                large = True
+                yield from layer.read(bytes(out), spots, True)
+                del out[: -(LARGEST // 4)]
+        if large or not packed.whole:
+            refused.append(1)
+        if not packed.end:
+            if not inside:
+                return False
+            yield from layer.read(data, spots, True)
+            continue
+        rest = data[packed.end :]
+        if READABLE.search(rest) or _wide(rest):
+            yield from layer.read(data, spots, inside)
+        inside = True
+        if large:
+            yield from layer.read(bytes(out), spots, True)
+        elif (mark := hashlib.blake2b(out, digest_size=16).digest()) not in seen:
+            seen.add(mark)
+            work.append(bytes(out))
+    return True
 
 
-def _from_base64(layer: Layer, start: int, end: int, refused: list[int]) -> tuple[list[Layer], bool, bool]:
-    """Layers in the base64 from start to end, whether it was packed, and whether nothing in it is left unread."""
+def _from_base64(layer: Layer, start: int, end: int, refused: list[int], read: bool = True) -> Iterator[Layer]:
+    """Layers in the base64 from start to end; not read: if it is packed only. Returns whether it was packed, and whether it is a text."""
     data = _bytes(layer.text[start:end].rstrip("="))
     if data is None:
-        return [], False, False
+        return False, False
     spots = range(start, end)
-    packed = _packed(layer, data, spots, refused)
-    if packed is not None:
-        return packed, True, bool(packed)
-    return list(layer.read(data, spots, False)), False, _is_text(data)
+    packed = yield from _packed(layer, data, spots, refused)
+    if packed or not read:
+        return packed, False
+    yield from layer.read(data, spots, False)
+    return False, _is_text(data)
 
 
 def _from_lines(layer: Layer, start: int, end: int, refused: list[int]) -> Iterator[Layer]:
@@ -318,7 +319,7 @@ def _from_lines(layer: Layer, start: int, end: int, refused: list[int]) -> Itera
     for n, (a, b) in enumerate(lines):
         if n + 1 < len(lines) and PACKED.match(_bytes(run[at : at + 12].ljust(12, "A"))):
             part = run[at:]
-            yield from _packed(layer, _bytes(part[:-1] if len(part) % 4 == 1 else part), spots[at:], refused) or ()
+            yield from _packed(layer, _bytes(part[:-1] if len(part) % 4 == 1 else part), spots[at:], refused)
         at += b - a
 
 
@@ -337,35 +338,37 @@ def unwrap(layer: Layer, refused: list[int]) -> Iterator[Layer]:
         while m.start() >= b and b < len(text):
             a, b = next(ends)
         # Of packed data in lines, one line alone is a stream broken off, which must not be counted.
-        whole, unpacked, done = _from_base64(layer, m.start(), m.end(), [] if a <= m.start() < b else refused)
-        yield from whole
-        if done:
+        packed, is_text = yield from _from_base64(layer, m.start(), m.end(), [] if a <= m.start() < b else refused)
+        if is_text:
             continue
         for part in re.finditer(r"[A-Za-z0-9+]{16,}", m[0]) if re.search(r"[/_-]", m[0]) else ():  # a path or a name around it
-            if unpacked and not part.start():
+            if packed and not part.start():
                 continue
             end = m.start() + part.end()
-            inner, packed, _ = _from_base64(layer, m.start() + part.start(), m.end() if end >= m.end() - 2 and m[0].endswith("=") else end, refused)
-            if packed or part.start() % 4 or not whole:  # else whole has read these bytes already
-                yield from inner
+            end = m.end() if end >= m.end() - 2 and m[0].endswith("=") else end
+            # A part that begins with a group of the whole has been read with it, if that could be decoded.
+            yield from _from_base64(layer, m.start() + part.start(), end, refused, part.start() % 4 != 0 or len(m[0].rstrip("=")) % 4 == 1)
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
     """Spans of the text itself, all spans, layers seen and layers refused."""
     text = text or ""
     base = base_spans(text)
-    found, refused, work, seen = set(base), [], [Layer(text)], set()
+    found, refused, seen = set(base), [], set()
+    work = [unwrap(Layer(text), refused)]  # depth first, so that few layers are held at a time
     while work:
-        layer = work.pop()
-        for inner in unwrap(layer, refused):
-            mark = (hashlib.blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *inner.place(0, len(inner.text)))
-            if mark in seen:
-                continue
-            seen.add(mark)
-            for s, k, e in base_spans(inner.text):
-                a, b = inner.place(s, e)
-                found.add((a, k, b))
-            work.append(inner)
+        inner = next(work[-1], None)
+        if inner is None:
+            work.pop()
+            continue
+        mark = (hashlib.blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *inner.place(0, len(inner.text)))
+        if mark in seen:
+            continue
+        seen.add(mark)
+        for s, k, e in base_spans(inner.text):
+            a, b = inner.place(s, e)
+            found.add((a, k, b))
+        work.append(unwrap(inner, refused))
     return base, sorted(found), len(seen), len(refused)
 
 
@@ -390,8 +393,8 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
     n_assign, n_access, n_hex, base_sha256: what the text itself holds; spans: with what its layers
     hold, as kind:start:end in code points of the document. n_layers: layers unwrapped; n_refused:
-    layers that would have unfolded to more than 64 MiB, and packed data that breaks off or is damaged,
-    of which what could be unpacked was scanned. Null and empty texts have no spans; repeated
+    packed data that unfolds to more than 64 MiB (scanned in overlapping blocks up to 1 GiB, but not unpacked
+    again) or that breaks off or is damaged (what could be unpacked was scanned). Null and empty texts have no spans; repeated
     rows and null doc_ids are kept as they are. Other columns are not read.
     """
     prepare(docs.sparkSession)

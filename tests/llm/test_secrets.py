@@ -108,6 +108,26 @@ def test_all_members_of_packed_data():
     assert [k for _, k, _ in secrets.scan(base64.b64encode(frame + zstandard.compress(two)).decode())[1]] == [1]
 
 
+def test_packed_many_times():
+    data = KEY.encode()
+    for _ in range(40):
+        data = gzip.compress(data)
+    _, every, _, refused = secrets.scan(base64.b64encode(data).decode())
+    assert [k for _, k, _ in every] == [1] and refused == 0
+    inner = gzip.compress(gzip.compress(b"x") + b" " + KEY.encode())
+    assert [k for _, k, _ in secrets.scan(base64.b64encode(inner).decode())[1]] == [1]
+
+
+def test_large_layers_are_scanned_in_blocks(monkeypatch):
+    monkeypatch.setattr(secrets, "LARGEST", 1 << 14)
+    monkeypatch.setattr(secrets, "MOST", 1 << 18)
+    for at in (0, (1 << 14) - 10, 3 << 14, (1 << 17) - 5):
+        data = b" " * at + KEY.encode() + b" " * ((1 << 17) - at)
+        _, every, _, refused = secrets.scan(base64.b64encode(gzip.compress(data)).decode())
+        assert [k for _, k, _ in every] == [1] and refused == 1, at
+    assert secrets.scan(base64.b64encode(gzip.compress(b" " * (1 << 19))).decode())[3] == 1
+
+
 def test_bombs_are_refused():
     bomb = base64.b64encode(gzip.compress(b"a" * (secrets.LARGEST + 10))).decode()
     assert secrets.scan(bomb)[3] == 1
