@@ -3,7 +3,7 @@
 A layer is a text with the place in the document that each of its characters stands for. The
 document is the first layer. A worklist takes a layer, scans it, and adds what it unwraps to:
 percent escapes, Unicode escapes (\\uXXXX, \\UXXXXXXXX, \\xXX, &#N;), base64 (standard or
-URL-safe), and gzip, zlib, bzip2, xz or zstd data inside base64. It ends when no layer is new;
+URL-safe), and gzip, zlib, bzip2, xz or zstd data in base64 or in escapes. It ends when no layer is new;
 layers already seen (same text for the same place) are not taken again, which ends cycles.
 Decoded bytes need not be a text: all that is looked for is ASCII, so bytes are read one by one, and
 again as UTF-16 where ASCII and zero bytes alternate; bytes of other kinds between are no hindrance.
@@ -42,6 +42,9 @@ WORDS = ("passw", "secret", "token", "apikey", "api_key")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 ESCAPE = re.compile(r"\\[uUx]([0-9A-Fa-f]+)|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
+#: Single bytes of packed data in escapes: percent (in forms + is a space), and those of strings in programs, JSON and XML.
+PERCENT_BYTE, PLUS_BYTE = re.compile(r"%[0-9A-Fa-f]{2}"), re.compile(r"%[0-9A-Fa-f]{2}|\+")
+ESCAPED_BYTE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|\\[abfnrtv0\\'\"/]")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Base64 over line breaks and indentation. From its start only, so that a long run is passed over once.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+(?:\r*+\n|\r)[\x20\t]*+[A-Za-z0-9+/_-]++)++")
@@ -219,31 +222,65 @@ class Layer:
         return Layer(text, starts, ends)
 
 
-def _percent(m: re.Match) -> list[tuple[str, int, int]] | None:
-    try:
-        text = bytes.fromhex(m[0].replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def _percent(m: re.Match) -> list[tuple[str, int, int]]:
+    """UTF-8; bytes that aren't are characters by themselves."""
     out, at = [], 0
-    for c in text:
-        n = 3 * len(c.encode("utf-8"))
-        out.append((c, at, at + n))
+    for c in bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape"):
+        bad = 0xDC80 <= ord(c) < 0xDD00
+        n = 3 if bad else 3 * len(c.encode("utf-8"))
+        out.append((chr(ord(c) - 0xDC00) if bad else c, at, at + n))
         at += n
     return out
 
 
-def _unicode(m: re.Match) -> list[tuple[str, int, int]] | None:
+def _unicode(m: re.Match) -> list[tuple[str, int, int]]:
+    """Characters of the escapes; half a pair and what is no code point become U+FFFD."""
     out: list[tuple[str, int, int]] = []
     for e in ESCAPE.finditer(m[0]):
         code = int(e[2]) if e[2] else int(e[1] or e[3], 16)
-        if code > 0x10FFFF:
-            return None
         if out and 0xDC00 <= code < 0xE000 and 0xD800 <= ord(out[-1][0]) < 0xDC00:
             high, a, _ = out.pop()
             out.append((chr(0x10000 + ((ord(high) - 0xD800) << 10) + code - 0xDC00), a, e.end()))
         else:
-            out.append((chr(code), e.start(), e.end()))
-    return out if not any(0xD800 <= ord(c) < 0xE000 for c, _, _ in out) else None
+            out.append((chr(code) if code <= 0x10FFFF else "\ufffd", e.start(), e.end()))
+    return [("\ufffd" if 0xD800 <= ord(c) < 0xE000 else c, a, b) for c, a, b in out]
+
+
+def _byte(m: re.Match) -> list[tuple[str, int, int]] | None:
+    """The byte that an escape stands for."""
+    if m[0] == "+":
+        code = 0x20
+    elif m[0][0] == "%":
+        code = int(m[0][1:], 16)
+    elif e := ESCAPE.fullmatch(m[0]):
+        code = int(e[2]) if e[2] else int(e[1] or e[3], 16)
+    else:
+        code = ord("\a\b\f\n\r\t\v\0\\'\"/"["abfnrtv0\\'\"/".index(m[0][1])])
+    return [(chr(code), 0, len(m[0]))] if code < 256 else None
+
+
+def _carried(layer: Layer, escape: re.Pattern, refused: list[int]) -> Iterator[Layer]:
+    """Layers in packed data of which some bytes are escaped and others stand as they are."""
+    raw = layer.rewritten(escape, _byte)
+    if raw is None:
+        return
+    data, after = raw.text.encode("latin-1", "replace"), 0
+    for m in PACKED.finditer(data):
+        at = m.start()
+        if at < after:
+            continue
+        try:
+            _engine(data, at).decompress(data[at : at + FEED])
+        except _BROKEN:
+            continue
+        packed, left = Unpacking(data[at:]), MOST
+        for piece in packed.pieces():
+            left -= len(piece)
+            if left < 0:
+                break
+        if packed.end or left < 0:
+            after = at + (packed.end or len(data) - at)
+            yield from _packed(raw, data[at:after], range(at, after), refused)
 
 
 def _bytes(run: str) -> bytes | None:
@@ -327,8 +364,11 @@ def unwrap(layer: Layer, refused: list[int]) -> Iterator[Layer]:
     text = layer.text
     if "%" in text and (out := layer.rewritten(PERCENT, _percent)):
         yield out
+        for escape in (PERCENT_BYTE, PLUS_BYTE) if "+" in text else (PERCENT_BYTE,):
+            yield from _carried(layer, escape, refused)
     if ("\\" in text or "&#" in text) and (out := layer.rewritten(UNICODE, _unicode)):
         yield out
+        yield from _carried(layer, ESCAPED_BYTE, refused)
     lines = [m.span() for m in WRAPPED.finditer(text)] if "\n" in text or "\r" in text else []
     for a, b in lines:
         yield from _from_lines(layer, a, b, refused)

@@ -108,6 +108,25 @@ def test_all_members_of_packed_data():
     assert [k for _, k, _ in secrets.scan(base64.b64encode(frame + zstandard.compress(two)).decode())[1]] == [1]
 
 
+def test_packed_data_in_escapes():
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
+        data = pack(KEY.encode() + b" " + hashlib.sha512(KEY.encode()).digest() * 2)
+        forms = ["".join(f % b for b in data) for f in ("%%%02X", "\\x%02x", "\\u%04x", "&#%d;")]
+        forms += [urllib.parse.quote(data, safe=""), urllib.parse.quote_plus(data), repr(data)[2:-1]]
+        for form in forms:
+            assert (1, 4, 4 + len(form)) in found(f"see {form} x ~"), (pack, form)
+            assert secrets.scan(f"see {form} x ~")[3] == 0
+
+
+def test_escapes_that_are_not_all_valid():
+    quoted = "".join(f"%{ord(c):02X}" for c in KEY)
+    for before, after in (("%E9", ""), ("", "%E9"), ("%C3", "%C3%A9%FF"), ("%F0%9F", "%80")):
+        assert found(before + quoted + after) == [(1, len(before), len(before + quoted))]
+    escaped = "".join(f"\\u{ord(c):04x}" for c in KEY)
+    for before, after in (("\\ud83d", ""), ("", "\\ude00"), ("\\U00110000", "\\ud83d\\ude00")):
+        assert found(before + escaped + after) == [(1, len(before), len(before + escaped))]
+
+
 def test_packed_many_times():
     data = KEY.encode()
     for _ in range(40):
