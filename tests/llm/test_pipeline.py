@@ -54,6 +54,16 @@ def test_one_of_each_class_stays(spark, stages):
     assert {r.doc_id for r in after} == {d for d, c in classes.items() if d == c}
 
 
+def test_one_row_of_each_class_stays(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(7, a, 0), (7, a, 1), (None, a, 2), (None, b, 3), (None, b + " end", 4), (9, a, 5), (9, c, 6), (8, d, 7), (8, d, 8), (6, d, 9), (None, d, 10), (None, None, 11), (None, "", 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    after = pipeline.near_dedup(spark, docs, SF)
+    got = after.collect()
+    assert after.columns == docs.columns and {tuple(r) for r in got} <= set(rows)
+    assert sorted((r.doc_id or 0, (r.text or "-")[0]) for r in got) == [(0, "-"), (0, "b"), (6, "d"), (7, "a"), (9, "c")]
+
+
 def test_mix_takes_effect(spark, stages):
     from test_tables import brute_targets
 
