@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import cut
-
+from .cluster import cut, met
 
 def _print(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -18,9 +17,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round points the larger neighbours of a node at its smallest neighbour (large star), then
     does so for the smaller ones (small star); logarithmically many rounds suffice in practice.
-    The minimum of a node is pre-aggregated before its shuffle and joined back, so a node with very
-    many links is a skewed join, which AQE splits, and never a group in one task.
-    Nulls and self-links are ignored.
+    The minimum of a node is pre-aggregated before its shuffle and joined back in salted parts, so a node
+    with very many links is never a group in one task. Nulls and self-links are ignored.
     """
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u != v")
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -28,11 +26,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not seen[0]:
             break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # An edge's larger end goes to the smallest neighbour of its smaller end, or to that end if it has none.
+        low = e.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = cut(met(e, low, "v", how="left").select("u", F.coalesce("m", "v").alias("v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = met(large, low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = _print(e)
         if now == seen:
