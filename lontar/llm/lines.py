@@ -1,26 +1,33 @@
 """Repeated lines, by levelled sorted runs of line hashes.
 
 A run is a table (h1, h2, n, top): for each line key its 128-bit hash, in how many documents it
-occurs and the largest doc_id among them, sorted by hash. A batch of documents becomes a run of level
-0; as soon as a level has FANIN runs they are merged into one of the next level, so a key is
-rewritten a logarithmic number of times. Documents come in batches by a hash of their id, so counts
-of different runs add up. new_lines() gives what a batch has and no run: the anti-join by which a
-stream of batches keeps first lines only. Here the largest doc_id of all keeps a line, so lines meet
-the merged runs after the last batch, and those that belong to another document go.
+occurs and the largest doc_id among them, bucketed and sorted by hash. Documents come in batches by a
+hash of their id, of a size that grows with the input. Each batch is merge-anti-joined with the runs:
+keys that no run has become a run of level 0, and what the batch adds to known keys goes into a list
+of updates, which is small, as only repeated keys are in it. As soon as a level has FANIN runs they
+are merged into one of the next level. Runs and batches share their buckets, so that no join or merge
+among them shuffles. After the last batch updates meet their keys, and the few keys that are in many
+documents meet the lines.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import spread
-from .cluster import cut, prepare
+from .cluster import cut, met, prepare, shared_folder, unused
 
 SHORTEST, COMMON = 40, 5
-BATCHES, FANIN = 4, 4
+#: Lines in a batch, and batches at most: beyond that batches grow with the input.
+BATCH_LINES, BATCHES, FANIN = 25_000, 4, 2
+#: Positions of lines that go are broadcast up to so many bytes; more are joined by a shuffle. Keys in many documents, too.
+SMALL = 16 << 20
+#: Groups that a line in very many documents is counted in.
+SALTS = 64
 #: The white space that is stripped, and the letters that are lower-cased.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,74 +37,128 @@ def line_key(line: F.Column) -> F.Column:
     return F.translate(F.btrim(line, F.lit(SPACE)), UPPER, LOWER)
 
 
-class LineRuns:
-    """Levels of sorted runs of (h1, h2, n, top)."""
+class Tables:
+    """Tables in the shared folder, bucketed and sorted by (h1, h2). Their names are dropped at the end; files stay, as checkpoints do."""
 
-    def __init__(self, fanin: int = FANIN):
-        self.fanin, self.levels = fanin, [[]]
+    def __init__(self, spark: SparkSession):
+        self.spark, self.names = spark, []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        every = reduce(DataFrame.unionByName, runs)
-        return every.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+    def stored(self, df: DataFrame, *more: str) -> DataFrame:
+        """df as a table, in folders by more columns."""
+        self.names.append(f"runs_{uuid.uuid4().hex}")
+        writer = df.write.format("parquet").option("path", shared_folder(self.spark, "runs")).bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+        (writer.partitionBy(*more) if more else writer).saveAsTable(self.names[-1])
+        return self.spark.table(self.names[-1])
 
-    def new_lines(self, lines: DataFrame) -> DataFrame:
-        """Those of lines (h1, h2, ...) that no run has."""
-        runs = [r for level in self.levels for r in level]
-        return reduce(lambda left, run: left.join(run.select("h1", "h2"), ["h1", "h2"], "left_anti"), runs, lines)
+    def __enter__(self) -> Tables:
+        return self
 
-    def add(self, lines: DataFrame) -> None:
-        """A batch of lines (h1, h2, doc) becomes a run; full levels are compacted."""
-        run = lines.select("h1", "h2", "doc").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("top"))
-        self.levels[0].append(cut(run.sortWithinPartitions("h1", "h2")))
-        for level, runs in enumerate(self.levels):
-            if len(runs) >= self.fanin:
-                if level + 1 == len(self.levels):
-                    self.levels.append([])
-                self.levels[level + 1].append(cut(self._merged(runs).sortWithinPartitions("h1", "h2")))
-                runs.clear()
+    def __exit__(self, *_) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
-    def compacted(self) -> DataFrame | None:
-        runs = [r for level in self.levels for r in level]
-        return runs[0] if len(runs) == 1 else self._merged(runs) if runs else None
 
+class LineRuns:
+    """Levels of sorted runs of (h1, h2, n, top), with the updates to their keys."""
+
+    def __init__(self, tables: Tables, fanin: int = FANIN):
+        self.tables, self.fanin, self.levels, self.updates = tables, fanin, [[]], []
 
-def _split(docs: DataFrame) -> DataFrame:
-    lowest = -(2**63)
-    return docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest).cast("long"))).withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("__t", F.xxhash64("__text"))
+    def runs(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in level]
+
+    def new_lines(self, lines: DataFrame) -> DataFrame:
+        """Those of lines (h1, h2, ...) that no run has."""
+        return reduce(lambda left, run: left.join(run.select("h1", "h2"), ["h1", "h2"], "left_anti"), self.runs(), lines)
+
+    def add(self, batch: DataFrame) -> None:
+        """Keys of a batch (h1, h2, n, top): new ones become a run, known ones updates; full levels are merged with it."""
+        parts, level = [batch], 0
+        if self.runs():
+            known = [batch.join(run.select("h1", "h2"), ["h1", "h2"], "left_semi") for run in self.runs()]
+            self.updates.append(cut(reduce(DataFrame.unionByName, known)))
+            parts = [self.new_lines(batch)]
+        while level < len(self.levels) and len(self.levels[level]) + 1 >= self.fanin:
+            parts += self.levels[level]
+            self.levels[level] = []
+            level += 1
+        if level == len(self.levels):
+            self.levels.append([])
+        if self.updates:
+            every = reduce(DataFrame.unionByName, parts)
+            batch = self.tables.stored(every.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("top").alias("top")))
+        self.levels[level].append(batch)
+
+    def common(self, least: int) -> DataFrame:
+        """(h1, h2, n, top) of the keys in least or more documents."""
+        if not self.updates:
+            return reduce(DataFrame.unionByName, self.runs()).where(F.col("n") >= least)
+        more = reduce(DataFrame.unionByName, self.updates).groupBy("h1", "h2").agg(F.sum("n").alias("more"), F.max("top").alias("later"))
+        more, n = cut(more), F.col("n") + F.coalesce("more", F.lit(0))
+        summed = [run.join(more, ["h1", "h2"], "left").select("h1", "h2", n.alias("n"), F.greatest("top", "later").alias("top")) for run in self.runs()]
+        return reduce(DataFrame.unionByName, summed).where(F.col("n") >= least)
+
+
+def _split(docs: DataFrame) -> tuple[F.Column, F.Column, F.Column]:
+    """doc_id, null the lowest number; the text, null the empty one; a hash of it."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")), text, F.xxhash64(text)
+
+
+def arrivals(keyed: DataFrame) -> DataFrame:
+    """(h1, h2, n, top, batch) of lines (doc, h1, h2, batch): what each batch has of a key, bucketed.
+
+    A line counts once in a document. Lines are counted in salted groups before they meet by key.
+    """
+    salted = keyed.select("h1", "h2", "doc", "batch", F.pmod(F.xxhash64("doc", F.lit(29)), F.lit(SALTS)).alias("salt"))
+    once = salted.repartition("h1", "h2", "salt").distinct()
+    counted = once.groupBy("h1", "h2", "salt", "batch").agg(F.count("*").alias("n"), F.max("doc").alias("top"))
+    return counted.repartition(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h1", "h2").groupBy("h1", "h2", "batch").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
 
 
-def repeated_positions(docs: DataFrame, shortest: int = SHORTEST, common: int = COMMON, batches: int = BATCHES) -> DataFrame:
+def repeated_positions(docs: DataFrame, shortest: int = SHORTEST, common: int = COMMON, batch_lines: int = BATCH_LINES, batches: int = BATCHES) -> DataFrame:
     """(doc, t, positions): for each document the lines that go. doc: the doc_id, null the lowest number; t: a hash of the text."""
-    lines = _split(docs.select("doc_id", "text")).select(F.col("__doc").alias("doc"), F.col("__t").alias("t"), F.posexplode(F.split("__text", "\n", -1)).alias("at", "line"))
+    doc, text, mark = _split(docs)
+    lines = docs.select(doc.alias("doc"), mark.alias("t"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
     keyed = lines.select("doc", "t", "at", line_key(F.col("line")).alias("key")).where(F.length("key") >= shortest)
-    keyed = cut(keyed.select("doc", "t", "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(17), "key").alias("h2"), F.pmod(F.xxhash64("doc", F.lit(23)), F.lit(batches)).cast("int").alias("batch")))
-    runs = LineRuns()
-    for batch in range(batches):
-        runs.add(keyed.where(F.col("batch") == batch))
-    known = runs.compacted().where(F.col("n") >= common)
-    gone = keyed.join(known, ["h1", "h2"]).where("doc != top")
+    keyed = cut(keyed.select("doc", "t", "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(17), "key").alias("h2")))
+    number = max(1, min(batches, -(-keyed.count() // batch_lines)))
+    with Tables(docs.sparkSession) as tables:
+        every = tables.stored(arrivals(keyed.withColumn("batch", F.pmod(F.xxhash64("doc", F.lit(23)), F.lit(number)).cast("int"))), "batch")
+        runs = LineRuns(tables)
+        for batch in range(number):
+            runs.add(every.where(F.col("batch") == batch).drop("batch"))
+        known = cut(runs.common(common).select("h1", "h2", "top"))
+    hot = F.broadcast(known) if known.count() * 24 <= SMALL else None
+    gone = (keyed.join(hot, ["h1", "h2"]) if hot is not None else met(keyed, known, "h1", "h2")).where("doc != top")
     return gone.groupBy("doc", "t").agg(F.sort_array(F.collect_set("at")).alias("positions"))
 
 
-def dedup_lines(docs: DataFrame, shortest: int = SHORTEST, common: int = COMMON, batches: int = BATCHES) -> DataFrame:
-    """Every row of docs (doc_id, text, ...) with its text cleaned, and n_lines and n_dropped beside it.
+def dedup_lines(docs: DataFrame, shortest: int = SHORTEST, common: int = COMMON, batch_lines: int = BATCH_LINES, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """Every row of docs (doc_id, text, ...) with its text cleaned, and the numbers of its lines and of those dropped beside it.
 
     A text is split at line feeds; null and empty texts are one empty line. A line's key is the line
     without white space at its ends, A-Z lower-cased. Keys of shortest code points or more that are
     in common or more documents lose their lines everywhere but in the largest doc_id that has them,
     where all stay. Rows with one doc_id are one document to this count, and so are those without a
-    doc_id, which is lower than any. An empty table gives no rows. Columns of docs stay as they are.
+    doc_id, which is lower than any. An empty table gives no rows. The numbers come in columns named
+    by counts, in place of such of docs; all other columns, whatever their names, stay as they are.
     """
     prepare(docs.sparkSession)
-    gone = repeated_positions(docs, shortest, common, batches)
-    rows = _split(docs).join(gone.select(F.col("doc").alias("__doc"), F.col("t").alias("__t"), F.col("positions").alias("__gone")), ["__doc", "__t"], "left")
-    rows = rows.withColumn("__parts", F.split("__text", "\n", -1)).withColumn("__n", F.size("__parts"))
-    kept = F.expr("transform(array_except(sequence(0, __n - 1), __gone), i -> element_at(__parts, i + 1))")
-    joined = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(F.array_join(kept, "\n"))
-    rows = rows.withColumn("__dropped", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")))
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    return rows.select(*own, joined.alias("text"), F.col("__n").cast("long").alias("n_lines"), F.col("__dropped").cast("long").alias("n_dropped"))
+    gone = cut(repeated_positions(docs, shortest, common, batch_lines))
+    size = gone.agg(F.coalesce(F.sum(F.size("positions") * 8 + 40), F.lit(0))).first()[0]
+    doc_at, text_at, mark_at, gone_at = (unused([*docs.columns, *counts], f"__{c}") for c in ("doc", "text", "mark", "gone"))
+    doc, text, mark = _split(docs)
+    gone = gone.select(F.col("doc").alias(doc_at), F.col("t").alias(mark_at), F.col("positions").alias(gone_at))
+    rows = docs.withColumns({doc_at: doc, text_at: text, mark_at: mark}).join(F.broadcast(gone) if size <= SMALL else gone, [doc_at, mark_at], "left")
+    parts = F.split(F.col(text_at), "\n", -1)
+    kept = F.filter(parts, lambda line, i: ~F.array_contains(F.col(gone_at), i))
+    cleaned = F.when(F.col(gone_at).isNull(), F.col(text_at)).otherwise(F.array_join(kept, "\n"))
+    dropped = F.when(F.col(gone_at).isNull(), 0).otherwise(F.size(gone_at))
+    lines = F.length(text_at) - F.length(F.replace(F.col(text_at), F.lit("\n"), F.lit(""))) + 1
+    own = [cleaned.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns if c not in counts]
+    return rows.select(*own, lines.cast("long").alias(counts[0]), dropped.cast("long").alias(counts[1]))
 
 
 def op6_line_runs(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lontar.llm import lines, mixing, quality, sharding, urls
 
@@ -76,20 +77,51 @@ def test_lines(spark):
     common, rare = "A line that many documents share, long enough to count.", "A line that only four documents share, long enough."
     rows = [(i, f"own {i}\n{common.upper() if i % 2 else '  ' + common}\t\n{common}\n\nshort", "a") for i in range(8)]
     rows += [(10 + i, rare, "a") for i in range(4)] + [(3, f"second text of 3\n{common}", "a"), (None, common, None), (20, common + "\r", "a"), (21, "K" + common, "a"), (22, common + "\n" + common, None)] + EDGES
-    for batches in (1, 4, 17):
-        got = lines.dedup_lines(docs(spark, rows), batches=batches).collect()
+    for batch_lines in (1000, 12, 2):
+        got = lines.dedup_lines(docs(spark, rows), batch_lines=batch_lines).collect()
         assert sorted([(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got], key=str) == brute_lines(rows)
     assert got[0].key == "y" and lines.dedup_lines(docs(spark, [])).collect() == []
 
 
-def test_new_lines_are_those_of_no_run(spark):
-    schema = "h1 long, h2 long, doc long"
-    runs = lines.LineRuns(fanin=2)
-    for batch in ([(1, 1, 1), (2, 2, 1)], [(2, 2, 2), (3, 3, 2)], [(4, 4, 3)]):
+def test_clashing_names_stay(spark):
+    schema = "doc_id long, text string, n_lines int, __n int, __doc int, __gone string, n string, h1 int, at int"
+    rows = [(i, "a line that is in more documents than four of them\nown", 77, 88, 99, "gone", "n", 5, 6) for i in range(6)]
+    got = lines.dedup_lines(spark.createDataFrame(rows, schema), counts=("l", "d")).collect()
+    assert all((r.n_lines, r["__n"], r["__doc"], r["__gone"], r.n, r.h1, r["at"], r.l) == (77, 88, 99, "gone", "n", 5, 6, 2) for r in got)
+    assert sorted(r.d for r in got) == [0, 1, 1, 1, 1, 1]
+
+
+def test_batches_are_anti_joined_with_runs(spark, monkeypatch):
+    schema = "h1 long, h2 long, n long, top long"
+    runs = lines.LineRuns(lines.Tables(spark), fanin=2)
+    for batch in ([(1, 1, 1, 1), (2, 2, 1, 1)], [(2, 2, 1, 2), (3, 3, 1, 2)], [(4, 4, 2, 3), (2, 2, 1, 9)]):
         runs.add(spark.createDataFrame(batch, schema))
-    assert [len(r) for r in runs.levels] == [1, 1]
-    assert [r.h1 for r in runs.new_lines(spark.createDataFrame([(3, 3, 9), (5, 5, 9)], schema)).collect()] == [5]
-    assert {r.h1: (r.n, r.top) for r in runs.compacted().collect()} == {1: (1, 1), 2: (2, 2), 3: (1, 2), 4: (1, 3)}
+    assert [len(r) for r in runs.levels] == [1, 1] and len(runs.updates) == 2  # three batches: two merged, one on its own
+    assert [r.h1 for r in runs.new_lines(spark.createDataFrame([(3, 3, 1, 9), (5, 5, 1, 9)], schema)).collect()] == [5]
+    assert {r.h1: (r.n, r.top) for r in runs.common(1).collect()} == {1: (1, 1), 2: (3, 9), 3: (1, 2), 4: (2, 3)}
+    assert {r.h1 for r in runs.common(2).collect()} == {2, 4}
+
+
+def test_runs_share_buckets(spark):
+    """The anti-join of a batch with runs shuffles nothing, nor does their merge."""
+    tables = lines.Tables(spark)
+    made = [tables.stored(spark.range(9000).select(F.xxhash64("id", F.lit(b)).alias("h1"), F.col("id").alias("h2"), F.lit(1).cast("long").alias("n"), F.col("id").alias("top")).repartition(4, "h1", "h2")) for b in range(2)]
+    runs = lines.LineRuns(tables)
+    runs.levels[0].append(made[0])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange" not in runs.new_lines(made[1])._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in runs.new_lines(made[1]).unionByName(made[0]).groupBy("h1", "h2").agg(F.sum("n"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_levels_are_reached(spark, monkeypatch):
+    seen = []
+    known = lines.LineRuns.common
+    monkeypatch.setattr(lines.LineRuns, "common", lambda self, least: seen.append(len(self.levels)) or known(self, least))
+    lines.dedup_lines(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), batch_lines=100).count()
+    assert seen == [3]
 
 
 # ------------------------------------------------------------ URLs
