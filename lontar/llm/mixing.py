@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import cut, prepare
+from .cluster import cut, prepare, told_apart, unused
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -29,37 +29,49 @@ def word_count(text: F.Column) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources (source, ...) with their place from 0 in order of code points, null last; in ranges, never in one task."""
+    order = F.col("source").asc_nulls_last()
+    parts = cut(sources.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))  # a row for each partition, no more
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = parts.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy(order)))
+    return own.join(F.broadcast(before), "part").withColumn("place", F.col("own") - 1 + F.col("before")).drop("part", "own", "before")
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """(source, source_size, target) from (source, source_size): shares by weight, none above most times its size.
 
-    With sources in order of size for a weight, those that the water level reaches are full; the
-    others share what is left by weight.
+    What is left of all words after full sources is shared by the others by weight; those that would
+    get more than their bound are full, too, and so on until none is. Each round is one sum over the sources.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    share = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")).cast("double")
-    rows = sources.withColumn("w", share).withColumn("cap", (most * F.col("source_size")).cast("double"))
-    by = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    upto, onward = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
-    every = Window.partitionBy()
-    rows = rows.withColumn("level", (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))) / F.sum("w").over(onward))
-    rows = rows.withColumn("full", F.col("cap") <= F.col("w") * F.col("level"))
-    left = F.sum("source_size").over(every) - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(every), F.lit(0.0))
-    loose = F.sum(F.when(~F.col("full"), F.col("w"))).over(every)
-    return rows.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("w") * left / loose).alias("target"))
-
-
-def _settle(level: int) -> F.Column:
+    share = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("double")
+    rows = cut(ranked(sources).select("source", "source_size", share.alias("w"), (most * F.col("source_size")).cast("double").alias("cap")))
+    full = F.lit(False)
+    every = rows.agg(F.sum("source_size")).first()[0] or 0
+    number = -1
+    while True:
+        n, held, loose = rows.agg(F.count_if(full), F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)), F.sum(F.when(~full, F.col("w")))).first()
+        level = (every - held) / loose if loose else 0.0
+        if n == number:
+            break
+        number, full = n, F.col("cap") < F.col("w") * F.lit(level)
+    # level is that of the same full sources that were counted: they stay full as it rises
+    return rows.select("source", "source_size", F.when(full, F.col("cap")).otherwise(F.col("w") * F.lit(level)).alias("target"))
+
+
+def _settle(level: int, kind: str) -> F.Column:
     """Fold over the documents of a block: (left: the one with a fraction, done: documents and copies)."""
     a, b = "acc.one", "x"
     up = f"least((1 - {a}.p) * {a}.size, {b}.p * {b}.size)"  # words that can move to the left one
     down = f"least({a}.p * {a}.size, (1 - {b}.p) * {b}.size)"
     draw = f"pmod(xxhash64({a}.mark, {b}.mark, {SEED + level}), 1000003) / 1000003D"
     to_left = f"({draw} * ({up} + {down}) < {down})"
-    done = lambda one, more: f"struct({one}.id, {one}.size, {one}.source_size, {one}.target, {one}.base + {more} as copies)"
-    rest = lambda one, p: f"struct({one}.id, {one}.size, {one}.source_size, {one}.target, {one}.base, {p} as p, {one}.mark)"
+    done = lambda one, more: f"struct({one}.row, {one}.size, {one}.source_size, {one}.target, {one}.base + {more} as copies)"
+    rest = lambda one, p: f"struct({one}.row, {one}.size, {one}.source_size, {one}.target, {one}.base, {p} as p, {one}.mark)"
     step = lambda left, out: f"struct({left} as one, array_append(acc.done, {out}) as done)"
     return F.expr(f"""aggregate(slice(items, 2, size(items)),
-      struct(items[0] as one, cast(array() as array<struct<id: bigint, size: bigint, source_size: bigint, target: double, copies: int>>) as done),
+      struct(items[0] as one, cast(array() as array<struct<row: {kind}, size: bigint, source_size: bigint, target: double, copies: int>>) as done),
       (acc, x) -> CASE
         WHEN {to_left} AND (1 - {a}.p) * {a}.size <= {b}.p * {b}.size
           THEN {step(rest(b, f"({b}.p * {b}.size - (1 - {a}.p) * {a}.size) / {b}.size"), done(a, 1))}
@@ -70,60 +82,70 @@ def _settle(level: int) -> F.Column:
       END)""")
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """A row for each row of docs (doc_id, text, source, ...): doc_id, size, source, source_size, target, copies, taken.
-
-    size: words of the text (null: none). Sources in order of code points, null last, have the
-    weights in turn. A document is taken copies times, at most `most`; taken is copies times size.
-    Documents without words are taken as often as their source's whole part. The draw depends on ids
-    and sizes alone, so reruns agree; repeated rows are drawn one by one. An empty table gives no
-    rows. Other columns are not read.
-    """
-    prepare(docs.sparkSession)
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")))
+def _drawn(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """(row, size, source, source_size, target, copies) for each row of sized (row: a struct, source, size). Equal rows are drawn one by one."""
+    sized, kind = cut(told_apart(sized)), dict(sized.dtypes)["row"]
     sources = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
+    few = sources.count() <= FEW
     named = sources.select(F.col("source").alias("of"), "source_size", "target")
-    rows = sized.join(F.broadcast(named) if sources.count() <= FEW else named, F.col("source").eqNullSafe(F.col("of")))
+    rows = sized.join(F.broadcast(named) if few else named, F.col("source").eqNullSafe(F.col("of")))
     times = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     rows = rows.withColumn("base", F.floor(times).cast("int")).withColumn("p", times - F.floor(times))
     whole = (F.col("p") <= 1e-12) | (F.col("size") == 0)
-    out = [rows.where(whole).select("id", "size", "source", "source_size", "target", F.col("base").alias("copies"))]
+    out = [rows.where(whole).select("row", "size", "source", "source_size", "target", F.col("base").alias("copies"))]
 
-    left = rows.where(~whole).select("id", "size", "source", "source_size", "target", "base", "p", F.xxhash64("id", "size", F.lit(SEED)).alias("mark"))
-    open_by = sources.select("source").join(left.groupBy("source").agg(F.count("*").alias("n")).withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select("of", "n")
-    few = sources.count() <= FEW
-    most_open = left.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    open_by = cut(open_by)
+    item = ["row", "size", "source_size", "target", "base", "p", "mark"]
+    left = rows.where(~whole).withColumn("mark", F.xxhash64("row.*", "size", "occurrence", F.lit(SEED))).select("source", *item)
+    open_by = cut(left.groupBy(F.col("source").alias("of")).agg(F.count("*").alias("n")))
+    most_open = open_by.agg(F.max("n")).first()[0] or 0
     level = 0
     while most_open:
         parts = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(float(BLOCK) ** (level + 1)))).cast("int")
         counted = open_by.select(F.col("of").alias("o"), parts.alias("parts"))
         dealt = left.join(F.broadcast(counted) if few else counted, F.col("source").eqNullSafe(F.col("o"))).withColumn("part", F.pmod(F.xxhash64("mark", F.lit(level)), F.col("parts")))
-        item = F.struct("mark", "id", "size", "source_size", "target", "base", "p")
-        blocks = dealt.groupBy("source", "part").agg(F.sort_array(F.collect_list(item)).alias("items"))
-        items = F.transform("items", lambda x: F.struct(x["id"].alias("id"), x["size"].alias("size"), x["source_size"].alias("source_size"), x["target"].alias("target"), x["base"].alias("base"), x["p"].alias("p"), x["mark"].alias("mark")))
-        settled = cut(blocks.withColumn("items", items).select("source", _settle(level).alias("s")).select("source", "s.one", "s.done"))
-        out.append(settled.select("source", F.inline("done")).select("id", "size", "source", "source_size", "target", "copies"))
-        left = settled.select("source", "one.*").select("id", "size", "source", "source_size", "target", "base", "p", "mark")
+        blocks = dealt.groupBy("source", "part").agg(F.sort_array(F.collect_list(F.struct("mark", F.struct(*item).alias("item")))).alias("items"))
+        settled = cut(blocks.withColumn("items", F.col("items.item")).select("source", _settle(level, kind).alias("s")).select("source", "s.one", "s.done"))
+        out.append(settled.select("source", F.inline("done")).select("row", "size", "source", "source_size", "target", "copies"))
+        left = settled.select("source", "one.*").select("source", *item)
         last = BLOCK ** (level + 1) >= most_open
         level += 1
         if last:
             one = F.pmod(F.xxhash64("mark", F.lit(SEED - 1)), F.lit(1000003)) / F.lit(1000003.0) < F.col("p")
-            out.append(left.select("id", "size", "source", "source_size", "target", (F.col("base") + one.cast("int")).alias("copies")))
+            out.append(left.select("row", "size", "source", "source_size", "target", (F.col("base") + one.cast("int")).alias("copies")))
             break
-    every = reduce(DataFrame.unionByName, out)
-    return every.select(F.col("id").alias("doc_id"), "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """A row for each row of docs (doc_id, text, source, ...): doc_id, size, source, source_size, target, copies, taken.
+
+    size: words of the text (null: none). Sources in order of code points, null last, have the
+    weights in turn. A document is taken copies times, at most `most`; taken is copies times size.
+    Documents without words are taken as often as their source's whole part. The draw depends on ids,
+    sources and sizes alone, so reruns agree, however rows are partitioned; repeated rows are drawn one by
+    one, and so are rows without an id. An empty table gives no rows. Other columns are not read.
+    """
+    prepare(docs.sparkSession)
+    sized = docs.select(F.struct(F.col("doc_id").cast("long").alias("id")).alias("row"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    every = _drawn(sized, weights, most)
+    return every.select(F.col("row.id").alias("doc_id"), "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken."""
-    place = Window.partitionBy("__id").orderBy("__source", "__size")
-    rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")), "__source": F.col("source").cast("string"), "__size": word_count(F.col("text").cast("string"))})
-    rows = rows.withColumn("__at", F.row_number().over(place))
-    plan = mixed(docs, weights, most).select(F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    plan = plan.withColumn("__at", F.row_number().over(place)).where("__copies > 0").select("__id", "__at", "__copies")
-    taken = rows.join(plan, ["__id", "__at"]).withColumn("__one", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return taken.select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The mix itself: each row of docs as often as it is taken.
+
+    Rows are known by two hashes of all their columns (maps left out), so that what is taken of a row doesn't
+    depend on the order of rows; equal rows are one row to be taken as often as all of them. Columns of docs
+    stay as they are, whatever their names. An empty table gives no rows.
+    """
+    prepare(docs.sparkSession)
+    columns = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    h1, h2, copies = (unused(docs.columns, f"__{c}") for c in ("h1", "h2", "copies"))
+    rows = docs.withColumns({h1: F.xxhash64(*columns), h2: F.xxhash64(F.lit(SEED), *columns)})
+    sized = rows.select(F.struct(F.col(h1).alias("h1"), F.col(h2).alias("h2")).alias("row"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    plan = _drawn(sized, weights, most).groupBy(F.col("row.h1").alias(h1), F.col("row.h2").alias(h2)).agg(F.sum("copies").alias(copies)).where(F.col(copies) > 0)
+    taken = rows.dropDuplicates([h1, h2]).join(plan, [h1, h2])
+    return taken.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_pivotal(spark, sf_dir: str) -> DataFrame:

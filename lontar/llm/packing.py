@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..ship import spread
-from .cluster import cut, prepare
+from .cluster import cut, prepare, told_apart
 
 LENGTH = 2048
 #: Groups in which equal lengths are numbered.
@@ -188,13 +188,13 @@ def pack(docs: DataFrame, tokenizer: str, most: int = LENGTH) -> DataFrame:
     """
     spark = prepare(docs.sparkSession)
     pieces = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pieces(tokenizer, most), "doc_id long, piece int, start long, length long, ids_crc32 long"))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
+    salted = told_apart(pieces, "number").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "number"), F.lit(SALTS)).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     totals = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # one row for each length
     plan = best_fit_plan(totals, most)
     rows = spark.createDataFrame(plan, "plan_length long, low long, high long, first long, each long, base long")
-    ranked = salted.withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
+    ranked = salted.withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32", "number")))
     ranked = ranked.join(before, ["length", "salt"]).withColumn("rank", F.col("own") - 1 + F.col("before"))
     placed = ranked.join(F.broadcast(rows) if len(plan) <= 100_000 else rows, (F.col("length") == F.col("plan_length")) & F.col("rank").between(F.col("low"), F.col("high")))
     at = F.col("rank") - F.col("low")

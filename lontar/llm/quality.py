@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import prepare
+from .cluster import prepare, unused
 
 BITS = 18
 MARKS = 1 << 13
@@ -175,39 +175,45 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal |
         return None
     chosen = F.broadcast(spark.createDataFrame(drawn, "id long, grade int"))  # sample rows at most
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(chosen, "id").select("id", "grade", "text")
+    texts = texts.withColumn("mark", F.xxhash64("text")).dropDuplicates(["id", "mark"])  # at most a sample's texts
 
     def hashed(frames):
         for f in frames:
-            yield f.assign(x=[features(t) for t in f["text"]])[["id", "grade", "x"]]
+            yield f.assign(x=[features(t) for t in f["text"]])[["id", "mark", "grade", "x"]]
 
-    rows = texts.mapInPandas(hashed, "id long, grade int, x array<int>").orderBy("id").limit(2 * sample).toPandas()
+    # Of the texts of one doc_id, the one with the smallest hash: as many rows as the sample has.
+    found = texts.mapInPandas(hashed, "id long, mark long, grade int, x array<int>").groupBy("id").agg(F.min_by(F.struct("grade", "x"), "mark").alias("one"))
+    rows = found.select("id", "one.*").orderBy("id").toPandas()
     if not len(rows):
         return None
     return Ordinal.fit([np.asarray(x, np.int32) for x in rows["x"]], rows["grade"].to_numpy(np.int64))
 
 
-def graded(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Every row of docs (doc_id, text, ...) with expected_grade and p_keep beside it.
+def graded(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, names: tuple[str, str] = ("expected_grade", "p_keep")) -> DataFrame:
+    """Every row of docs (doc_id, text, ...) with its expected grade and the chance of the highest beside it, in columns of those names.
 
     Null and empty texts have the features of no text. Without any labels both are null. Repeated
-    rows and null doc_ids are graded like others. Columns of docs stay as they are, except such of
-    those two names.
+    rows and null doc_ids are graded like others; an empty table gives no rows. Columns of docs stay as
+    they are, whatever their names, except such of the two names, which are replaced.
     """
     spark = prepare(docs.sparkSession)
-    own = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in ("expected_grade", "p_keep")])
+    own = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in names])
     model = train(docs, labels, sample)
     if model is None:
-        return own.withColumns({c: F.lit(None).cast("double") for c in ("expected_grade", "p_keep")})
+        return own.withColumns({c: F.lit(None).cast("double") for c in names})
     shared = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
-    @F.pandas_udf("expected_grade double, p_keep double")
+
+    @F.pandas_udf("expected double, tail double")
     def grade(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         weights, thresholds = shared.value
         held = Ordinal(weights, thresholds)
         for t in texts:
             tails = held.tails(np.asarray([float(weights[features(x)].sum(dtype=np.float64)) for x in t], np.float64))
-            yield pd.DataFrame({"expected_grade": tails.sum(axis=1), "p_keep": tails[:, -1]})
+            yield pd.DataFrame({"expected": tails.sum(axis=1), "tail": tails[:, -1]})
 
-    return own.withColumn("__grade", grade(F.col("text").cast("string"))).select(*own.columns, "__grade.expected_grade", "__grade.p_keep")
+    both = unused(own.columns, "__grade")
+    kept = [F.col(f"`{c}`") for c in own.columns]
+    return own.withColumn(both, grade(F.col("text").cast("string"))).select(*kept, F.col(f"`{both}`.expected").alias(names[0]), F.col(f"`{both}`.tail").alias(names[1]))
 
 
 def op9_ordinal(spark, sf_dir: str) -> DataFrame:

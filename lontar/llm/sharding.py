@@ -1,7 +1,7 @@
 """Shards by fixed virtual slots.
 
-A record's slot is a hash of it and never changes. Bytes are summed for each slot, and a small
-versioned map says which shard holds which slot. Rebalancing edits the map: whole slots move from
+A record's slot is a hash of its doc_id and text and never changes; an edited text is another record. Bytes are
+summed for each slot, and a small versioned map says which shard holds which slot. Rebalancing edits the map: whole slots move from
 the fullest shards to the emptiest, so that the sizes of shards come near each other and few records
 move. Maps have as many rows as there are slots, whatever the corpus.
 """
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .cluster import cut, prepare
+from .cluster import cut, prepare, shared_folder, told_apart
 
 SLOTS = 8192
 SHARDS = 40
@@ -108,10 +108,22 @@ class SlotMap:
         """Store this version beside the earlier ones."""
         self.frame(spark).coalesce(1).write.mode("errorifexists").parquet(f"{path}/map_version={self.version}")
 
+    @staticmethod
+    def latest(spark: SparkSession, path: str) -> SlotMap | None:
+        """The latest version stored under path, if any is."""
+        from pyspark.errors import AnalysisException
+
+        try:
+            return SlotMap.load(spark, path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
         """A stored version, the latest unless said."""
-        every = spark.read.parquet(path)
+        every = spark.read.parquet(f"{path}/map_version=*")
         version = every.agg(F.max("version")).first()[0] if version is None else version
         rows = every.where(F.col("version") == version).orderBy("vslot").collect()  # one for each slot
         return SlotMap(version, max(r["shard"] for r in rows) + 1, tuple(r["shard"] for r in rows))
@@ -128,30 +140,35 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, p
     """A row for each row of docs (doc_id, text, ...): doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot.
 
     size: UTF-8 bytes of the text (null: none) and 16. The law is `bytes`. vslot: the virtual slot, a
-    hash of doc_id and text; slot: the row's place in its shard, gapless from 0, by virtual slot.
-    grown_shard is null under this law. Maps are stored under path, if given. Repeated rows and null
-    doc_ids each have a place; an empty table gives no rows. Other columns are not read.
+    hash of doc_id, text and, for repeated rows, their number; slot: the row's place in its shard,
+    gapless from 0, by virtual slot. grown_shard is null under this law. Under path, if given, maps are
+    kept: the latest one, with as many slots and shards, is rebalanced and stored as the next version, so
+    that few slots move; without one the first map is. Repeated rows and null doc_ids each have a place
+    of their own; equal texts are spread like others. An empty table gives no rows. Other columns are not read.
     """
     spark = prepare(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    rows = cut(rows.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int")))
+    rows = cut(told_apart(rows, "number").withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32", "number"), F.lit(slots)).cast("int")))
     held = {r["vslot"]: (r["bytes"], r["n"]) for r in rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}  # one row for each slot
-    first = SlotMap.initial(slots, shards)
-    balanced = first.rebalanced({s: b for s, (b, _) in held.items()})
+    last = SlotMap.latest(spark, path) if path else None
+    if last is None or (last.shards, len(last.owner)) != (shards, slots):
+        last = SlotMap(last.version + 1 if last else 0, shards, SlotMap.initial(slots, shards).owner)
+        if path:
+            last.save(spark, path)
+    balanced = last.rebalanced({s: b for s, (b, _) in held.items()})
     if path:
-        for version in (first, balanced):
-            version.save(spark, path)
+        balanced.save(spark, path)
     starts, ends = [], [0] * shards
     for slot, shard in enumerate(balanced.owner):
         starts.append((slot, shard, ends[shard]))
         ends[shard] += held.get(slot, (0, 0))[1]
     places = F.broadcast(spark.createDataFrame(starts, "vslot int, shard int, before long"))  # as many rows as slots
-    own = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
+    own = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size", "number"))
     placed = rows.withColumn("own", own).join(places, "vslot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("own") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
 def op5_slots(spark, sf_dir: str) -> DataFrame:
-    """All documents in 40 shards of near equal bytes."""
-    return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All documents in 40 shards of near equal bytes; both versions of the map are stored in the shared folder."""
+    return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), path=shared_folder(spark, "slot-maps"))

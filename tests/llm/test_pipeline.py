@@ -96,14 +96,38 @@ def test_packing_holds_every_token(stages):
     assert max(load.values()) <= packing.LENGTH
 
 
+ODD = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "no id here", "en", "a", 10), (3, "long " * 20_000, "en", "b", 100_000), (4, "twice", "en", "b", 5), (4, "twice", "en", "b", 5)]
+
+
 def test_odd_tables(spark, tmp_path):
     """Nulls, empty and long texts, repeated rows and an empty table pass through all stages."""
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "no id here", "en", "a", 10), (3, "long " * 20_000, "en", "b", 100_000), (4, "twice", "en", "b", 5), (4, "twice", "en", "b", 5)]
-    for name, data in (("odd", rows), ("none", [])):
+    for name, data in (("odd", ODD), ("none", [])):
         folder = str(tmp_path / name)
         spark.createDataFrame(data, schema).write.parquet(f"{folder}/documents.parquet")
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
         made = pipeline.run(spark, folder).collect()
         assert bool(made) == bool(data)
     assert lines.SHORTEST == 40 and minhash.THRESHOLD == 0.8
+
+
+CLASHING = ["expected_grade", "p_keep", "n_lines", "n_dropped", "__row", "__doc", "__gone", "__h1", "__copies", "component_id", "node", "id", "first", "size", "copies", "row"]
+
+
+@pytest.mark.parametrize("stage", [f for _, f in pipeline.STAGES[:-1]], ids=[n for n, _ in pipeline.STAGES[:-1]])
+def test_stages_on_odd_rows_and_clashing_names(spark, tmp_path, stage):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(*r, *CLASHING) for r in ODD], schema)
+    got = stage(spark, docs, str(tmp_path))
+    rows = got.collect()
+    assert got.columns == docs.columns and all(list(r)[5:] == CLASHING for r in rows)
+    texts = Counter(r.text or "" for r in rows)
+    given = Counter(r[1] or "" for r in ODD)
+    if stage in (pipeline.quality_classifier, pipeline.line_dedup):
+        assert texts == given
+    elif stage is pipeline.near_dedup:
+        assert texts == dict.fromkeys(given, 1) and {r.doc_id for r in rows if not r.text} == {1}
+    else:
+        assert all(n <= 3 * given[t] for t, n in texts.items())
+    assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []

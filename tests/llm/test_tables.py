@@ -37,6 +37,30 @@ def test_shards(spark, tmp_path):
     assert sharding.shard_documents(docs(spark, [])).collect() == []
 
 
+def test_shards_move_little_when_more_comes(spark, tmp_path):
+    rows = [(i, "x" * (i * 7 % 97), "c") for i in range(3000)]
+    before = {r.vslot: r.shard for r in sharding.shard_documents(docs(spark, rows), 10, 256, str(tmp_path)).collect()}
+    after = {r.vslot: r.shard for r in sharding.shard_documents(docs(spark, rows + [(9000 + i, "y" * 50, "c") for i in range(300)]), 10, 256, str(tmp_path)).collect()}
+    assert sharding.SlotMap.latest(spark, str(tmp_path)).version == 2
+    assert sum(after[s] != o for s, o in before.items()) <= 40
+
+
+def test_shards_query(spark, sf):
+    """Law `bytes` at 40 shards over whole tables; repeated rows are spread."""
+    got = sharding.op5_slots(spark, "/root/testdata/sf0.01").collect()
+    want = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in want)
+    load, by = Counter(), defaultdict(list)
+    for r in got:
+        load[r.shard] += r.size
+        by[r.shard].append(r.slot)
+    assert set(load) == set(range(40)) and max(load.values()) - min(load.values()) <= max(r.size for r in got)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values()) and {(r.law, r.grown_shard) for r in got} == {("bytes", None)}
+    same = sharding.shard_documents(docs(spark, [(1, "same text", "a")] * 4000)).collect()
+    sizes = Counter(r.shard for r in same)
+    assert len(sizes) == 40 and max(sizes.values()) - min(sizes.values()) <= 2
+
+
 def test_rebalancing_evens_out_and_moves_little():
     rng = np.random.default_rng(1)
     sizes = {s: int(x) for s, x in enumerate(rng.lognormal(3, 1, 4096))}
@@ -196,6 +220,43 @@ def test_grade_edges(spark):
     assert {r.p_keep for r in none.collect()} == {None} and quality.graded(docs(spark, []), labels).collect() == []
 
 
+def test_ordinal_equals_a_dense_fit(spark):
+    """The sparse fit against the likelihood of cumulative links written out over a dense matrix: no step lowers its loss much."""
+    rng = np.random.default_rng(6)
+    names = [quality.bucket(f"w word{i}") for i in range(12)]
+    grade = rng.integers(0, 3, 900)
+    rows = [np.asarray(sorted({names[j] for j in range(12) if rng.random() < (0.1 + 0.25 * (2 - g) if j < 6 else 0.3)}), np.int32) for g in grade]
+    model = quality.Ordinal.fit(rows, grade)
+    used = np.flatnonzero(model.weights)
+    x = np.asarray([[b in set(r.tolist()) for b in used] for r in rows], float)
+
+    def loss(w, t):
+        cuts = np.concatenate([[-np.inf], t, [np.inf]])
+        score = x @ w
+        p = 1 / (1 + np.exp(-(cuts[grade + 1] - score))) - 1 / (1 + np.exp(-(cuts[grade] - score)))
+        return -np.log(np.maximum(p, 1e-12)).mean() + 1e-3 * (w @ w) / 2  # the fit's decay
+
+    w, t = np.zeros(len(used)), np.asarray([-1.0, 1.0])
+    with np.errstate(over="ignore"):
+        for _ in range(800):  # plain descent on numeric slopes
+            g = np.asarray([(loss(w + h, t) - loss(w - h, t)) / 2e-4 for h in np.eye(len(w)) * 1e-4])
+            k = np.asarray([(loss(w, t + h) - loss(w, t - h)) / 2e-4 for h in np.eye(2) * 1e-4])
+            w, t = np.minimum(w - 1.0 * g, 0), t - 1.0 * k
+        own, best = loss(model.weights[used], model.thresholds), loss(w, t)
+    assert set(used) <= set(names[:6]) and len(used) == 6
+    assert own <= best + 0.01
+    tails = model.tails(np.asarray([0.0]))[0]
+    assert np.allclose(tails, 1 / (1 + np.exp(model.thresholds))) and tails[0] > tails[1]
+
+
+def test_grades_leave_clashing_names(spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    rows = [(i, "BAD!! " * 9 if i % 2 else "fine words", 7, "grade", 5.0) for i in range(40)]
+    got = quality.graded(spark.createDataFrame(rows, "doc_id long, text string, __grade int, grade string, p_keep double"), labels)
+    assert got.columns == ["doc_id", "text", "__grade", "grade", "expected_grade", "p_keep"]
+    assert all(r["__grade"] == 7 and r.grade == "grade" and r.p_keep != 5.0 for r in got.collect())
+
+
 # ------------------------------------------------------------ mixes
 
 
@@ -235,10 +296,13 @@ def test_mix(spark):
     for s in sizes:
         assert abs(taken[s] - want[s]) <= largest[s]
     assert Counter(tuple(r) for r in got) == Counter(tuple(r) for r in mixing.mixed(frame.repartition(7)).collect())
-    copies = Counter()
-    for r in got:
-        copies[r.doc_id, r.size] += r.copies
-    assert Counter((r.doc_id, len((r.text or "").split())) for r in mixing.repeated(frame).collect()) == Counter({k: v for k, v in copies.items() if v})
+    mix = [(r.doc_id, r.text, r.source, r["size"], r.key, r.rule) for r in mixing.repeated(frame).collect()]
+    assert Counter(mix) == Counter((r.doc_id, r.text, r.source, r["size"], r.key, r.rule) for r in mixing.repeated(frame.repartition(5)).collect())
+    assert {m[3:] for m in mix} == {("x", "y", "z")}
+    given, kept = Counter((d, t, s) for d, t, s in rows), Counter(m[:3] for m in mix)
+    assert all(n <= 3 * given[k] for k, n in kept.items())
+    for s in sizes:
+        assert abs(sum(len((m[1] or "").split()) for m in mix if m[2] == s) - want[s]) <= largest[s]
 
 
 def test_mix_is_unbiased(spark):
