@@ -3,18 +3,27 @@
 Vectors are lengthened by one coordinate that makes all norms equal, so that the largest inner
 product is the smallest angle, and turned by rotations learned on a bounded sample (principal axes,
 then iterative quantisation); the signs are the code. Codes are split into substrings, each with an
-index. Two codes within R of each other agree to within R / substrings in at least one of them, so
-probing each index to that radius retrieves every code within R. Those codes are reranked by the
-vectors themselves. R is learned too: the radius that holds nearly all true neighbours in the
-sample; it grows for a query that finds fewer than k.
+index. By the pigeonhole principle, probing m substrings to radius r retrieves every code within
+m (r + 1) - 1 bits. What is retrieved is reranked by the vectors themselves.
 
-Rows are dealt to blocks of bounded size, as are queries; a task searches one block of rows for one
-block of queries and returns k rows a query at most.
+How long substrings are, how many, and the radius are learned, too: of those that hold nearly all
+true neighbours of the sample, the ones that cost least. As the nearest k of n rows are about the
+nearest k s / n of a sample of s (of which a few more are taken), larger tables get tighter radii. A query that finds k or fewer in a
+block probes on with larger radii.
+
+Rows are dealt to blocks that fit in memory, each in one block, whose index is built once; the
+queries, a twentieth of the rows, pass by each block in a stream.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import combinations
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,140 +32,192 @@ from .vectors import usable
 
 K, EVERY = 20, 20
 #: Rotations, each of as many bits as a vector has components and one more.
-ROTATIONS = 3
-#: Bits in a substring.
-SUBSTRING = 16
-#: Vectors that rotations and radius are learned on, and the share of sample neighbours that the radius must hold.
-SAMPLE, HELD = 6000, 0.97
-ROW_BLOCK, QUERY_BLOCK = 16_384, 1_024
-
-_BITS = np.asarray([bin(i).count("1") for i in range(1 << SUBSTRING)], np.uint8)
+ROTATIONS = 24
+#: Lengths of substrings and radii to choose from.
+LENGTHS, RADII = (12, 14, 16), (0, 1, 2)
+#: Vectors that rotations and substrings are learned on, and the share of true neighbours that must be found.
+SAMPLE, HELD = 6000, 0.94
+#: What a block may hold, and the rows that are worth a task.
+BLOCK_BYTES, BLOCK_ROWS = 64 << 20, 8192
+#: Queries that are probed together.
+TOGETHER = 64
 
 
+@dataclass
 class Codes:
-    """Rotations and radius learned from a sample."""
+    """Rotations, and how their bits are cut into substrings and probed."""
 
-    def __init__(self, sample: np.ndarray, norm: float, k: int = K, seed: int = 5):
-        self.norm, self.width = norm or 1.0, sample.shape[1] + 1
+    norm: float
+    rotations: np.ndarray
+    length: int = 16
+    parts: int = 1
+    radius: int = 0
+
+    @staticmethod
+    def learned(sample: np.ndarray, norm: float, rows: int, k: int = K, seed: int = 5) -> Codes:
+        """From a sample of `rows` rows, of which the longest has that norm."""
         rng = np.random.default_rng(seed)
-        long = self.lengthened(sample)
+        own = Codes(norm or 1.0, np.zeros((sample.shape[1] + 1, 0)))
+        long = own.lengthened(sample)
         axes = np.linalg.eigh(long.T @ long)[1][:, ::-1]
         turned = long @ axes
-        self.rotations = np.concatenate([axes @ self._quantised(turned, rng) for _ in range(ROTATIONS)], axis=1)
-        self.bits = self.rotations.shape[1]
-        asked = np.arange(0, len(sample), max(1, len(sample) // 300))
+        own.rotations = np.concatenate([axes @ _quantised(turned, rng) for _ in range(ROTATIONS)], axis=1)
+        asked = np.arange(0, len(sample), max(1, len(sample) // 400))
         scores = sample[asked] @ sample.T
         scores[np.arange(len(asked)), asked] = -np.inf
-        k = min(k, len(sample) - 1)
-        if k > 0:
-            near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-            words = self.packed(long)
-            own = self.packed(self.asked(sample[asked]))
-            far = np.bitwise_count(words[near] ^ own[:, None, :]).sum(axis=2)
-            self.radius = int(np.quantile(far, HELD))
-        else:
-            self.radius = self.bits
+        near = min(len(sample) - 1, k, math.ceil(1.5 * k * len(sample) / max(rows, 1)) + 1)
+        if near > 0:
+            best = np.argpartition(-scores, near - 1, axis=1)[:, :near]
+            bits, query = own.bits(long), own.bits(own.asked(sample[asked]))
+            true = (bits[best] ^ query[:, None, :]).reshape(-1, bits.shape[1])
+            other = (bits[rng.integers(0, len(sample), (len(asked), 60))] ^ query[:, None, :]).reshape(-1, bits.shape[1])
+            own.choose(true, other, min(rows, BLOCK_ROWS))
+        return own
+
+    def choose(self, true: np.ndarray, other: np.ndarray, rows: int) -> None:
+        """The substrings that find enough of true, pairs of a query and a neighbour, for the least probes and rows fetched."""
+        best = None
+        for length in LENGTHS:
+            most = true.shape[1] // length
+            if not most:
+                continue
+            far = [x[:, : most * length].reshape(len(x), most, length).sum(axis=2, dtype=np.int32) for x in (true, other)]
+            for radius in RADII:
+                found, fetched = (np.maximum.accumulate(f <= radius, axis=1).mean(axis=0) for f in far)
+                enough = np.flatnonzero(found >= HELD)
+                parts = int(enough[0]) + 1 if len(enough) else most
+                cost = (len(_masks(length, radius)) * parts * 0.02 + fetched[parts - 1] * rows * 0.2, -found[parts - 1])
+                if best is None or (len(enough) > 0, -cost[0], -cost[1]) > best[0]:
+                    best = ((len(enough) > 0, -cost[0], -cost[1]), length, parts, radius)
+        if best:
+            _, self.length, self.parts, self.radius = best
 
     def lengthened(self, x: np.ndarray) -> np.ndarray:
         x = x / self.norm
         return np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))[:, None]], axis=1)
 
     def asked(self, q: np.ndarray) -> np.ndarray:
+        q = q / np.abs(q).max(axis=1, keepdims=True)
         q = q / np.linalg.norm(q, axis=1, keepdims=True)
         return np.concatenate([q, np.zeros((len(q), 1))], axis=1)
 
-    @staticmethod
-    def _quantised(x: np.ndarray, rng: np.random.Generator, rounds: int = 20) -> np.ndarray:
-        """A rotation that brings x near to the corners of a cube."""
-        r = np.linalg.qr(rng.standard_normal((x.shape[1], x.shape[1])))[0]
-        for _ in range(rounds):
-            u, _, v = np.linalg.svd(np.where(x @ r >= 0, 1.0, -1.0).T @ x)
-            r = (u @ v).T
-        return r
-
-    def packed(self, long: np.ndarray) -> np.ndarray:
-        """Codes as 64-bit words."""
-        raw = np.packbits(long @ self.rotations >= 0, axis=1, bitorder="little")
-        out = np.zeros((len(long), -(-self.bits // 64) * 8), np.uint8)
-        out[:, : raw.shape[1]] = raw
-        return out.view(np.uint64)
+    def bits(self, long: np.ndarray) -> np.ndarray:
+        return long @ self.rotations >= 0
+
+    def values(self, long: np.ndarray) -> np.ndarray:
+        """Each code's substrings as numbers."""
+        used = self.length * self.parts
+        bits = (long @ self.rotations[:, :used] >= 0).reshape(len(long), self.parts, self.length)
+        return bits @ (1 << np.arange(self.length))
+
+
+def _quantised(x: np.ndarray, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+    """A rotation that brings x near to the corners of a cube."""
+    r = np.linalg.qr(rng.standard_normal((x.shape[1], x.shape[1])))[0]
+    for _ in range(rounds):
+        u, _, v = np.linalg.svd(np.where(x @ r >= 0, 1.0, -1.0).T @ x)
+        r = (u @ v).T
+    return r
+
+
+def _masks(length: int, radius: int) -> np.ndarray:
+    """All numbers of so many bits with at most radius ones."""
+    return np.asarray([sum(1 << b for b in on) for n in range(min(radius, length) + 1) for on in combinations(range(length), n)], np.int64)
 
 
 class MultiIndex:
-    """Codes of a block with an index on each substring."""
+    """The rows of a block with an index on each substring of their codes."""
 
-    def __init__(self, words: np.ndarray, bits: int):
-        self.words, self.parts = words, -(-bits // SUBSTRING)
+    def __init__(self, codes: Codes, x: np.ndarray):
+        self.codes, self.rows = codes, len(x)
         self.tables = []
-        for value in words.view(np.uint16)[:, : self.parts].T:
-            order = np.argsort(value, kind="stable")
-            values, first, count = np.unique(value[order], return_index=True, return_counts=True)
-            spot = np.full(1 << SUBSTRING, -1, np.int32)
-            spot[values] = np.arange(len(values))
-            self.tables.append((order, values, first, count, spot))
-        self.masks: dict[int, np.ndarray] = {}
-
-    def probes(self, table, value: int, radius: int) -> np.ndarray:
-        """Buckets of a substring's index within radius: by making the values, or by going through those there are."""
-        _, values, _, _, spot = table
-        if radius not in self.masks:
-            self.masks[radius] = np.flatnonzero(_BITS <= radius).astype(np.uint16)
-        if len(self.masks[radius]) < len(values):
-            at = spot[self.masks[radius] ^ np.uint16(value)]
-            return at[at >= 0]
-        return np.flatnonzero(_BITS[values ^ np.uint16(value)] <= radius)
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Every row whose code is within radius."""
-        found = np.zeros(len(self.words), bool)
-        for table, value in zip(self.tables, code.view(np.uint16)[: self.parts], strict=True):
-            order, values, first, count, _ = table
-            at = self.probes(table, value, radius // self.parts)
-            if len(at) == len(values):
-                found[:] = True
-                break
-            n = count[at]
-            ends = np.cumsum(n)
-            if len(ends):
-                found[order[np.arange(ends[-1]) + np.repeat(first[at] - (ends - n), n)]] = True
-        rows = np.flatnonzero(found)
-        return rows[np.bitwise_count(self.words[rows] ^ code).sum(axis=1) <= radius]
-
-
-def best(x: np.ndarray, ids: np.ndarray, rows: np.ndarray, query: np.ndarray, own: int, k: int) -> list[tuple[int, float]]:
-    rows = rows[ids[rows] != own]
-    score = np.einsum("ij,j->i", x[rows], query)
-    if len(rows) > k:
-        cut_at = np.partition(-score, k - 1)[k - 1]
-        rows, score = rows[-score <= cut_at], score[-score <= cut_at]
-    order = np.lexsort((ids[rows], -score))[:k]
-    return [(int(ids[rows[i]]), float(score[i])) for i in order]
+        for value in codes.values(codes.lengthened(x)).T:
+            ends = np.cumsum(np.bincount(value, minlength=1 << codes.length))
+            self.tables.append((np.argsort(value, kind="stable").astype(np.int32), np.concatenate([[0], ends])))
+
+    def fetched(self, values: np.ndarray, radius: int) -> np.ndarray:
+        """Which rows a query, of those with these substrings, fetches: a row of marks for each."""
+        out = np.zeros((len(values), self.rows), bool)
+        flat, masks = out.reshape(-1), _masks(self.codes.length, radius)
+        base = np.repeat(np.arange(len(values)) * self.rows, len(masks))
+        for (order, ends), value in zip(self.tables, values.T, strict=True):
+            probe = (value[:, None] ^ masks[None, :]).reshape(-1)
+            first, n = ends[probe], ends[probe + 1] - ends[probe]
+            stops = np.cumsum(n)
+            if stops[-1]:
+                flat[order[np.arange(stops[-1]) + np.repeat(first - (stops - n), n)] + np.repeat(base, n)] = True
+        return out
+
+
+class Block:
+    """Rows of one length; answers queries."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, codes: Codes | None, k: int):
+        self.x, self.ids, self.k = x.astype(np.float64), ids, k
+        self.codes = codes if codes is not None and x.shape[1] + 1 == len(codes.rotations) else None
+        self.index = MultiIndex(self.codes, self.x) if self.codes is not None else None
+        self.scale = np.abs(self.x).max() * np.sqrt(x.shape[1])
+        self.rough = (self.x / self.scale).astype(np.float32)
+        self.asked = self.seen = 0
+
+    def answer(self, q: np.ndarray, own: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        q = q.astype(np.float64)
+        for at in range(0, len(q), TOGETHER):
+            part, names = q[at : at + TOGETHER], own[at : at + TOGETHER]
+            if self.index is None:
+                marks = np.ones((len(part), len(self.x)), bool)
+            else:
+                values = self.codes.values(self.codes.asked(part))
+                radius, marks = self.codes.radius, self.index.fetched(values, self.codes.radius)
+                few = np.flatnonzero(marks.sum(axis=1) <= self.k)
+                while len(few) and radius < self.codes.length and self.k < len(self.x):
+                    radius += 1
+                    marks[few] = self.index.fetched(values[few], radius) if radius < 4 else True
+                    few = few[marks[few].sum(axis=1) <= self.k]
+            if len(self.x) <= self.k:
+                marks[:] = True
+            self.asked, self.seen = self.asked + len(part), self.seen + int(marks.sum())
+            for query, name, mark in zip(part, names, marks, strict=True):
+                yield from ((int(name), v, s) for v, s in self.best(np.flatnonzero(mark), query, name))
+
+    def best(self, rows: np.ndarray, query: np.ndarray, own: int) -> list[tuple[int, float]]:
+        rows = rows[self.ids[rows] != own]
+        if len(rows) > self.k:  # in single precision first, with room for its error
+            unit = query / np.abs(query).max()
+            rough = self.rough[rows] @ unit.astype(np.float32)
+            bound = np.partition(rough, len(rough) - self.k)[len(rough) - self.k]
+            rows = rows[rough >= bound - 1e-5 * np.linalg.norm(unit)]
+        score = np.einsum("ij,j->i", self.x[rows], query)
+        order = np.lexsort((self.ids[rows], -score))[: self.k]
+        return [(int(self.ids[rows[i]]), float(score[i])) for i in order]
 
 
 def _searcher(codes: Codes | None, k: int):
-    def run(group):
-        import pandas as pd
+    """For a partition in order of (size, block, asks): the nearest in each block for its queries."""
 
-        out: list[tuple[int, int, float]] = []
-        for size, part in group.groupby(group["x"].map(len), sort=False):
-            asked, rows = part[part["asks"]], part[~part["asks"]]
-            if not len(asked) or not len(rows):
-                continue
-            x, ids = np.asarray(rows["x"].tolist(), np.float64), rows["id"].to_numpy(np.int64)
-            q, own = np.asarray(asked["x"].tolist(), np.float64), asked["id"].to_numpy(np.int64)
-            index = None
-            if codes is not None and size + 1 == codes.width and len(rows) > 4 * k:
-                index, words = MultiIndex(codes.packed(codes.lengthened(x)), codes.bits), codes.packed(codes.asked(q))
-            for i in range(len(q)):
-                near = np.arange(len(x))
-                if index is not None:
-                    radius = codes.radius
-                    near = index.within(words[i], radius)
-                    while len(near) <= k and radius < codes.bits:
-                        radius += index.parts
-                        near = index.within(words[i], radius)
-                out += [(int(own[i]), v, s) for v, s in best(x, ids, near, q[i], own[i], k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+    def matrix(column: pa.ListArray, size: int) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, names, block = None, [], [], None
+        for batch in batches:
+            size, number, asks, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("size", "block", "asks", "id"))
+            breaks = np.flatnonzero((size[1:] != size[:-1]) | (number[1:] != number[:-1]) | (asks[1:] != asks[:-1])) + 1
+            out: list[tuple[int, int, float]] = []
+            for a, b in zip([0, *breaks], [*breaks, len(ids)], strict=True):
+                if a == b:
+                    continue
+                if key != (size[a], number[a]):
+                    key, held, names, block = (size[a], number[a]), [], [], None
+                x = matrix(batch.column("x").slice(a, b - a), size[a])
+                if not asks[a]:
+                    held.append(x)
+                    names.append(ids[a:b])
+                elif held:
+                    block = block or Block(np.concatenate(held), np.concatenate(names), codes, k)
+                    out += block.answer(x, ids[a:b])
+            columns = list(zip(*out, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -170,22 +231,24 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     empty table gives no rows. Other columns are not read.
     """
     spark = prepare(vectors.sparkSession)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
-    rows = cut(rows.where(usable("x") & F.col("id").isNotNull()).dropDuplicates(["id", "x"]))
-    asks = rows.where(F.pmod("id", F.lit(every)) == 0)
-    n, norm = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)))).first()
+    single = dict(vectors.dtypes)["embedding"] == "array<float>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("x"))
+    rows = cut(rows.where(usable("x") & F.col("id").isNotNull()).dropDuplicates(["id", "x"]).withColumn("size", F.size("x")))
+    n, norm, longest = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v.cast("double") * v))), F.max("size")).first()
     sample = [r["x"] for r in rows.select("x", F.xxhash64("id", F.lit(7)).alias("h")).orderBy("h").limit(SAMPLE).collect()]
     codes = None
     if sample:
         sizes = [len(x) for x in sample]
         usual = max(set(sizes), key=sizes.count)
-        codes = Codes(np.asarray([x for x in sample if len(x) == usual], np.float64), norm, k)
-    row_blocks, query_blocks = max(1, -(-n // ROW_BLOCK)), max(1, -(-asks.count() // QUERY_BLOCK))
-    other = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    own = lambda count: F.pmod(F.xxhash64("id", F.lit(13)), F.lit(count)).cast("int")
-    cells = rows.select("id", "x", F.lit(False).alias("asks"), own(row_blocks).alias("rb"), other(query_blocks).alias("qb"))
-    cells = cells.unionByName(asks.select("id", "x", F.lit(True).alias("asks"), other(row_blocks).alias("rb"), own(query_blocks).alias("qb")))
-    found = cells.groupBy("rb", "qb").applyInPandas(_searcher(codes, k), "query_id long, vec_id long, score double")
+        codes = Codes.learned(np.asarray([x for x in sample if len(x) == usual], np.float64), norm, n, k)
+    fits = BLOCK_BYTES // (4 * (longest or 1))
+    blocks = max(1, -(-n // fits), min(spark.sparkContext.defaultParallelism, -(-n // BLOCK_ROWS)))
+    own = F.pmod(F.xxhash64("id", F.lit(13)), F.lit(blocks)).cast("int")
+    cells = rows.select("id", "x", "size", F.lit(False).alias("asks"), own.alias("block"))
+    asks = rows.where(F.pmod("id", F.lit(every)) == 0)
+    cells = cells.unionByName(asks.select("id", "x", "size", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")))
+    dealt = cells.repartitionByRange(blocks, "block", "size").sortWithinPartitions("size", "block", "asks", "id")
+    found = dealt.mapInArrow(_searcher(codes, k), "query_id long, vec_id long, score double")
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -77,14 +77,47 @@ def test_search_recall_and_scores(spark):
 
 
 def test_probing_finds_every_code_in_radius():
+    """Pigeonhole: a code within parts * (radius + 1) - 1 bits agrees within the radius in at least one substring."""
     rng = np.random.default_rng(2)
-    words = rng.integers(0, 1 << 63, (500, 2), dtype=np.uint64)
-    words[250:] = words[:250] ^ (np.uint64(1) << rng.integers(0, 63, (250, 2), dtype=np.uint64))
-    index = search.MultiIndex(words, 128)
-    for radius in (0, 1, 3, 9, 40, 64):
-        for i in (0, 7, 300):
-            far = np.bitwise_count(words ^ words[i]).sum(axis=1)
-            assert index.within(words[i], radius).tolist() == np.flatnonzero(far <= radius).tolist()
+    x = rng.standard_normal((800, 16))
+    x[400:] = x[:400] + 0.3 * rng.standard_normal((400, 16))
+    codes = search.Codes.learned(x, np.linalg.norm(x, axis=1).max(), 800)
+    codes.length, codes.parts = 12, 5
+    index = search.MultiIndex(codes, x)
+    held, asked = (codes.bits(v)[:, :60] for v in (codes.lengthened(x), codes.asked(x)))
+    for radius in (0, 1, 2):
+        marks = index.fetched(codes.values(codes.asked(x[:50])), radius)
+        apart = (asked[:50, None, :] ^ held[None, :, :]).reshape(50, 800, 5, 12).sum(axis=3)
+        assert (marks == (apart.min(axis=2) <= radius)).all()
+        assert marks[apart.sum(axis=2) <= 5 * (radius + 1) - 1].all()
+
+
+def test_clusters_are_searched_by_a_small_share():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((200, 32))[rng.integers(0, 200, 8000)] + 0.3 * rng.standard_normal((8000, 32))
+    block = search.Block(x, np.arange(8000), search.Codes.learned(x[:6000], np.linalg.norm(x, axis=1).max(), 8000), 20)
+    hit, asked = 0, np.arange(0, 8000, 40)
+    got = {}
+    for q, v, _ in block.answer(x[asked], asked):
+        got.setdefault(q, set()).add(v)
+    for q in asked:
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert block.seen < 0.1 * block.asked * 8000 and hit >= 0.9 * 20 * len(asked)
+
+
+def test_search_query(spark, sf):
+    x = {r.vec_id: np.asarray(r.embedding, np.float64) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    got, hit = {}, 0
+    for r in search.op8_multi_index(spark, sf).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+        assert abs(r.score - x[r.query_id] @ x[r.vec_id]) < 1e-12
+    assert set(got) == {i for i in x if i % 20 == 0}
+    for q, found in got.items():
+        assert [k for k, _ in sorted(found)] == list(range(1, 21))
+        hit += len({v for _, v in found} & set(sorted((i for i in x if i != q), key=lambda i: (-(x[q] @ x[i]), i))[:20]))
+    assert hit >= 0.9 * 20 * len(got)
 
 
 def test_search_edges(spark):
