@@ -121,7 +121,8 @@ def repeated_positions(docs: DataFrame, shortest: int = SHORTEST, common: int =
     """(doc, t, positions): for each document the lines that go. doc: the doc_id, null the lowest number; t: a hash of the text."""
     doc, text, mark = _split(docs)
     lines = docs.select(doc.alias("doc"), mark.alias("t"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
-    keyed = lines.select("doc", "t", "at", line_key(F.col("line")).alias("key")).where(F.length("key") >= shortest)
+    long = lines.where(F.length("line") >= shortest)  # a key is no longer than its line
+    keyed = long.select("doc", "t", "at", line_key(F.col("line")).alias("key")).where(F.length("key") >= shortest)
     keyed = cut(keyed.select("doc", "t", "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(17), "key").alias("h2")))
     number = max(1, min(batches, -(-keyed.count() // batch_lines)))
     with Tables(docs.sparkSession) as tables:
