@@ -94,3 +94,23 @@ def with_money(df: DataFrame, value: str, locale: str = "locale", name: str = "m
     body = F.call_function("translate", plain, F.lit(",." + ASCII), F.concat("group", "decimal", "digits"))
     text = F.when(exact < 0, F.concat("negative_prefix", body, "negative_suffix")).otherwise(F.concat("prefix", body, "suffix"))
     return joined.select(*(F.col(f"`{c}`") for c in df.columns), text.alias(name))
+
+
+def dim_numbers(spark: SparkSession) -> DataFrame:
+    """How each locale writes plain numbers, a row for each, for joins with rows of many locales."""
+    rows = []
+    for code in R.LOCALES:
+        data = cldr.read(spark, code)
+        around = data.number
+        rows.append((code, data.group, data.decimal, data.digits, data.grouping_from, around.prefix, around.suffix, around.negative_prefix, around.negative_suffix))
+    return spark.createDataFrame(rows, "code string, group string, decimal string, digits string, grouping_from int, prefix string, suffix string, negative_prefix string, negative_suffix string")
+
+
+def written(value: Column, symbols: Column) -> Column:
+    """A number with at most three digits of a fraction, by a struct of dim_numbers()."""
+    exact = F.round(value.cast("double"), 3)
+    size = F.abs(exact)
+    plain = F.call_function("format_number", size, F.lit("#,##0.###"))
+    plain = F.when(size < symbols["grouping_from"], F.replace(plain, F.lit(","), F.lit(""))).otherwise(plain)
+    body = F.call_function("translate", plain, F.lit(",." + ASCII), F.concat(symbols["group"], symbols["decimal"], symbols["digits"]))
+    return F.when(exact < 0, F.concat(symbols["negative_prefix"], body, symbols["negative_suffix"])).otherwise(F.concat(symbols["prefix"], body, symbols["suffix"]))

@@ -1,12 +1,14 @@
-"""Words, clusters, line breaks and truncation of any locale, over Arrow batches.
+"""Words, clusters, line breaks and truncation of any locale.
 
-Rows of scripts without spaces are the only ones that need Python. Functions on a DataFrame split it
-by locale first, so that rows of other scripts stay in the JVM.
+Words of spaced scripts, and of all others where no lexicon and no engine of the user's is asked for, are found
+in the JVM, as are clusters of plain texts. Other rows go over Arrow batches to Python; a row that needn't go is
+null there, so that the source is read once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import registry as R
 from . import clusters as C
+from . import unspaced
 from .locale import cluster_script, resolve_locale
 from .text import spaced_words
 
@@ -21,6 +24,14 @@ ENGINES = ("lexical", "orthographic")
 Lexicons = dict[str, C.Lexicon]
 
 
+@dataclass(frozen=True)
+class Engine:
+    """A segmentation engine of the user's: segments(text, script) gives spans (text, whether it is a word) that together are the text."""
+
+    id: str
+    segments: Callable[[str, str], list[tuple[str, bool]]]
+
+
 def lexicon_from(spark, path: str) -> Lexicons:
     """Lexicons from a table (locale, word, rank): words by frequency, the most frequent first."""
     out: dict[str, list[tuple[int, str]]] = {}
@@ -46,7 +57,7 @@ def _code(locale: str) -> str:
     return "my" if found and found.code == "shn" else found.code if found else locale
 
 
-def _udf(kind: str, each: Callable, lexicons: Lexicons | None, engine: str):
+def _udf(kind: str, each: Callable, lexicons: Lexicons | None, engine: str | Engine):
     """A pandas UDF of (text, locale) from each(text, script, lexicon)."""
     held = lexicons or {}
 
@@ -62,12 +73,30 @@ def _udf(kind: str, each: Callable, lexicons: Lexicons | None, engine: str):
     return run
 
 
-def words(text: Column, locale: Column, lexicons: Lexicons | None = None, engine: str = "lexical") -> Column:
-    """Words in order."""
-    return _udf("array<string>", lambda t, s, x: [w for w, is_word in C.spans(t, s, x, engine) if is_word], lexicons, engine)(text, locale)
+def _by_rules(text: Column, script: Column) -> Column:
+    """Words without a lexicon."""
+    out = spaced_words(text)
+    for name in C.NATIVE:
+        out = F.when(script == name, unspaced.words(text, name)).otherwise(out)
+    return out
 
 
-def spans(text: Column, locale: Column, lexicons: Lexicons | None = None, engine: str = "lexical") -> Column:
+def words(text: Column, locale: Column, lexicons: Lexicons | None = None, engine: str | Engine = "lexical") -> Column:
+    """Words in order."""
+    script = cluster_script(locale)
+    if isinstance(engine, Engine):
+        python = F.lit(True)
+    elif lexicons and engine == "lexical":
+        code = resolve_locale(locale)
+        python = (script != "Latn") & F.when(code == "shn", "my").otherwise(code).isin(*lexicons)
+    else:
+        return _by_rules(text, script)
+    sent = F.when(python, text)
+    found = _udf("array<string>", lambda t, s, x: [w for w, is_word in C.spans(t, s, x, engine) if is_word], lexicons, engine)(sent, locale)
+    return F.when(python, found).otherwise(_by_rules(text, script))
+
+
+def spans(text: Column, locale: Column, lexicons: Lexicons | None = None, engine: str | Engine = "lexical") -> Column:
     """Consecutive spans with their offsets in UTF-16 units."""
 
     def each(t, s, x):
@@ -82,36 +111,40 @@ def spans(text: Column, locale: Column, lexicons: Lexicons | None = None, engine
 
 
 def graphemes(text: Column, locale: Column) -> Column:
-    return _udf("array<string>", lambda t, s, _: list(C.clusters(t, s)), None, "lexical")(text, locale)
+    plain = unspaced.single_clusters(text)
+    found = _udf("array<string>", lambda t, s, _: list(C.clusters(t, s)), None, "lexical")(F.when(~plain, text), locale)
+    return F.when(plain, F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))).otherwise(found)
 
 
 def grapheme_length(text: Column, locale: Column) -> Column:
-    return _udf("int", lambda t, s, _: len(C.clusters(t, s)), None, "lexical")(text, locale)
+    plain = unspaced.single_clusters(text)
+    found = _udf("int", lambda t, s, _: len(C.clusters(t, s)), None, "lexical")(F.when(~plain, text), locale)
+    return F.when(plain, F.length(text)).otherwise(found)
 
 
-def insert_line_break_opportunities(text: Column, locale: Column, lexicons: Lexicons | None = None, engine: str = "lexical") -> Column:
+def insert_line_break_opportunities(text: Column, locale: Column, lexicons: Lexicons | None = None, engine: str | Engine = "lexical") -> Column:
     """Zero-width spaces before words of scripts without spaces; other text as it is."""
     return _udf("string", lambda t, s, x: C.with_breaks(t, s, x, engine) if s != "Latn" else t, lexicons, engine)(text, locale)
 
 
-def truncate(text: Column, locale: Column, most: int, ellipsis: str = "…", lexicons: Lexicons | None = None, engine: str = "lexical") -> Column:
+def truncate(text: Column, locale: Column, most: int, ellipsis: str = "…", lexicons: Lexicons | None = None, engine: str | Engine = "lexical") -> Column:
     return _udf("string", lambda t, s, x: C.truncated(t, s, most, ellipsis, x, engine), lexicons, engine)(text, locale)
 
 
-def break_offsets(text: Column, locale: Column, lexicons: Lexicons | None = None, engine: str = "lexical") -> Column:
+def break_offsets(text: Column, locale: Column, lexicons: Lexicons | None = None, engine: str | Engine = "lexical") -> Column:
     return _udf("array<int>", lambda t, s, x: C.line_breaks(t, s, x, engine), lexicons, engine)(text, locale)
 
 
-def with_words(df: DataFrame, text: str, locale: str, lexicons: Lexicons | None = None, engine: str = "lexical") -> DataFrame:
-    """df with an array `words`; rows of spaced scripts don't leave the JVM."""
-    unspaced = cluster_script(F.col(locale)) != "Latn"
-    return df.where(~unspaced).withColumn("words", spaced_words(F.col(text))).unionByName(df.where(unspaced).withColumn("words", words(F.col(text), F.col(locale), lexicons, engine)))
+def with_words(df: DataFrame, text: str, locale: str, lexicons: Lexicons | None = None, engine: str | Engine = "lexical") -> DataFrame:
+    """df with an array `words`."""
+    return df.withColumn("words", words(F.col(text), F.col(locale), lexicons, engine))
 
 
 def with_truncated(df: DataFrame, text: str, locale: str, most: int, ellipsis: str = "…", lexicons: Lexicons | None = None) -> DataFrame:
     """df with `truncated`; texts that are short enough even in code points don't leave the JVM."""
-    short = F.length(text) <= most
-    return df.where(short | F.col(text).isNull()).withColumn("truncated", F.col(text)).unionByName(df.where(~short).withColumn("truncated", truncate(F.col(text), F.col(locale), most, ellipsis, lexicons)))
+    short = F.coalesce(F.length(text) <= most, F.lit(True))
+    cut = truncate(F.when(~short, F.col(text)), F.col(locale), most, ellipsis, lexicons)
+    return df.withColumn("truncated", F.when(short, F.col(text)).otherwise(cut))
 
 
 def known_locale(df: DataFrame, locale: str) -> DataFrame:

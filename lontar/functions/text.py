@@ -13,6 +13,9 @@ TERMINATORS = ".!?…។៕၊။。！？"
 CLOSERS = "\"'’”)]}»"
 _SENTENCE = rf"(?:[{TERMINATORS.replace('.', '')}]|(?<![0-9])\.|\.(?![0-9]))[{TERMINATORS}]*[\"'’”)\]}}»]*[ \t\n\r​]*"
 
+#: What comes before an end: no such mark, but for points between digits.
+_BODY = rf"[^{TERMINATORS}]*+(?:(?<=[0-9])\.(?=[0-9])[^{TERMINATORS}]*+)*+"
+
 
 def spaced_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
@@ -24,8 +27,7 @@ def spaced_word_count(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences with the marks and spaces after them; what is left is the last one. The locale plays no part."""
-    marked = F.regexp_replace(text, f"({_SENTENCE})", "$1\x01")
-    return F.filter(F.split(marked, "\x01"), lambda s: s != "")
+    return F.regexp_extract_all(text, F.lit(rf"{_BODY}{_SENTENCE}|(?!\z){_BODY}"), F.lit(0))
 
 
 def strip_line_break_opportunities(text: Column) -> Column:

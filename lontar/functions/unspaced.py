@@ -1,0 +1,75 @@
+"""Words and clusters by the rules of scripts without spaces, as regular expressions of the JVM.
+
+Each is clusters.spans() without a lexicon in one pattern: runs of the script's own letters fall into clusters, each of
+which is a word if it has a letter or a digit, and what stands between falls into words as in spaced scripts.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .clusters import NATIVE
+
+#: Vowels before and after their consonant, consonants, and marks that join, by script.
+LEAD = {"Thai": "เแโใไ", "Laoo": "ເແໂໃໄ"}
+TRAIL = {"Thai": "ะาำๅๆฯ๚๛", "Laoo": "ະາຳໆ"}
+CONSONANT = {"Thai": "ก-ฮ", "Laoo": "ກ-ຮໜໝ"}
+PHINTHU, COENG, VIRAMA = "ฺ", "្", "္"
+KHMER_SIGN = "ំ-៓"
+CODA = "[က-ဪဿၐ-ၕၚ-ၝၡၥၦၮ-ၰၵ-ႁႎ][ျ-ှ]*်"
+MYANMAR_TAIL = "ါ-ဵၖ-ၙၞ-ၠၢ-ၤၧ-ၭၱ-ၴႂ-ႍႜႝး်"
+
+
+def _native(script: str) -> str:
+    """The script's letters, as Java writes those beyond four digits."""
+    return NATIVE[script].replace(r"\U00020000-\U0003FFFF", r"\x{20000}-\x{3FFFF}")
+
+
+def _unit(script: str, first: str) -> str:
+    """A cluster that begins with one of first."""
+    n = f"[{_native(script)}]"
+    marks = f"[{_native(script)}&&[\\p{{M}}]]*+"
+    if script in LEAD:
+        lead, consonant = f"[{LEAD[script]}]", f"[{CONSONANT[script]}]"
+        tied = f"(?<={lead}){n}{marks}|[{TRAIL[script]}]{marks}" + (f"|(?<={PHINTHU}){n}{marks}" if script == "Thai" else "")
+        # A leading vowel takes all up to its consonant.
+        led = f"{lead}{marks}(?:(?!{consonant}){n}{marks})*+(?:{consonant}{marks}|(?!{n}))"
+        return f"(?:{led}|{first}{marks})(?:{tied})*+"
+    if script == "Khmr":
+        return f"{first}{marks}(?:(?<={COENG}){n}{marks}|[{KHMER_SIGN}]{marks})*+"
+    if script == "Mymr":
+        return f"{first}{marks}(?:(?<={VIRAMA}){n}{marks}|(?={CODA}){n}{marks}|[{VIRAMA}{MYANMAR_TAIL}]{marks})*+"
+    return f"{first}{marks}"
+
+
+def _spaced(script: str) -> str:
+    """A word of what isn't the script's own."""
+    letter = f"[\\p{{L}}\\p{{M}}&&[^{_native(script)}]]"
+    inner = f"[\\p{{L}}\\p{{N}}\\p{{M}}&&[^{_native(script)}]]"
+    digit = f"[\\p{{N}}&&[^{_native(script)}]]"
+    return f"{digit}++(?:[.,]{digit}++)*+|{letter}{inner}*+(?:['’ʼ‐‑-]{inner}++)*+"
+
+
+def _patterns(script: str) -> tuple[str, str]:
+    """A pattern whose group is a word, or empty for a cluster that may be none; and one of clusters and words alike."""
+    n = f"[{_native(script)}]"
+    told = f"[{_native(script)}&&[\\p{{L}}\\p{{N}}]]"
+    return f"({_unit(script, told)}|{_spaced(script)})|{_unit(script, n)}", f"{_unit(script, n)}|{_spaced(script)}"
+
+
+def words(text: Column, script: str) -> Column:
+    """Words of one of these scripts, each cluster being one."""
+    plain, every = _patterns(script)
+    found = F.regexp_extract_all(text, F.lit(plain), F.lit(1))
+    # Clusters that begin with a mark or a sign are rare: only texts with one are looked at again.
+    again = F.filter(F.regexp_extract_all(text, F.lit(every), F.lit(0)), lambda w: w.rlike(r"[\p{L}\p{N}]"))
+    return F.when(F.array_contains(found, ""), again).otherwise(found)
+
+
+#: Texts of these characters have no cluster of two, but for line ends of two.
+PLAIN = r"\A[\x{0}-\x{2FF}&&[^\r]]*+\z"
+
+
+def single_clusters(text: Column) -> Column:
+    return text.rlike(PLAIN)

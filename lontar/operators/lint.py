@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import registry as R
@@ -24,15 +24,15 @@ def string_findings(value: Column, code: Column, composed: Column | None = None)
     currency = by_locale(code, {c: v.default_currency for c, v in R.LOCALES.items()})
     say = lambda rule, severity, message: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), message.alias("message"))
     rules = [
-        (code.isin(*R.locales_for_script("Mymr")) & (found["encoding"] == "zawgyi"), say("zawgyi-encoding", "error", F.concat(F.lit("Value looks like Zawgyi, not Unicode ("), found["signals"][0], F.lit("). It will render as garbage for most users.")))),
-        ((code == "vi") & (value != composed) if composed is not None else F.lit(False), say("vietnamese-nfc", "error", F.lit("Value is not in NFC form, so it will not compare or sort correctly."))),
-        ((code == "th") & value.rlike(rf"(ครับ|ค่ะ|คะ){SPACE}*\z"), say("gendered-particle", "warning", F.lit("Hardcoded Thai polite particle. This makes your product speak as a specific gender. Use withPoliteness() so it stays configurable."))),
-        (~has_grammatical_number(code) & value.rlike(r"(?i)\(s\)|\(es\)"), say("hardcoded-plural", "warning", F.concat(_name(code), F.lit(' has no grammatical number. "(s)" is meaningless here.')))),
-        ((count_order(code) != "num-noun") & value.rlike(r"\{count\}\s*\S"), say("missing-classifier", "warning", F.concat(_name(code), F.lit(" needs a numeral classifier between the count and the noun. Use formatCount() instead of interpolating.")))),
-        (code.isin(*R.unspaced_locales()) & (F.length(value) + F.regexp_count(value, F.lit(r"[\x{10000}-\x{10FFFF}]")) > 40) & ~value.rlike(SPACE.replace("]", r"\x{200B}]")), say("no-break-opportunity", "warning", F.lit("Long string in an unspaced script with no break opportunity. It will overflow. Use insertLineBreakOpportunities()."))),
-        (value.rlike("[$€£]") & (currency != "USD"), say("hardcoded-currency", "warning", F.concat(F.lit("Hardcoded currency symbol in a "), currency, F.lit(" locale. Use formatCurrency().")))),
+        (code.isin(*R.locales_for_script("Mymr")) & (found["encoding"] == "zawgyi"), say("zawgyi-encoding", "error", F.concat(F.lit("written in Zawgyi: "), found["signals"][0], F.lit("; normalize_myanmar() converts it")))),
+        ((code == "vi") & (value != composed) if composed is not None else F.lit(False), say("vietnamese-nfc", "error", F.lit("letters and marks are not composed; normalize_vietnamese() composes them"))),
+        ((code == "th") & value.rlike(rf"(ครับ|ค่ะ|คะ){SPACE}*\z"), say("gendered-particle", "warning", F.lit("ends in a particle that tells the speaker's gender; with_politeness() adds the right one"))),
+        (~has_grammatical_number(code) & value.rlike(r"(?i)\(s\)|\(es\)"), say("hardcoded-plural", "warning", F.concat(F.lit("optional plural ending, but nouns have no plural in "), _name(code)))),
+        ((count_order(code) != "num-noun") & value.rlike(r"\{count\}\s*\S"), say("missing-classifier", "warning", F.concat(F.lit("count without a classifier, which phrases need in "), _name(code), F.lit("; see format_count()")))),
+        (code.isin(*R.unspaced_locales()) & (F.length(value) + F.regexp_count(value, F.lit(r"[\x{10000}-\x{10FFFF}]")) > 40) & ~value.rlike(SPACE.replace("]", r"\x{200B}]")), say("no-break-opportunity", "warning", F.lit("more than 40 characters that no line can break in; see insert_line_break_opportunities()"))),
+        (value.rlike("[$€£]") & (currency != "USD"), say("hardcoded-currency", "warning", F.concat(F.lit("foreign currency sign where "), currency, F.lit(" is used; see format_currency()")))),
     ]
-    empty = F.array(say("empty-value", "error", F.lit("Value is empty.")))
+    empty = F.array(say("empty-value", "error", F.lit("no text")))
     return F.when(value.rlike(_BLANK), empty).otherwise(F.array_compact(F.array(*(F.when(c, s) for c, s in rules))))
 
 
@@ -43,8 +43,8 @@ def placeholders(value: Column) -> Column:
 def placeholder_findings(value: Column, reference: Column) -> Column:
     """Placeholders that the reference has and the string has not, and the other way round; none without a reference."""
     finding = lambda rule, before, after: lambda n: F.struct(F.lit(rule).alias("rule"), F.lit("error").alias("severity"), F.concat(F.lit(before), n, F.lit(after)).alias("message"))
-    lost = F.transform(F.array_except(placeholders(reference), placeholders(value)), finding("missing-placeholder", "Missing placeholder {", "} present in the source string."))
-    new = F.transform(F.array_except(placeholders(value), placeholders(reference)), finding("unknown-placeholder", "Unknown placeholder {", "}."))
+    lost = F.transform(F.array_except(placeholders(reference), placeholders(value)), finding("missing-placeholder", "the reference has {", "}, this text has not"))
+    new = F.transform(F.array_except(placeholders(value), placeholders(reference)), finding("unknown-placeholder", "the reference has no {", "}"))
     return F.coalesce(F.concat(lost, new), F.array().cast("array<struct<rule:string,severity:string,message:string>>"))
 
 
@@ -72,10 +72,18 @@ def lint(messages: DataFrame, reference: str | None = "en", exact_nfc: bool = Tr
     heads = rows.groupBy("locale", "key").agg(F.min_by("value", "ord").alias("value"))
     pairs = first.crossJoin(F.broadcast(locales)).join(heads, ["locale", "key"], "left")  # as many locales as the registry has
     same = (F.col("code") != "en") & (F.col("value") == F.col("source")) & (F.length("value") > 3)
-    finding = F.when(F.col("value").isNull(), F.struct(F.lit("missing-key").alias("rule"), F.lit("error").alias("severity"), F.lit("Key is missing from this locale.").alias("message"))).when(same, F.struct(F.lit("untranslated").alias("rule"), F.lit("warning").alias("severity"), F.lit("Value is identical to the source string.").alias("message")))
+    finding = F.when(F.col("value").isNull(), F.struct(F.lit("missing-key").alias("rule"), F.lit("error").alias("severity"), F.lit("not in this locale").alias("message"))).when(same, F.struct(F.lit("untranslated").alias("rule"), F.lit("warning").alias("severity"), F.lit("the same as in the reference").alias("message")))
     return out.unionByName(pairs.withColumn("f", finding).where("f is not null").select("locale", "key", "f.*"))
 
 
 def issue_counts(issues: DataFrame, *by: str) -> DataFrame:
     """Errors and warnings for each locale, or for other columns of the issues."""
     return issues.groupBy(*(by or ("locale",))).agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+
+
+def lint_report(issues: DataFrame) -> DataFrame:
+    """(locale, line_no, line): a heading with the counts of each locale, then a line for each finding, errors first."""
+    heads = issue_counts(issues).select("locale", F.lit(0).alias("line_no"), F.format_string("%s: %d errors, %d warnings", "locale", "errors", "warnings").alias("line"))
+    order = Window.partitionBy("locale").orderBy(F.col("severity") != "error", "key", "rule", "message")
+    lines = issues.select("locale", F.row_number().over(order).alias("line_no"), F.format_string("  [%s] %s %s: %s", "severity", "key", "rule", "message").alias("line"))
+    return heads.unionByName(lines)

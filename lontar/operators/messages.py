@@ -9,6 +9,7 @@ from .. import registry as R
 from ..functions.digits import to_native_digits
 from ..functions.grammar import plural_category, with_politeness
 from ..functions.locale import resolve_locale
+from ..functions.numbers import dim_numbers, written
 
 PLACEHOLDER = r"\{(\w+)\}"
 
@@ -31,12 +32,13 @@ def _candidates(requests: DataFrame, messages: DataFrame) -> DataFrame:
 def resolve_messages(requests: DataFrame, messages: DataFrame, native_digits: bool = False) -> DataFrame:
     """requests with text, matched_locale and missing.
 
-    requests: request_id, locale, key, register, count, params (map of strings), polite, gender,
-    fallback; only the first three must be there. The nearest locale of the chain that has the key
+    requests: request_id, locale, key, register, count, params (map of strings), numbers (map of doubles),
+    polite, gender, fallback; only the first three must be there. Numbers and the count are written as the
+    locale asked for writes them, whichever locale the message comes from; params stay as they are, and win. The nearest locale of the chain that has the key
     decides; in it the register asked for, else neutral, formal, casual; then the plural form of the
     count by that locale's rules, else other, else the first. Missing keys give fallback, else the key.
     """
-    spare = {"register": "string", "count": "double", "params": "map<string,string>", "polite": "boolean", "gender": "string", "fallback": "string"}
+    spare = {"register": "string", "count": "double", "params": "map<string,string>", "numbers": "map<string,double>", "polite": "boolean", "gender": "string", "fallback": "string"}
     for name, kind in spare.items():
         if name not in requests.columns:
             requests = requests.withColumn(name, F.lit(None).cast(kind))
@@ -47,9 +49,17 @@ def resolve_messages(requests: DataFrame, messages: DataFrame, native_digits: bo
     form = F.when(F.col("plural").isNull() | (F.col("plural") == category), 0).when(F.col("plural") == "other", 1).otherwise(2)
     order = F.struct("rank", F.when(F.col("of_register").isNull(), 0).otherwise(position).alias("how"), form.alias("form"), "ord")
     best = found.groupBy("request_id").agg(F.min_by(F.struct("value", "tag"), order).alias("best"))
-    shown = F.when(F.col("count") == F.floor("count"), F.format_number("count", 0)).otherwise(F.col("count").cast("string"))
-    values = F.map_concat(F.when(F.col("count").isNotNull() & ~F.coalesce(F.map_contains_key("params", F.lit("count")), F.lit(False)), F.create_map(F.lit("count"), shown)).otherwise(F.create_map().cast("map<string,string>")), F.coalesce("params", F.create_map().cast("map<string,string>")))
-    out = requests.join(best, "request_id", "left")
+    symbols = unused_name(requests.columns)
+    table = dim_numbers(requests.sparkSession)
+    table = table.select(F.col("code").alias(f"{symbols}_code"), F.struct(*(x for x in table.columns if x != "code")).alias(symbols))
+    asked_in = F.coalesce(resolve_locale(F.col("locale")), F.lit("en"))
+    out = requests.join(F.broadcast(table), asked_in == F.col(f"{symbols}_code"), "left").join(best, "request_id", "left")
+    none = F.create_map().cast("map<string,string>")
+    params, numbers = F.coalesce("params", none), F.coalesce("numbers", F.create_map().cast("map<string,double>"))
+    numbers = F.map_filter(numbers, lambda k, _: ~F.map_contains_key(params, k))
+    counted = F.col("count").isNotNull() & ~F.map_contains_key(params, F.lit("count")) & ~F.map_contains_key(numbers, F.lit("count"))
+    shown = F.when(counted, F.create_map(F.lit("count"), written(F.col("count"), F.col(symbols)))).otherwise(none)
+    values = F.map_concat(shown, F.transform_values(numbers, lambda _, v: written(v, F.col(symbols))), params)
     text = interpolate(F.col("best.value"), values)
     if native_digits:
         text = to_native_digits(text, F.col("locale"))
@@ -58,6 +68,12 @@ def resolve_messages(requests: DataFrame, messages: DataFrame, native_digits: bo
     return out.select(*requests.columns, F.when(missing, F.coalesce("fallback", "key")).otherwise(text).alias("text"), F.col("best.tag").alias("matched_locale"), missing.alias("missing"))
 
 
+def unused_name(columns: list[str], name: str = "__symbols") -> str:
+    while any(c.startswith(name) for c in columns):
+        name += "_"
+    return name
+
+
 def has_message(requests: DataFrame, messages: DataFrame) -> DataFrame:
     """Requests that some locale of their chain can answer."""
     found = _candidates(requests, messages).select("request_id").distinct()

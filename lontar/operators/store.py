@@ -119,26 +119,24 @@ def safe_users(users: DataFrame) -> DataFrame:
 
 
 def draft_prompt(text: Column, source: str, target: str, register: str, gender: str = "neutral", glossary: dict[str, str] | None = None, memory: list[tuple[str, str]] | None = None) -> Column:
-    """Instructions for a translator of the text, from the registry."""
+    """A translation job as a numbered brief, with what the registry knows of the target."""
     a, b = R.resolve(source), R.resolve(target)
-    rules = [f"Translate from {a.name} to {b.name} ({b.native_name}).", f"Register: {register}. Match it exactly; do not drift more formal or more casual.", f"This language distinguishes: {', '.join(b.registers)}."]
-    if b.count_order != "num-noun":
-        order = "noun, then numeral, then classifier" if b.count_order == "noun-num-clf" else "numeral, then classifier, then noun"
-        rules.append(f"This language requires a numeral classifier in counted phrases. Word order is {order}. Example classifiers: person={R.classifier(target, 'person') or 'n/a'}, thing={R.classifier(target, 'thing') or 'n/a'}. Never emit a bare number next to a noun.")
     own = R.particles().get(b.base_locale or b.code)
+    brief = {"from": a.name, "to": f"{b.name} / {b.native_name}", "tone": f"{register} (one of {', '.join(b.registers)})"}
+    if b.count_order != "num-noun":
+        shown = "N + number + CL" if b.count_order == "noun-num-clf" else "number + CL + N"
+        people, things = (R.classifier(target, c) or "-" for c in ("person", "thing"))
+        brief["counting"] = f"{shown}; CL for people {people}, for things {things}"
     if own and own["male"][0] != own["female"][0]:
-        if gender == "neutral":
-            rules.append("The polite sentence-final particle in this language marks the speaker's gender and there is no neutral form. Write without a polite particle and let the application add one at render time.")
-        else:
-            rules.append(f"Brand voice speaks as {gender}. The polite particle is {own[gender][0]}. Use it only where natural; do not append it to every sentence.")
+        brief["particle"] = "none, it is added when shown" if gender == "neutral" else f"{own[gender][0]} ({gender} speaker), sparingly"
     if not b.word_spaced:
-        rules.append("This script does not use spaces between words. Do not insert them, and do not add zero-width spaces; the application handles line breaking.")
-    if b.code == "my":
-        rules.append("Output standard Unicode Burmese. Never output Zawgyi.")
-    if b.code == "vi":
-        rules.append("Output NFC-normalised Vietnamese with correct tone marks.")
-    for title, pairs in (("Glossary, follow exactly:", list((glossary or {}).items())), ("Previously approved translations, match their style:", (memory or [])[:20])):
-        if pairs:
-            rules.append("\n".join([title, *(f'  "{x}" -> "{y}"' for x, y in pairs)]))
-    rules += ["Preserve every {placeholder} exactly as written, including spelling and case.", "Return only the translated string. No quotes, no explanation, no markdown."]
-    return F.concat(F.lit("\n\n".join(rules) + "\n\nSource string:\n"), text)
+        brief["spacing"] = "no spaces or invisible breaks between words"
+    encodings = {"my": "Unicode, not Zawgyi", "vi": "composed letters (NFC)"}
+    if b.code in encodings:
+        brief["encoding"] = encodings[b.code]
+    brief["placeholders"] = "copy {names} in braces letter by letter"
+    brief["answer"] = "the translation alone"
+    lines = [f"- {k}: {v}" for k, v in brief.items()]
+    for title, pairs in (("terms", list((glossary or {}).items())), ("earlier", (memory or [])[:20])):
+        lines += [f"- {title}: {x} => {y}" for x, y in pairs]
+    return F.concat(F.lit("\n".join(["Translation job", *lines, "- text: "])), text)

@@ -225,3 +225,34 @@ def test_segmentation_columns(spark):
     assert got[0].b.count(C.ZWSP) == 4 and got[0].p[1].start == 3 and got[0].p[1].text == "รัก" and got[1].n == 11
     assert {r.t: r.words for r in segment.with_words(rows.where("t is not null and c is not null"), "t", "c", lexicons).collect()}["hello world"] == ["hello", "world"]
     assert segment.lexicon_size(lexicons, "th") == 5
+
+
+def test_jvm_words_equal_the_rules(spark):
+    """Words found by patterns of the JVM are those of the plain rules, on random strings of every script."""
+    import random
+
+    from lontar.functions import clusters as C
+
+    letters = {"th": "กขคงจฉดตนมรสหอเแโใไะาำๅๆฯั้่์็ิีฺุู๑๒฿๏๚", "lo": "ກຂຄງຈດຕນມຣສຫອເແໂໃໄະາຳໆັິີຸູ່້໌໑", "km": "កខគឃងចឆជតថនបផពមយរលវសហអ្ាិីឹឺុូើេែំះ៉់។១", "my": "ကခဂငစဆညတထနပဖဗမယရလသဟအ္်ျြွှါာိီုူေဲံ့း၊၁ဿဥ", "zh-Hans-SG": "我是中国人新加坡，。、豈𠀀"}
+    rng, rows = random.Random(5), []
+    for code, own in letters.items():
+        for _ in range(400):
+            rows.append((code, "".join(rng.choice(own) if rng.random() < 0.85 else rng.choice(" ab1.,'-é\n\u200b\u200d!") for _ in range(rng.randint(0, 25)))))
+    got = spark.createDataFrame(rows, "locale string, text string").select("locale", "text", segment.words(F.col("text"), F.col("locale")).alias("words")).collect()
+    script = {c: R.LOCALES[c].script for c in letters}
+    for r in got:
+        assert r.words == [w for w, is_word in C.spans(r.text, script[r.locale]) if is_word], (r.locale, r.text)
+
+
+def test_engine_of_the_user(spark):
+    engine = segment.Engine("halves", lambda text, script: [(text[: len(text) // 2], True), (text[len(text) // 2 :], False)])
+    got = spark.createDataFrame([("th", "abcd")], "locale string, text string").select(segment.words(F.col("text"), F.col("locale"), engine=engine).alias("w"), segment.break_offsets(F.lit("ab"), F.lit("th"), engine=engine).alias("b")).first()
+    assert got.w == ["ab"] and got.b == []
+
+
+def test_sentences_keep_every_character(spark):
+    given = ["a\x01b. c", "Version 1.2 shipped. Yes! ", "no end", "", "...", "1.2.3", "A?\u201d B\u3002C\n\nD.", "x." * 3000 + "tail", "y " * 20000]
+    got = [r.s for r in spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string").orderBy("i").select(text.sentences(F.col("t")).alias("s")).collect()]
+    assert ["".join(s) for s in got] == given
+    assert got[:6] == [["a\x01b. ", "c"], ["Version 1.2 shipped. ", "Yes! "], ["no end"], [], ["..."], ["1.2.3"]]
+    assert got[6] == ["A?\u201d ", "B\u3002", "C\n\nD."]
