@@ -5,8 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,17 +77,16 @@ def met(rows: DataFrame, table: DataFrame, *keys: str, how: str = "inner", count
     """rows joined with table, which has one row for each value of the keys.
 
     Rows of a hot key are salted and its row of the table is copied to each salt, so that no task meets them all.
-    Hot keys are at most HOT, which bounds their broadcast; any other has less than a HOT-th of the rows.
+    The driver learns hashes of at most HOT hot keys; any other key has less than a HOT-th of the rows.
     counts: how many rows each key has (`n`), if that is known.
     """
     if counts is None:
         counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    hot = counts.where(F.col("n") > WARM).orderBy(F.desc("n")).limit(HOT).select(*(F.col(k).alias(f"__hot_{k}") for k in keys), F.lit(True).alias("__hot"))
-    same = lambda own: reduce(and_, (F.col(own + k) == F.col(f"__hot_{k}") for k in keys))
-    salted = rows.join(F.broadcast(hot), same(""), "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0).cast("int")).select(*rows.columns, "__salt")
-    more = [c for c in table.columns if c not in keys]
-    renamed = table.select(*(F.col(k).alias(f"__key_{k}") for k in keys), *more)
-    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    copied = renamed.join(F.broadcast(hot), same("__key_"), "left").select(*(f"__key_{k}" for k in keys), *more, F.explode(salts).alias("__at"))
-    both = reduce(and_, (F.col(k) == F.col(f"__key_{k}") for k in keys)) & (F.col("__salt") == F.col("__at"))
-    return salted.join(copied, both, how).select(*rows.columns, *more)
+    mark = F.xxhash64(*keys)
+    hot = [r[0] for r in counts.where(F.col("n") > WARM).orderBy(F.desc("n")).limit(HOT).select(mark).collect()]  # HOT at most
+    out = [*rows.columns, *(c for c in table.columns if c not in keys)]
+    if not hot:
+        return rows.join(table, list(keys), how).select(*out)
+    salt = F.when(mark.isin(hot), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(mark.isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("__salt", salt).join(table.withColumn("__salt", F.explode(salts)), [*keys, "__salt"], how).select(*out)

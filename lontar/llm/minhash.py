@@ -324,7 +324,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     member = cut(member.select("id", "rep", "n", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")))
 
     bucket = member.where("bands is not null").select("id", F.explode("bands").alias("key"))
-    lead = bucket.groupBy("key").agg(F.min("id").alias("v"), F.max("id").alias("top"), F.count("*").alias("n")).where("v < top")
+    lead = cut(bucket.groupBy("key").agg(F.min("id").alias("v"), F.max("id").alias("top"), F.count("*").alias("n")).where("v < top"))
     near = met(bucket, lead.select("key", "v"), "key", counts=lead).where("id > v").select(F.col("id").alias("u"), "v").distinct()
     group = components(near)
 
