@@ -114,6 +114,11 @@ def projects_of(projects: DataFrame, user: str) -> DataFrame:
     return projects.where(F.exists("members", lambda m: m["user_id"] == user))
 
 
+def projects_with(projects: DataFrame, members: DataFrame) -> DataFrame:
+    """Projects that have a row in a table of memberships (project_id)."""
+    return projects.join(members.select("project_id").distinct(), "project_id", "left_semi")
+
+
 def safe_users(users: DataFrame) -> DataFrame:
     return users.select("id", "email", "name")
 

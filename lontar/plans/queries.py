@@ -415,7 +415,10 @@ def exported_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.to_csv(keys, ["en", "vi"])
 
 
-@query()
+@query("""
+SELECT '{' || chr(10) || '  "nation": {' || chr(10) || string_agg('    "' || lower(n_name) || '": "' || n_name || '"', ',' || chr(10) ORDER BY lower(n_name)) || chr(10) || '  }' || chr(10) || '}' AS body, 'application/json; charset=utf-8' AS content_type, 'en.json' AS filename FROM nation
+UNION ALL SELECT '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<resources>' || chr(10) || string_agg('    <string name="nation_' || replace(lower(n_name), ' ', '_') || '">' || n_name || '</string>', chr(10) ORDER BY lower(n_name)) || chr(10) || '</resources>' || chr(10), 'application/xml; charset=utf-8', 'strings-en.xml' FROM nation
+UNION ALL SELECT string_agg('"nation.' || lower(n_name) || '" = "' || n_name || '";', chr(10) ORDER BY lower(n_name)) || chr(10), 'text/plain; charset=utf-8', 'Localizable-en.strings' FROM nation""")
 def exported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as translation files of the other formats."""
     keys = _table(spark, sf_dir, "nation").select(F.concat(F.lit("nation."), F.lower("n_name")).alias("name"), F.lit(None).cast("string").alias("description"), F.create_map(F.lit("en"), F.create_map(F.lit("neutral"), F.col("n_name"))).alias("values"))
@@ -447,7 +450,13 @@ def longest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.longest_unbroken(lines, ["l_orderkey"], order, "is_break")
 
 
-@query()
+_SPANS = rf"list_transform(regexp_extract_all(text, '{_WORD_RE2}|[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda s: length(s))".replace("\\\\", "\\")
+
+
+@query(f"""
+WITH s AS (SELECT conv_id, turn, text, {_SPANS} AS n FROM conversations),
+e AS (SELECT conv_id, turn, text, list_max(list_filter(list_transform(range(1, len(n) + 1), lambda i: list_sum(n[1:i])), lambda x: x <= 39)) AS cut FROM s)
+SELECT conv_id, turn, CASE WHEN length(text) <= 40 THEN text ELSE regexp_replace(left(text, CAST(coalesce(cut, 39) AS BIGINT)), '\\s+$', '') || '…' END AS truncated FROM e""")
 def truncated_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns in at most 40 clusters."""
     turns = spread(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lit("en").alias("locale")))
@@ -467,7 +476,15 @@ def segmented_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.with_words(rows, "text", "locale", {"th": Lexicon.of(_THAI)}).select("locale", "text", F.array_join("words", "|").alias("words"))
 
 
-@query()
+_ENDS = "SELECT role AS locale, conv_id, turn, unnest(list_transform(range(1, len(n) + 1), lambda i: list_sum(n[1:i]))) AS pos FROM (SELECT role, conv_id, turn, list_transform(regexp_extract_all(text, '{pattern}'), lambda s: length(s)) AS n FROM conversations)"
+
+
+@query(f"""
+WITH p AS ({_ENDS.format(pattern=_WORD_RE2 + "|(?s:.)")}), g AS ({_ENDS.format(pattern="[^ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]")}),
+c AS (SELECT locale, count(*) FILTER (WHERE p.pos IS NOT NULL AND g.pos IS NOT NULL) AS tp, count(*) FILTER (WHERE g.pos IS NULL) AS fp, count(*) FILTER (WHERE p.pos IS NULL) AS fn
+  FROM p FULL JOIN g USING (locale, conv_id, turn, pos) GROUP BY locale),
+r AS (SELECT *, CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp / (tp + fn) END AS recall FROM c)
+SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM r""")
 def boundary_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well spaces and the tokenizer agree on where words of conversation turns end."""
     turns = spread(_table(spark, sf_dir, "conversations")).select(F.col("role").alias("locale"), F.concat_ws(":", "conv_id", "turn").alias("text_id"), "text")
