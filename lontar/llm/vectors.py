@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import cut, prepare
+from .cluster import cut, met, prepare
 from .graph import components
 
 THRESHOLD = 0.93
@@ -187,16 +187,23 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, interval: int
     rows of one vec_id too. A null vec_id has no links, a null component and is kept. An empty table
     gives no rows. Other columns are not read.
     """
-    spark = prepare(vectors.sparkSession)
+    prepare(vectors.sparkSession)
     eps = math.sqrt(2 - 2 * threshold)
-    named = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x"), F.col("label").alias("label"))
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    named = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast(kind).alias("x"), F.col("label").alias("label"))
     named = named.withColumn("ok", usable("x") & F.col("id").isNotNull() & F.col("label").isNotNull())
     whole = named.where("ok").select("id", "label", "x")
-    equal = cut(whole.groupBy("label", "x").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    axes = principal_axes(equal, "x", "rep", SAMPLE)
+    # Vectors are equal if 128 bits of hashes are; only these are shuffled for it.
+    marked = cut(whole.select("id", "label", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(19), "x").alias("h2")))
+    sets = marked.groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    member = cut(met(marked, sets.withColumnRenamed("n", "copies"), "label", "h1", "h2", counts=sets))
+    own = member.where("id = rep").select("id", "label", "h1", "copies").distinct()
+    # Of rows of one vec_id and label with unequal vectors each is a vector of its own.
+    every = whole.join(own.withColumnRenamed("label", "its"), "id").where("label = its and xxhash64(x) = h1")
+    equal = cut(every.dropDuplicates(["id", "label", "h1"]).select("id", "label", F.col("copies").alias("n"), "x"))
+    axes = principal_axes(equal, "x", "id", SAMPLE)
     lead = min(AXES, len(axes))
-    grid = equal.select(F.col("rep").alias("id"), "label", "n", "x").mapInPandas(_gridder(axes, lead, eps), f"id long, label {dict(named.dtypes)['label']}, n long, x array<double>, lead array<double>, cell string")
-    grid = cut(grid)
+    grid = equal.mapInPandas(_gridder(axes, lead, eps), f"id long, label {dict(named.dtypes)['label']}, n long, x {kind}, lead array<double>, cell string")
 
     order = ["label", "cell", "id"]
     spots = cut(grid.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_intervals(interval), f"{grid.schema.simpleString()[7:-1].replace(':', ' ')}, own long"))
@@ -215,11 +222,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, interval: int
     ends = near.select("i", "j", F.col("i").alias("own")).unionByName(near.where("i < j").select("i", "j", F.col("j").alias("own")))
     found = cut(spots.join(ends, "own").select("id", "n", "x", "lead", "cell", "own", "i", "j").groupBy("i", "j").applyInPandas(_joiner(threshold), "id long, links long, to long"))
 
-    links = found.groupBy(F.col("id").alias("node_id")).agg(F.sum("links").alias("links"))
+    links = found.groupBy("id").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("id").alias("u"), F.col("to").alias("v")))
-    rep = equal.join(links, F.col("rep") == F.col("node_id"), "left").join(classes, F.col("rep") == F.col("node"), "left")
-    rep = rep.select("label", "x", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    good = whole.join(rep, ["label", "x"]).select(F.col("id").alias("vec_id"), "n_links", "component_id")
+    told = equal.select("id").distinct().join(links, "id", "left").join(classes, F.col("id") == F.col("node"), "left")
+    told = told.select(F.col("id").alias("rep"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component_id"))
+    good = met(member.select("id", "rep", "copies"), told, "rep").select(F.col("id").alias("vec_id"), (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"), "component_id")
     rest = named.where("not ok").select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return good.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
