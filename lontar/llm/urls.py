@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import prepare
+from .cluster import cut, met, prepare
 
 
 @dataclass(frozen=True)
@@ -64,45 +64,50 @@ def url_tokens(place: F.Column) -> F.Column:
     return F.array_distinct(F.filter(F.split(F.lower(place), "[^a-z0-9]+"), lambda t: t != ""))
 
 
+SCHEMA = "rule_id int, action string, name string, pattern string, tokens array<string>"
+#: Rules of which more bytes than that are joined by a shuffle instead of a broadcast.
+SMALL = 8 << 20
+
+
 def rule_frame(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
-    rows = [F.struct(F.lit(i).alias("rule_id"), F.lit(r.action).alias("action"), F.lit(r.name).cast("string").alias("name"), F.lit(r.pattern).alias("pattern"), F.array(*map(F.lit, r.tokens)).cast("array<string>").alias("tokens")) for i, r in enumerate(rules)]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    """Rules as a table, as judge() also takes it from storage."""
+    return spark.createDataFrame([(i, r.action, r.name, r.pattern, list(r.tokens)) for i, r in enumerate(rules)], SCHEMA)
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = RULES) -> DataFrame:
     """A row for each row of pages (page_id, url, ...): page_id, host, path, rule, verdict.
 
-    The longest listed rule that fits decides (equal lengths: the first in the list); else an
-    unlisted pattern that fits gives its action, block before allow; else allow. Without `://`, and
-    for null, host and path are empty and nothing fits. Repeated rows and null page_ids stay; an empty
-    table gives no rows. Other columns are not read.
+    rules: Rules, or a table of them (rule_id, action, name, pattern, tokens). The longest listed rule that
+    fits decides (equal lengths: the smallest rule_id); else an unlisted pattern that fits gives its action,
+    block before allow; else allow. Without `://`, and for null, host and path are empty and nothing fits.
+    Repeated rows and null page_ids stay; an empty table gives no rows. Other columns are not read.
     """
     spark = prepare(pages.sparkSession)
+    filed = rules if isinstance(rules, DataFrame) else rule_frame(spark, rules)
+    held, loose = filed.agg(F.coalesce(F.sum(F.length("pattern") + 100), F.lit(0)), F.collect_list(F.when(F.size("tokens") == 0, F.struct("rule_id", "action", "name", "pattern")))).first()
+    small = (lambda df: F.broadcast(df)) if held < SMALL else (lambda df: df)
+
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"))
-    urls = rows.where("url is not null").select("url").distinct()
-    urls = urls.select("url", F.concat(host_of(F.col("url")), path_of(F.col("url"))).alias("place"))
-    filed = rule_frame(spark, rules)
+    urls = rows.where("url is not null").groupBy("url").agg(F.count("*").alias("n"))
+    urls = cut(urls.select("url", F.concat(host_of(F.col("url")), path_of(F.col("url"))).alias("place"), "n"))
     tokens = urls.select("url", "place", F.explode(url_tokens(F.col("place"))).alias("token"))
     literal = filed.select("rule_id", F.explode("tokens").alias("token"))
-    used = tokens.select("token").join(_small(literal.select("token").distinct(), rules), "token").groupBy("token").agg(F.count("*").alias("n"))
+    used = tokens.select("token").join(small(literal.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("n"))
     rarest = literal.join(used, "token", "left").groupBy("rule_id").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
-    index = filed.select("rule_id", "action", "name", "pattern").join(rarest, "rule_id")
-    fitting = tokens.join(_small(index, rules), "token").where(F.expr("rlike(place, pattern)")).select("url", "rule_id", "action", "name")
-    everywhere = [i for i, r in enumerate(rules) if not r.tokens]
-    if everywhere:
-        rest = F.array(*(F.when(F.col("place").rlike(rules[i].pattern), F.struct(F.lit(i).alias("rule_id"), F.lit(rules[i].action).alias("action"), F.lit(rules[i].name).cast("string").alias("name"))) for i in everywhere))
+    index = cut(filed.join(rarest, "rule_id").select("token", "rule_id", "action", "name", "pattern"))
+    fitting = tokens.join(small(index), "token").where(F.expr("rlike(place, pattern)")).select("url", "rule_id", "action", "name")
+    if loose:
+        rest = F.array(*(F.when(F.col("place").rlike(r["pattern"]), F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["action"]).alias("action"), F.lit(r["name"]).cast("string").alias("name"))) for r in loose))
         fitting = fitting.unionByName(urls.select("url", F.inline(F.array_compact(rest))))
     longest = F.max_by(F.struct("name", "action"), F.when(F.col("name").isNotNull(), F.struct(F.length("name"), -F.col("rule_id"))))
-    found = fitting.groupBy(F.col("url").alias("fit")).agg(longest.alias("best"), F.max(F.when(F.col("name").isNull(), F.col("action"))).alias("other"))
-    out = rows.join(found, F.col("url") == F.col("fit"), "left")
+    found = fitting.groupBy("url").agg(longest.alias("best"), F.max(F.when(F.col("name").isNull(), F.col("action"))).alias("other"))
+    # Rows without a URL need no verdict looked up; frequent URLs are met in salted parts.
+    out = met(rows.where("url is not null"), found, "url", how="left", counts=urls.select("url", "n"))
+    none = rows.where("url is null").select("*", *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("best", "other")))
+    out = out.unionByName(none)
     return out.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("best.name").alias("rule"), F.coalesce("best.action", "other", F.lit("allow")).alias("verdict"))
 
 
-def _small(df: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Broadcast what has a row for each rule, unless rules are many."""
-    return F.broadcast(df) if sum(len(r.pattern) + 50 for r in rules) < 4 << 20 else df
-
-
 def op7_rare_token(spark, sf_dir: str) -> DataFrame:
     """Verdicts on the URLs of all pages."""
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))

@@ -184,6 +184,22 @@ def test_rules_without_tokens_run_on_every_url(spark):
     assert {r.page_id: r.verdict for r in got.collect()} == {1: "block", 2: "allow"}
 
 
+def test_many_rules_from_a_table(spark, tmp_path, monkeypatch):
+    """50,000 rules read from storage; a URL runs only those filed under one of its tokens. Broadcast and shuffled alike."""
+    rules = tuple(urls.Rule.listed("block" if i % 2 else "allow", f"site{i}.net/" if i % 5 else f"site{i}.net/a{i}/") for i in range(50_000))
+    urls.rule_frame(spark, rules).write.parquet(f"{tmp_path}/rules")
+    given = [(i, f"https://www.site{i * 7}.net/a{i * 7}/x") for i in range(3000)] + [(-1, "https://other.net/"), (None, None)] + [(9000 + i, "https://site1.net/") for i in range(1500)]
+    pages = spark.createDataFrame(given, "page_id long, url string").repartition(3)
+    want = Counter({(-1, None, "allow"): 1, (None, None, "allow"): 1})
+    for i in range(3000):
+        want[i, f"site{i * 7}.net/" if i * 7 % 5 else f"site{i * 7}.net/a{i * 7}/", "block" if i * 7 % 2 else "allow"] += 1
+    want.update((9000 + i, "site1.net/", "block") for i in range(1500))
+    for small in (urls.SMALL, 0):
+        monkeypatch.setattr(urls, "SMALL", small)
+        got = urls.judge(pages, spark.read.parquet(f"{tmp_path}/rules")).collect()
+        assert Counter((r.page_id, r.rule, r.verdict) for r in got) == want
+
+
 @pytest.mark.parametrize("name", ["pages", "documents"])
 def test_oracles(spark, sf, name):
     run, sql = {"pages": (urls.op7_rare_token, urls.ORACLE), "documents": (lines.op6_line_runs, lines.ORACLE)}[name]
