@@ -2,14 +2,15 @@
 
 A layer is a text with the place in the document that each of its characters stands for. The
 document is the first layer. A worklist takes a layer, scans it, and adds what it unwraps to:
-percent escapes, Unicode escapes (\\uXXXX, \\UXXXXXXXX, \\xXX, &#N;), base64 (standard or
+percent escapes, Unicode escapes (\\uXXXX, \\u{X}, \\UXXXXXXXX, \\xXX, &#N;), base64 (standard or
 URL-safe), and gzip, zlib, bzip2, xz or zstd data in base64 or in escapes. It ends when no layer is new;
 layers already seen (same text for the same place) are not taken again, which ends cycles.
 Decoded bytes need not be a text: all that is looked for is ASCII, so bytes are read one by one, and
 again as UTF-16 where ASCII and zero bytes alternate; bytes of other kinds between are no hindrance.
 Base64 in several lines is also taken as one: joined over the breaks and indentation, from each of the
 four places where a group of its characters can begin (other words may be joined to its ends), and from
-each line at which packed data begins.
+each line at which packed data begins. A run in one line that is no text as a whole is read from each of
+these places, too, and unpacked from where packed data begins in it.
 A finding in a layer is reported at the place in the document that its characters came from.
 """
 
@@ -40,11 +41,11 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
-ESCAPE = re.compile(r"\\[uUx]([0-9A-Fa-f]+)|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
+UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
+ESCAPE = re.compile(r"\\[uUx]\{?([0-9A-Fa-f]+)\}?|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
 #: Single bytes of packed data in escapes: percent (in forms + is a space), and those of strings in programs, JSON and XML.
 PERCENT_BYTE, PLUS_BYTE = re.compile(r"%[0-9A-Fa-f]{2}"), re.compile(r"%[0-9A-Fa-f]{2}|\+")
-ESCAPED_BYTE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|\\[abfnrtv0\\'\"/]")
+ESCAPED_BYTE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|\\[abfnrtv0\\'\"/]")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Base64 over line breaks and indentation. From its start only, so that a long run is passed over once.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+(?:\r*+\n|\r)[\x20\t]*+[A-Za-z0-9+/_-]++)++")
@@ -315,9 +316,13 @@ def _packed(layer: Layer, data: bytes, spots: Sequence[int], refused: list[int])
                 return False
             yield from layer.read(data, spots, True)
             continue
+        if not inside and packed.end < len(data):
+            around, spots = spots, spots[: -(-packed.end * 4 // 3) if len(spots) > len(data) else packed.end]
+        else:
+            around = spots
         rest = data[packed.end :]
         if READABLE.search(rest) or _wide(rest):
-            yield from layer.read(data, spots, inside)
+            yield from layer.read(data, around, inside)
         inside = True
         if large:
             yield from layer.read(bytes(out), spots, True)
@@ -340,6 +345,26 @@ def _from_base64(layer: Layer, start: int, end: int, refused: list[int], read: b
     return False, _is_text(data)
 
 
+def _shifted(layer: Layer, start: int, end: int, refused: list[int]) -> Iterator[Layer]:
+    """Layers in a run of base64 that has letters or digits of something else before or behind it."""
+    run = layer.text[start:end].rstrip("=")
+    for skip in range(4):
+        part = run[skip:]
+        odd = len(part) % 4 == 1
+        data = _bytes(part[:-1] if odd else part)
+        if not data:
+            continue
+        spots = range(start + skip, start + skip + len(part) - odd)
+        if (skip or odd) and (READABLE.search(data) or _wide(data)):
+            yield from layer.read(data, spots, False)
+        for m in PACKED.finditer(data):
+            if m.start() % 3 == 0 and (m.start() or skip or odd):
+                own: list[int] = []
+                if (yield from _packed(layer, data[m.start() :], spots[m.start() // 3 * 4 :], own)):
+                    refused += own if len(m[0]) > 2 else []  # heads of two bytes occur by chance
+                    break
+
+
 def _from_lines(layer: Layer, start: int, end: int, refused: list[int]) -> Iterator[Layer]:
     """Layers in the lines of base64 from start to end, joined."""
     lines = [m.span() for m in LINE.finditer(layer.text, start, end)]
@@ -352,11 +377,12 @@ def _from_lines(layer: Layer, start: int, end: int, refused: list[int]) -> Itera
         data = _bytes(part[:-1] if len(part) % 4 == 1 else part)
         if data and (READABLE.search(data) or _wide(data)):
             yield from layer.read(data, spots[skip:], False)
-    at = 0
+    at, counted = 0, refused
     for n, (a, b) in enumerate(lines):
         if n + 1 < len(lines) and PACKED.match(_bytes(run[at : at + 12].ljust(12, "A"))):
             part = run[at:]
-            yield from _packed(layer, _bytes(part[:-1] if len(part) % 4 == 1 else part), spots[at:], refused)
+            if (yield from _packed(layer, _bytes(part[:-1] if len(part) % 4 == 1 else part), spots[at:], counted)):
+                counted = []  # lines within packed data may look like the head of some
         at += b - a
 
 
@@ -378,16 +404,21 @@ def unwrap(layer: Layer, refused: list[int]) -> Iterator[Layer]:
         while m.start() >= b and b < len(text):
             a, b = next(ends)
         # Of packed data in lines, one line alone is a stream broken off, which must not be counted.
-        packed, is_text = yield from _from_base64(layer, m.start(), m.end(), [] if a <= m.start() < b else refused)
+        # Nor is what goes on in escapes, which another layer has whole.
+        counted = [] if a <= m.start() < b or text[m.end() : m.end() + 1] in ("%", "\\", "&") or text[max(0, m.start() - 3) : m.start() - 2] == "%" else refused
+        packed, is_text = yield from _from_base64(layer, m.start(), m.end(), counted)
         if is_text:
             continue
+        if not packed:
+            yield from _shifted(layer, m.start(), m.end(), counted)
         for part in re.finditer(r"[A-Za-z0-9+]{16,}", m[0]) if re.search(r"[/_-]", m[0]) else ():  # a path or a name around it
             if packed and not part.start():
                 continue
             end = m.start() + part.end()
             end = m.end() if end >= m.end() - 2 and m[0].endswith("=") else end
             # A part that begins with a group of the whole has been read with it, if that could be decoded.
-            yield from _from_base64(layer, m.start() + part.start(), end, refused, part.start() % 4 != 0 or len(m[0].rstrip("=")) % 4 == 1)
+            # What follows a stroke within packed data is no stream broken off.
+            yield from _from_base64(layer, m.start() + part.start(), end, [] if packed or part[0][0] == "e" else counted, part.start() % 4 != 0 or len(m[0].rstrip("=")) % 4 == 1)
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
@@ -434,7 +465,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     n_assign, n_access, n_hex, base_sha256: what the text itself holds; spans: with what its layers
     hold, as kind:start:end in code points of the document. n_layers: layers unwrapped; n_refused:
     packed data that unfolds to more than 64 MiB (scanned in overlapping blocks up to 1 GiB, but not unpacked
-    again) or that breaks off or is damaged (what could be unpacked was scanned). Null and empty texts have no spans; repeated
+    again) or that breaks off or is damaged (what could be unpacked was scanned), or looks so by chance. Null and empty texts have no spans; repeated
     rows and null doc_ids are kept as they are. Other columns are not read.
     """
     prepare(docs.sparkSession)

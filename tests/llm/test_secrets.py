@@ -3,10 +3,12 @@ import bz2
 import gzip
 import hashlib
 import lzma
+import random
 import re
 import urllib.parse
 import zlib
 
+import pytest
 import zstandard
 
 from lontar.llm import secrets
@@ -169,3 +171,42 @@ def test_documents(spark, sf):
         want = brute(texts[r.doc_id])
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, _ in want) for x in range(3))
         assert r.base_sha256 == hashlib.sha256(secrets.joined(want).encode()).hexdigest()
+
+
+def _encoders():
+    b64 = lambda b: base64.b64encode(b).decode()
+    return {
+        "percent": lambda t: "".join(f"%{x:02X}" for x in t.encode()),
+        "quoted": lambda t: urllib.parse.quote(t, safe=""),
+        "u": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+        "braces": lambda t: "".join(f"\\u{{{ord(c):x}}}" for c in t),
+        "x": lambda t: "".join(f"\\x{x:02x}" for x in t.encode()),
+        "entity": lambda t: "".join(f"&#{ord(c)};" for c in t),
+        "base64": lambda t: b64(t.encode()),
+        "url64": lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("="),
+        "mime": lambda t: base64.encodebytes(t.encode()).decode(),
+        "utf16": lambda t: b64(t.encode("utf-16-le")),
+        "gzip": lambda t: b64(gzip.compress(t.encode())),
+        "twice": lambda t: b64(gzip.compress(zlib.compress(t.encode()))),
+        "zlib": lambda t: b64(zlib.compress(t.encode())),
+        "bz2": lambda t: b64(bz2.compress(t.encode())),
+        "xz": lambda t: base64.encodebytes(lzma.compress(t.encode())).decode(),
+        "zstd": lambda t: b64(zstandard.compress(t.encode())),
+    }
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_keys_are_found_in_any_nesting(seed):
+    """One to thirty random encoders around a key: it is found, inside of what was encoded."""
+    rng = random.Random(seed)
+    encoders, packers = _encoders(), ("gzip", "twice", "zlib", "bz2", "xz", "zstd")
+    inner, used = f"id AKIA{''.join(rng.choices('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', k=16))} and so on, {rng.random()}", []
+    for _ in range(rng.randint(1, 30)):
+        used.append(rng.choice(packers if len(inner) > 3000 else list(encoders)))
+        inner = encoders[used[-1]](inner)
+    before = rng.choice(["see ", "x=", "é: ", "token list (", "data:;base64,", "Ab3" if used[-1] in ("base64", "gzip", "zlib", "twice", "zstd") else "- "])
+    text = f"{before}{inner} end."
+    base, every, _, refused = secrets.scan(text)
+    places = [(s, e) for s, k, e in every if k == 1]
+    assert any(s >= len(before) - 1 and e <= len(before) + len(inner) for s, e in places), used
+    assert set(base) <= set(every) and refused < 10  # some bytes within packed data look like the head of more
