@@ -228,9 +228,8 @@ def _verifier(width: int, threshold: float):
 
 
 def _verified(blocks: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Links found within each block of (id, class, component, block). Repeated rows of a text count once."""
+    """Links found within each block of (id, class, component, block)."""
     rows = blocks.select("id", "class", "component", "block").join(texts, "id")
-    rows = rows.withColumn("same", F.xxhash64("text")).dropDuplicates(["id", "component", "block", "same"]).drop("same")
     return cut(rows.groupBy("component", "block").applyInPandas(_verifier(width, threshold), "u long, v long"))
 
 
@@ -328,8 +327,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     near = met(bucket, lead.select("key", "v"), "key", counts=lead).where("id > v").select(F.col("id").alias("u"), "v").distinct()
     group = components(near)
 
-    nodes = member.where("id = rep").select("id", "n").distinct().join(group, F.col("id") == F.col("node")).select("id", "component", "n")
-    classes = _joined(nodes, known.select("id", "text"), bucket.distinct(), width, threshold)
+    nodes = cut(member.where("id = rep").select("id", "n").distinct().join(group, F.col("id") == F.col("node")).select("id", "component", "n"))
+    # Texts of the candidates go out of all texts once; what follows shuffles these alone. Repeated rows count once.
+    texts = known.join(nodes.select("id").distinct(), "id", "left_semi").withColumn("same", F.xxhash64("text"))
+    texts = cut(texts.dropDuplicates(["id", "same"]).select("id", "text"))
+    classes = _joined(nodes, texts, bucket.distinct(), width, threshold)
 
     named_classes = classes.select(F.col("node").alias("rep"), "component")
     out = met(member.select("id", "rep"), named_classes, "rep", how="left").select(F.col("id").alias("doc_id"), F.coalesce("component", "rep").alias("component_id"))
