@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from typing import Protocol
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import registry as R
@@ -10,6 +13,66 @@ from .. import registry as R
 KEYS = "project_id string, name string, description string, values map<string,map<string,string>>, draft array<string>, regulated boolean"
 
 
+class Store(Protocol):
+    """Where tables of keys, revisions, projects and users are kept."""
+
+    def table(self, name: str) -> DataFrame: ...
+
+    def put(self, name: str, rows: DataFrame) -> None: ...
+
+    def exists(self, name: str) -> bool: ...
+
+
+class SessionStore:
+    """Tables of one session, gone with it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, {}
+
+    def table(self, name: str) -> DataFrame:
+        return self.held[name]
+
+    def put(self, name: str, rows: DataFrame) -> None:
+        self.held[name] = rows
+
+    def exists(self, name: str) -> bool:
+        return name in self.held
+
+
+class FolderStore:
+    """Tables as Parquet in versions under a folder that all machines share; the latest counts."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _latest(self, name: str) -> int:
+        try:
+            found = self.spark.read.parquet(f"{self.folder}/{name}").agg(F.max("store_version")).first()[0]
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            found = None
+        return -1 if found is None else found
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}").where(F.col("store_version") == self._latest(name)).drop("store_version")
+
+    def put(self, name: str, rows: DataFrame) -> None:
+        rows.write.mode("errorifexists").parquet(f"{self.folder}/{name}/store_version={self._latest(name) + 1}")
+
+    def exists(self, name: str) -> bool:
+        return self._latest(name) >= 0
+
+
+def open_store(spark: SparkSession, folder: str | None = None) -> Store:
+    """A store in the folder, if one is named, else in the session."""
+    return FolderStore(spark, folder) if folder else SessionStore(spark)
+
+
+def count_keys(keys: DataFrame, project: str) -> int:
+    return keys.where(F.col("project_id") == project).count()
+
+
 def list_keys(keys: DataFrame, project: str) -> DataFrame:
     """Keys of a project by name, as people sort."""
     return keys.where(F.col("project_id") == project).orderBy(F.collate("name", "UNICODE"))

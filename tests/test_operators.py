@@ -164,3 +164,30 @@ def test_scaffold(tmp_path):
     from lontar.sources.scaffold import scaffold
 
     assert set(scaffold(str(tmp_path), "th")) == {"th.json", "en.json", "config.json"} and scaffold(str(tmp_path), "th") == []
+
+
+def test_translator(spark):
+    from lontar.operators.translator import Translator
+
+    held = [("en", "hi", None, None, "Hello {n}", 0), ("vi", "hi", "formal", None, "Chào quý khách {n}", 0), ("vi", "hi", "casual", None, "Chào bạn {n}", 1), ("en", "bye", None, None, "Bye", 0)]
+    long = spark.createDataFrame(held, "locale string, key string, register string, plural string, value string, ord int")
+    asked = spark.createDataFrame([(1, "hi", {"n": 1234.5}), (2, "bye", None), (3, "none", None)], "request_id int, key string, numbers map<string,double>")
+    vi = Translator(long, "VI_vn", "formal")
+    text = lambda t: {r.request_id: r.text for r in t.translate(asked).collect()}
+    assert vi.locale == "vi" and vi.direction == "ltr"
+    assert text(vi) == {1: "Chào quý khách 1.234,5", 2: "Bye", 3: "none"}
+    assert text(vi.with_register("casual"))[1] == "Chào bạn 1.234,5" and text(vi.with_locale("th"))[1] == "Hello 1,234.5"
+    assert {r.request_id for r in vi.has(asked).collect()} == {1, 2} and [r.key for r in vi.missing_keys().collect()] == ["bye"]
+    row = spark.range(1).select(vi.number(F.lit(1234.5)).alias("n"), vi.currency(F.lit(5000)).alias("c"), vi.count(F.lit(2), F.lit("mèo"), category=F.lit("animal")).alias("k"), vi.pronoun().alias("p"), vi.particle().alias("q")).first()
+    assert row.n == "1.234,5" and row.c.startswith("5.000") and row.k == "2 con mèo" and row.p
+    with pytest.raises(ValueError):
+        Translator(long, "xx")
+
+
+@pytest.mark.parametrize("kind", ["session", "folder"])
+def test_stores(spark, tmp_path, kind):
+    held = store.open_store(spark, str(tmp_path) if kind == "folder" else None)
+    assert not held.exists("keys")
+    for n in (3, 5):
+        held.put("keys", spark.range(n).select(F.lit("p").alias("project_id"), F.col("id").cast("string").alias("name")))
+    assert held.exists("keys") and store.count_keys(held.table("keys"), "p") == 5 and store.count_keys(held.table("keys"), "q") == 0
