@@ -15,7 +15,7 @@ from ..functions.locale import cluster_script, first_day_of_week, get_locale, ht
 from ..operators import evaluate, export, lint, messages, readiness, store
 from ..ship import spread
 from ..sources import bundles
-from .queries import _table, query
+from .queries import ORACLES, _table, query
 
 _FOUR = ("vi", "id", "th", "en")
 
@@ -445,3 +445,47 @@ def page_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fonts of a page in Thai."""
     one = _table(spark, sf_dir, "nation").where("n_nationkey = 0")
     return one.select(F.col("n_name").alias("name"), F.lit(export.font_link(["th"])).alias("link"), F.lit(export.font_css(["th"]).split("\n")[0]).alias("first_line"))
+
+
+# ------------------------------------------------------------ more of the registry, lexicons and letters
+
+
+@query("""
+SELECT code, levels, formal, gendered FROM (VALUES ('jv', true, 'krama', false), ('su', true, 'lemes', false), ('th', true, 'ราชาศัพท์/สุภาพ', true), ('km', true, 'ភាសាសុភាព', true), ('vi', false, NULL, false), ('fil', false, NULL, false))
+  t(code, levels, formal, gendered), (SELECT min(n_nationkey) FROM nation)""")
+def speech_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which locales have levels of speech, what the formal one is called, and whether particles tell a gender."""
+    rows = spark.createDataFrame([(c,) for c in ("jv", "su", "th", "km", "vi", "fil")], "code string")
+    c = F.col("code")
+    return rows.select("code", grammar.has_speech_levels(c).alias("levels"), grammar.speech_level(c, F.lit("formal")).alias("formal"), grammar.particle_is_gendered(c).alias("gendered"))
+
+
+@query("""
+SELECT p_partkey, translate(lpad(CAST(p_partkey AS VARCHAR), 7, '0'), '0123456789', 'ابدڤجکلمنس') AS jawi, translate(lpad(CAST(p_partkey AS VARCHAR), 7, '0'), '0123456789', 'abdpjklmns') AS rumi FROM part""")
+def jawi_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of parts as Malay letters, in Jawi and back."""
+    latin = F.translate(F.lpad(F.col("p_partkey").cast("string"), 7, "0"), "0123456789", "abdpjklmns")
+    jawi = scripts.rumi_to_jawi(latin)
+    return _table(spark, sf_dir, "part").select("p_partkey", jawi.alias("jawi"), scripts.jawi_to_rumi(jawi).alias("rumi"))
+
+
+@query(f"WITH {_BUILT} SELECT p_partkey, array_to_string([units[1] || units[2], units[3] || units[4], units[5] || units[6]], '|') AS words, 16 AS known FROM d WHERE locale = 'th'")
+def words_of_the_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thai texts divided by words that the user registered, each of two clusters."""
+    pairs = [a + b for a in _UNITS["th"] for b in _UNITS["th"]]
+    lexicons = segment.register_words({}, "th", pairs)
+    rows = _built(spark, sf_dir).where("locale = 'th'")
+    return rows.select("p_partkey", F.array_join(segment.words(F.col("text"), F.col("locale"), lexicons), "|").alias("words"), F.lit(segment.lexicon_size(lexicons, "th")).alias("known"))
+
+
+@query(f"WITH {_BUILT} SELECT p_partkey, array_to_string(units, '') AS text, array_to_string(list_transform(range(1, 6), lambda i: CAST(length(array_to_string(units[1:i], '')) AS VARCHAR)), ' ') AS offsets FROM d WHERE locale = 'zh-Hans-SG'")
+def annotated_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of an annotated corpus, whose words are divided by strokes, and where their words end."""
+    plain, offsets = bundles.annotated(F.array_join("units", "|"))
+    return _built(spark, sf_dir).where("locale = 'zh-Hans-SG'").select("p_partkey", plain.alias("text"), F.array_join(F.transform(offsets, lambda o: o.cast("string")), " ").alias("offsets"))
+
+
+#: Counts of the literal messages: th has three of four keys with a text for one register each, vi two, lo one that is empty.
+ORACLES["bundle_readiness"] = f"""
+WITH c(locale, t, done, r, f, g, e, w) AS (VALUES ('th', 4, 3, 3, 3, 0, 1, 2), ('vi', 4, 2, 3, 2, 0, 2, 1), ('lo', 4, 0, 3, 0, 0, 2, 0)), {_PARTS}
+SELECT locale, score, grade, {_DRAG} AS top_drag FROM z"""
