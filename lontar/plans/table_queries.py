@@ -15,7 +15,7 @@ from ..functions.locale import cluster_script, first_day_of_week, get_locale, ht
 from ..operators import evaluate, export, lint, messages, readiness, store
 from ..ship import spread
 from ..sources import bundles
-from .queries import ORACLES, _table, query
+from .queries import ORACLES, _table, _values, query
 
 _FOUR = ("vi", "id", "th", "en")
 
@@ -489,3 +489,30 @@ def annotated_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["bundle_readiness"] = f"""
 WITH c(locale, t, done, r, f, g, e, w) AS (VALUES ('th', 4, 3, 3, 3, 0, 1, 2), ('vi', 4, 2, 3, 2, 0, 2, 1), ('lo', 4, 0, 3, 0, 0, 2, 0)), {_PARTS}
 SELECT locale, score, grade, {_DRAG} AS top_drag FROM z"""
+
+
+# ------------------------------------------------------------ SQL for queries of the other module
+
+#: How locales write their own money: decimals, separators, digits, and what stands before and after.
+_MONEY = [
+    ("en", 2, ",.", "$", ""), ("vi", 0, ".,", "", " ₫"), ("th", 2, ",.", "฿", ""), ("id", 0, ".,", "Rp ", ""), ("jv", 0, ".,", "Rp ", ""), ("jv-Java", 0, ".,", "Rp ", ""), ("su", 0, ".,", "Rp ", ""),
+    ("ms", 2, ",.", "RM ", ""), ("ms-Arab", 2, ",.", "RM ", ""), ("ms-BN", 2, ".,", "$ ", ""), ("ms-Arab-BN", 2, ",.", "BND ", ""), ("fil", 2, ",.", "₱", ""), ("ceb", 2, ",.", "₱", ""), ("my", 0, ",.", "", " K"),
+    ("shn", 0, ",.", "MMK ", ""), ("km", 0, ",.", "", "៛"), ("lo", 0, ".,", "₭", ""), ("tet", 2, " ,", "", " US$"), ("pt-TL", 2, " ,", "", " US$"), ("en-SG", 2, ",.", "$", ""), ("zh-Hans-SG", 2, ",.", "$", ""),
+    ("ta-SG", 2, ",.", "$ ", ""), ("ms-SG", 2, ",.", "$", ""), ("tpi", 2, ",.", "K ", ""), ("en-PG", 2, ",.", "K ", ""), ("fil-x-taglish", 2, ",.", "₱", ""), ("en-SG-x-singlish", 2, ",.", "$", ""), ("id-x-gaul", 0, ".,", "Rp ", ""),
+    ("ms-x-manglish", 2, ",.", "RM ", ""),
+]
+ORACLES["currency_by_locale"] = f"""
+WITH m(locale, places, marks, before, after) AS ({_values(_MONEY)}),
+v AS (SELECT s_suppkey, m.*, CASE places WHEN 0 THEN round(s_acctbal) ELSE round(s_acctbal, 2) END AS x FROM supplier CROSS JOIN m),
+w AS (SELECT *, translate(CASE places WHEN 0 THEN format('{{:,.0f}}', abs(x)) ELSE format('{{:,.2f}}', abs(x)) END, ',.' || CASE locale WHEN 'my' THEN '0123456789' ELSE '' END, marks || CASE locale WHEN 'my' THEN '၀၁၂၃၄၅၆၇၈၉' ELSE '' END) AS body FROM v)
+SELECT s_suppkey, locale, CASE WHEN x < 0 AND locale <> 'lo' THEN '-' ELSE '' END || before || CASE WHEN x < 0 AND locale = 'lo' THEN '-' ELSE '' END || body || after AS money FROM w"""
+
+_UNITS_OF_TIME = [("year", 31_536_000_000, "ปี", "ที่แล้ว"), ("month", 2_592_000_000, "เดือน", "ที่ผ่านมา"), ("week", 604_800_000, "สัปดาห์", "ที่ผ่านมา"), ("day", 86_400_000, "วัน", "ที่ผ่านมา")]
+ORACLES["order_ages"] = f"""
+WITH u(unit, ms, thai, ago) AS ({_values(_UNITS_OF_TIME)}),
+l AS (SELECT o_custkey, CAST(epoch_us(max(o_orderdate)) // 1000 - epoch_us(TIMESTAMP '1998-12-31 00:00:00') // 1000 AS BIGINT) AS span FROM orders GROUP BY o_custkey),
+p AS (SELECT o_custkey, span, arg_max(u, u.ms) AS u FROM l JOIN u ON abs(span) >= u.ms GROUP BY ALL),
+n AS (SELECT o_custkey, u.unit AS unit, u.thai AS thai, u.ago AS ago, CAST(floor(CAST(span AS DOUBLE) / u.ms + 0.5) AS BIGINT) AS n FROM p)
+SELECT o_custkey,
+  CASE WHEN n = -1 AND unit = 'day' THEN 'yesterday' WHEN n = 1 AND unit = 'day' THEN 'tomorrow' WHEN n = -1 THEN 'last ' || unit WHEN n = 1 THEN 'next ' || unit WHEN n < 0 THEN -n || ' ' || unit || 's ago' ELSE 'in ' || n || ' ' || unit || 's' END AS en,
+  CASE WHEN n = -1 AND unit = 'day' THEN 'เมื่อวาน' WHEN n = 1 AND unit = 'day' THEN 'พรุ่งนี้' WHEN n = -1 THEN thai || 'ที่แล้ว' WHEN n = 1 THEN thai || 'หน้า' WHEN n < 0 THEN -n || ' ' || thai || ago ELSE 'ในอีก ' || n || ' ' || thai END AS th FROM n"""
