@@ -7,37 +7,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .. import registry as R
-from . import clusters as C
-from . import scripts
-from .segment import Lexicons, _code
+from . import scripts, segment
+from . import spans as S
+from .segment import Lexicons
 
 
 def register(spark: SparkSession, lexicons: Lexicons | None = None, prefix: str = "lontar_") -> list[str]:
-    """Register words, graphemes, truncate_text, line_breaks, telex, zawgyi_to_unicode, nfc and resolve_locale; gives their names."""
-    held = lexicons or {}
-
-    def place(tag: str | None) -> tuple[str, C.Lexicon | None]:
-        found = R.resolve(tag)
-        return (found.script if found and found.script in C.NATIVE else "Latn"), held.get(_code(tag or ""))
-
-    def by_locale(each):
-        return lambda texts, tags: pd.Series([None if t is None else each(t, *place(tag)) for t, tag in zip(texts, tags, strict=True)], dtype=object)
-
-    @F.pandas_udf("array<string>")
-    def words(t: pd.Series, tag: pd.Series) -> pd.Series:
-        return by_locale(lambda x, s, lex: [w for w, is_word in C.spans(x, s, lex) if is_word])(t, tag)
-
-    @F.pandas_udf("array<string>")
-    def graphemes(t: pd.Series, tag: pd.Series) -> pd.Series:
-        return by_locale(lambda x, s, _: list(C.clusters(x, s)))(t, tag)
-
-    @F.pandas_udf("string")
-    def line_breaks(t: pd.Series, tag: pd.Series) -> pd.Series:
-        return by_locale(lambda x, s, lex: x if s == "Latn" else C.with_breaks(x, s, lex))(t, tag)
-
-    @F.pandas_udf("string")
-    def truncate_text(t: pd.Series, tag: pd.Series, most: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else C.truncated(x, place(c)[0], int(n), lexicon=place(c)[1]) for x, c, n in zip(t, tag, most, strict=True)], dtype=object)
+    """Register words, spans, line_breaks, truncate_text, graphemes, telex, zawgyi_to_unicode, nfc and resolve_locale; gives their names."""
 
     @F.pandas_udf("string")
     def nfc(t: pd.Series) -> pd.Series:
@@ -47,7 +23,18 @@ def register(spark: SparkSession, lexicons: Lexicons | None = None, prefix: str
     def resolve_locale(tag: pd.Series) -> pd.Series:
         return tag.map(lambda x: getattr(R.resolve(x), "code", None), na_action="ignore")
 
-    every = {"words": words, "graphemes": graphemes, "line_breaks": line_breaks, "truncate_text": truncate_text, "telex": scripts.from_telex, "zawgyi_to_unicode": scripts.zawgyi_to_unicode, "nfc": nfc, "resolve_locale": resolve_locale}
+    of = lambda kind, shape: segment._udf(kind, shape, lexicons, "lexical")
+    every = {
+        "words": of("array<string>", lambda t, starts, word, _: S.words(t, starts, word)),
+        "spans": of("array<struct<start:int,end:int,text:string,word_like:boolean>>", lambda t, starts, word, _: S.listed(t, starts, word)),
+        "line_breaks": of("string", lambda t, starts, word, script: S.broken(t, starts, word & (script != "Latn"))),
+        "truncate_text": of("string", lambda t, starts, _, script, n: S.truncated(t, starts, script, n.to_pylist(), "…")),
+        "graphemes": segment._by_clusters("array<string>", list),
+        "telex": scripts.from_telex,
+        "zawgyi_to_unicode": scripts.zawgyi_to_unicode,
+        "nfc": nfc,
+        "resolve_locale": resolve_locale,
+    }
     for name, function in every.items():
         spark.udf.register(prefix + name, function)
     return [prefix + name for name in every]

@@ -32,3 +32,12 @@ def sentences(text: Column) -> Column:
 
 def strip_line_break_opportunities(text: Column) -> Column:
     return F.replace(text, F.lit(ZWSP), F.lit(""))
+
+
+#: Texts of these characters have no cluster of two, but for line ends of two.
+PLAIN = r"\A[\x{0}-\x{2FF}&&[^\r]]*+\z"
+
+
+def single_clusters(text: Column) -> Column:
+    """Whether each character of a text is a cluster of its own."""
+    return text.rlike(PLAIN)

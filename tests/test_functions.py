@@ -12,6 +12,8 @@ from lontar.functions import clusters as C
 from lontar.functions import dates, digits, grammar, numbers, scripts, segment, text
 from lontar.functions import locale as L
 
+import plain
+
 
 def value(spark, column):
     return spark.range(1).select(column.alias("v")).first()["v"]
@@ -164,12 +166,12 @@ def test_clusters_and_spans(script):
             at += len(u)
             assert C.illegal_reasons(t, at, "cut") == [], (t, at)
         for engine in segment.ENGINES:
-            pieces = C.spans(t, script, lexicon, engine)
+            pieces = plain.spans(t, script, lexicon, engine)
             assert "".join(p for p, _ in pieces) == t
-            marked = C.with_breaks(t, script, lexicon, engine)
+            marked = plain.with_breaks(t, script, lexicon, engine)
             assert marked.replace(C.ZWSP, "") == t.replace(C.ZWSP, "")
             for most in (1, 3, 8):
-                short = C.truncated(t, script, most, lexicon=lexicon, engine=engine)
+                short = plain.truncated(t, script, most, lexicon=lexicon, engine=engine)
                 assert short == t or len(C.clusters(short, script)) <= max(2, most)
 
 
@@ -210,7 +212,7 @@ def test_viterbi_is_cheapest():
     lexicon = C.Lexicon.of(["ab", "abc", "cd", "d", "bcd"])
     for _ in range(200):
         units = [rng.choice("abcd") for _ in range(rng.randint(1, 9))]
-        words = C.cheapest(units, lexicon, "Hans")
+        words = plain.cheapest(units, lexicon, "Hans")
         bend = C.UNKNOWN / C.BEST_LENGTH["Hans"] ** 2
         cost = sum(lexicon.cost.get(w, C.UNKNOWN + C.PER_CLUSTER * len(w) + bend * len(w) ** 2) for w in words)
         assert "".join(words) == "".join(units) and abs(cost - brute_cheapest(units, lexicon, "Hans")) < 1e-9
@@ -241,7 +243,7 @@ def test_jvm_words_equal_the_rules(spark):
     got = spark.createDataFrame(rows, "locale string, text string").select("locale", "text", segment.words(F.col("text"), F.col("locale")).alias("words")).collect()
     script = {c: R.LOCALES[c].script for c in letters}
     for r in got:
-        assert r.words == [w for w, is_word in C.spans(r.text, script[r.locale]) if is_word], (r.locale, r.text)
+        assert r.words == [w for w, is_word in plain.spans(r.text, script[r.locale]) if is_word], (r.locale, r.text)
 
 
 def test_engine_of_the_user(spark):

@@ -116,7 +116,8 @@ def test_edits(spark):
     memory = spark.createDataFrame([("a", "en", "neutral", "A"), ("a", "vi", "neutral", "Á"), ("b", "en", "neutral", "B")], "key string, locale string, register string, value string")
     assert [tuple(r) for r in store.translation_memory(memory, "en", "vi").collect()] == [("a", "A", "Á")]
     prompt = spark.range(1).select(store.draft_prompt(F.lit("Hi {name}"), "en", "th", "formal", glossary={"cart": "ตะกร้า"}).alias("p")).first().p
-    assert "noun, then numeral, then classifier" in prompt and prompt.endswith("Source string:\nHi {name}") and '"cart" -> "ตะกร้า"' in prompt
+    assert "English" in prompt and "Thai / ไทย" in prompt and "N + number + CL" in prompt and "ตัว" not in prompt.split("CL for people")[0] and "คน" in prompt
+    assert "cart => ตะกร้า" in prompt and prompt.endswith("- text: Hi {name}") and "formal (one of" in prompt and "no spaces or invisible breaks" in prompt
 
 
 def test_files(spark):
@@ -155,7 +156,7 @@ def test_sql_names(spark):
     from lontar.functions import sql
     from lontar.functions.clusters import Lexicon
 
-    assert len(sql.register(spark, {"th": Lexicon.of(["ฉัน", "รัก"])})) == 8
+    assert len(sql.register(spark, {"th": Lexicon.of(["ฉัน", "รัก"])})) == 9
     row = spark.sql("select lontar_words('ฉันรัก', 'th') as w, lontar_telex('chaof') as t, lontar_truncate_text('hello world', 'en', 6) as s, lontar_resolve_locale('VI_vn') as l, lontar_graphemes('เกา', 'th') as g").first()
     assert (row.w, row.t, row.s, row.l, row.g) == (["ฉัน", "รัก"], "chào", "hello…", "vi", ["เกา"])
 
