@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,41 +21,89 @@ SPACE = r"(?U)[\s\x{FEFF}]"
 # ------------------------------------------------------------ Vietnamese
 
 
-def _table() -> tuple[str, str]:
-    """Latin letters with marks, and the letter each is without them; đ is its own letter."""
-    source, target = [], []
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        base = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not 0x300 <= ord(c) <= 0x36F)
-        if base != chr(code) and len(base) == 1:
-            source.append(chr(code))
-            target.append(base)
-    return "".join(source) + "đĐ", "".join(target) + "dD"
+def _bare(text: str) -> str:
+    """A text's letters without the marks U+0300 to U+036F, taken apart; đ is a letter of its own."""
+    return "".join(c for c in unicodedata.normalize("NFD", text) if not 0x300 <= ord(c) <= 0x36F).replace("đ", "d").replace("Đ", "D")
+
+
+def _ranges(points: list[int]) -> str:
+    """A class of code points for regular expressions of the JVM."""
+    spans: list[list[int]] = []
+    for c in points:
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans)
+
+
+@cache
+def _folding() -> tuple[str, str, str]:
+    """Letters that fold to one, these, and a pattern of what does not: letters that fall into several, marks to be put in order."""
+    source, target, rest, marks = [], [], [], []
+    for code in [*range(0xC0, 0xD800), *range(0xF900, 0x30000), *range(0xE0100, 0xE01F0)]:
+        c = chr(code)
+        bare = _bare(c)
+        if 0x300 <= code <= 0x36F:
+            continue
+        if unicodedata.combining(c):
+            marks.append(code)
+        if bare != c and len(bare) == 1:
+            source.append(c)
+            target.append(bare)
+        elif bare != c:
+            rest.append(code)
+    loose = "".join(map(chr, range(0x300, 0x370)))
+    return "".join(source) + loose, "".join(target), f"[{_ranges(rest)}]|[{_ranges(marks)}][\\x{{300}}-\\x{{36f}}]*[{_ranges(marks)}]"
 
 
-_MARKED, _BARE = _table()
-_LOOSE = "".join(map(chr, range(0x300, 0x370)))
+@F.pandas_udf(StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    return texts.map(_bare, na_action="ignore")
+
+
+def fold_letters(text: Column) -> Column:
+    """Letters that fold to one, in the JVM; what falls into several stays."""
+    source, target, _ = _folding()
+    return F.translate(text, source, target)
 
 
 def fold_vietnamese(text: Column) -> Column:
-    """Letters without their marks, in the JVM: letters of Latin script and loose combining marks."""
-    return F.translate(text, _MARKED + _LOOSE, _BARE)
+    """Letters of all scripts taken apart, without marks U+0300 to U+036F. Only texts with letters that fall into several, such as hangul, leave the JVM."""
+    open_ = text.rlike(_folding()[2])
+    return F.when(open_, _folded(F.when(open_, text))).otherwise(fold_letters(text))
 
 
 def slugify_vietnamese(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(fold_vietnamese(text)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(fold_letters(text)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
 
+@cache
+def _unsettled() -> str:
+    """A class of the characters that a text in NFC may lack or join: those with a form of their own, marks that move, and ends of pairs."""
+    ends = {0x1161 + i for i in range(21)} | {0x11A8 + i for i in range(27)}
+    for code in range(0xC0, 0x30000):
+        parts = unicodedata.decomposition(chr(code))
+        if parts and parts[0] != "<" and " " in parts:
+            ends.add(int(parts.split(" ")[1], 16))
+    own = [c for c in range(0xC0, 0x30000) if not 0xD800 <= c < 0xE000 and (c in ends or unicodedata.combining(chr(c)) or unicodedata.normalize("NFC", chr(c)) != chr(c))]
+    own += [c for c in range(0xE0100, 0xE0200) if unicodedata.combining(chr(c))]
+    return _ranges(own)
 
-def _form(name: str):
-    @F.pandas_udf(StringType())
-    def normal(texts: pd.Series) -> pd.Series:
-        return texts.str.normalize(name)
 
-    return normal
+@F.pandas_udf(StringType())
+def _nfc(texts: pd.Series) -> pd.Series:
+    return texts.str.normalize("NFC")
+
+
+def normalize_nfc(text: Column) -> Column:
+    """NFC, which Spark has no function of its own for. Texts without a character that NFC can change don't leave the JVM."""
+    open_ = text.rlike(f"[{_unsettled()}]")
+    return F.when(open_, _nfc(F.when(open_, text))).otherwise(text)
 
 
 def normalize_vietnamese(text: Column) -> Column:
-    """NFC, which Spark has no function of its own for."""
-    return _form("NFC")(text)
+    return normalize_nfc(text)
 
 
 def equals_vietnamese(a: Column, b: Column) -> Column:
@@ -94,56 +143,60 @@ def has_vietnamese_diacritics(text: Column) -> Column:
     return text.rlike(f"[ăâđêôơưĂÂĐÊÔƠƯ{''.join(_TONED)}]|[aAeEoO]̂|[aA]̆|[oOuU]̛")
 
 
-#: The keys of Telex.
+#: The keys of Telex, for letters and for tones; vowels, and those with a mark of their own.
 TELEX_PAIRS = {"aa": "â", "ee": "ê", "oo": "ô", "aw": "ă", "ow": "ơ", "uw": "ư", "dd": "đ"}
 TELEX_TONES = {"s": "́", "f": "̀", "r": "̉", "x": "̃", "j": "̣"}
-_VOWELS = set("aeiouyăâêôơư")
-_CLUSTER = set("aăâeêioôơuưy") | set("AĂÂEÊIOÔƠUƯY")
-
-
-def telex_word(word: str) -> str:
-    """A word typed in Telex, composed: doubled letters first, pair by pair, then the key of the tone on its vowel."""
-    for pair, letter in TELEX_PAIRS.items():
-        at, low = 0, word.lower()
-        while (at := low.find(pair, at)) >= 0:
-            upper = word[at].isupper()
-            word = word[:at] + (letter.upper() if upper else letter) + word[at + 2 :]
-            low, at = word.lower(), at + 1
-    low = word.lower()
-    mark = ""
-    if low[-1:] in TELEX_TONES and any(c in _VOWELS for c in low[:-1]):
-        mark, word = TELEX_TONES[low[-1]], word[:-1]
-    else:
-        kept = []
-        for i, c in enumerate(word):
-            if i and c.lower() in TELEX_TONES and word[i - 1].lower() in _VOWELS:
-                mark = TELEX_TONES[c.lower()]
-            else:
-                kept.append(c)
-        word = "".join(kept)
-    if mark:
-        end = max((i + 1 for i, c in enumerate(word) if c in _CLUSTER), default=0)
-        if end:
-            start = end
-            while start and word[start - 1] in _CLUSTER:
-                start -= 1
-            nucleus = word[start:end]
-            own = next((i for i, c in enumerate(nucleus) if c.lower() in "âêôơưă"), None)
-            if own is None:
-                own = 0 if len(nucleus) == 1 else len(nucleus) - (1 if end < len(word) else 2)
-            word = word[: start + own + 1] + mark + word[start + own + 1 :]
-    return unicodedata.normalize("NFC", word)
-
-
-def telex_text(text: str) -> str:
-    import re
-
-    return "".join(w if not w.strip() else telex_word(w) for w in re.split(r"(\s+)", text))
+VOWELS, MARKED_VOWELS = "aeiouyăâêôơư", "ăâêôơư"
 
 
-@F.pandas_udf(StringType())
-def from_telex(texts: pd.Series) -> pd.Series:
-    return texts.map(telex_text, na_action="ignore")
+def _toned_vowel(vowel: Column, key: Column) -> Column:
+    """A vowel with the tone of a key."""
+    every = VOWELS + VOWELS.upper()
+    out = vowel
+    for typed, mark in TELEX_TONES.items():
+        made = "".join(unicodedata.normalize("NFC", v + mark) for v in every)
+        out = F.when(key == typed, F.translate(vowel, every, made)).otherwise(out)
+    return out
+
+
+def _syllables(words: Column) -> Column:
+    """Words whose letters are composed, with their tones: parsed into onset, nucleus and coda, of which the nucleus bears the tone.
+
+    The tone's key is the word's last letter, if a vowel comes before it; else the last of those that follow a
+    vowel, which all go. The nucleus is the last run of vowels; in it a marked vowel bears the tone, in a closed
+    syllable the last vowel, in an open one the last but one.
+    """
+    both, own, keys = VOWELS + VOWELS.upper(), MARKED_VOWELS + MARKED_VOWELS.upper(), "sfrxjSFRXJ"
+    parts = f"(?s)^((?:.*[^{both}])?)([{both}]+)([^{both}]*)$"
+
+    def keyed(word: Column) -> Column:
+        at_end = word.rlike(f"(?s)[{both}].*[{keys}]$")
+        key = F.when(at_end, F.right(word, F.lit(1))).otherwise(F.regexp_extract(word, f"(?s)^.*(?<=[{both}])([{keys}])", 1))
+        bare = F.when(at_end, F.left(word, F.length(word) - 1)).otherwise(F.regexp_replace(word, f"(?<=[{both}])[{keys}]", ""))
+        return F.struct(F.lower(key).alias("key"), bare.alias("bare"))
+
+    def parsed(w: Column) -> Column:
+        return F.struct(w["key"].alias("key"), w["bare"].alias("bare"), *(F.regexp_extract(w["bare"], parts, i).alias(n) for i, n in enumerate(("onset", "nucleus", "coda"), 1)))
+
+    def toned(w: Column) -> Column:
+        nucleus = w["nucleus"]
+        marked = F.length(F.regexp_extract(nucleus, f"^([^{own}]*)[{own}]", 1)) + 1
+        place = F.when(nucleus.rlike(f"[{own}]"), marked).otherwise(F.greatest(F.lit(1), F.length(nucleus) - F.when(w["coda"] == "", 1).otherwise(0)))
+        bearer = _toned_vowel(F.substr(nucleus, place, F.lit(1)), w["key"])
+        return F.when((w["key"] == "") | (nucleus == ""), w["bare"]).otherwise(F.concat(w["onset"], F.substr(nucleus, F.lit(1), place - 1), bearer, F.substr(nucleus, place + 1), w["coda"]))
+
+    return F.transform(F.transform(F.transform(words, keyed), parsed), toned)
+
+
+def from_telex(text: Column) -> Column:
+    """Telex keystrokes composed, word by word, in the JVM; in NFC."""
+    out = text
+    for pair, letter in TELEX_PAIRS.items():  # a letter in capitals makes a capital
+        either = f"[{pair[1]}{pair[1].upper()}]"
+        for first, made in ((pair[0], letter), (pair[0].upper(), letter.upper())):
+            out = F.regexp_replace(out, first + either, made)
+    pieces = F.regexp_extract_all(out, F.lit(rf"{SPACE}+|(?:(?!{SPACE})(?s:.))+"), F.lit(0))
+    return normalize_nfc(F.array_join(_syllables(pieces), ""))
 
 
 # ------------------------------------------------------------ Jawi
@@ -171,24 +224,28 @@ def is_jawi(text: Column) -> Column:
 
 # ------------------------------------------------------------ Myanmar
 
-#: What tells the encodings apart, the evidence for each, and how it is said.
+#: What tells the encodings apart, and its weight. How it is said is our own.
 SIGNALS = (
-    ("zawgyi", 3, r"[ဳဴၠ-႗]", "uses codepoints Unicode reserves for other Myanmar languages"),
-    ("zawgyi", 3, r"(^|[^က-ဪျ-ှ္])ေ", "e-vowel stored before its consonant"),
-    ("zawgyi", 3, r"(^|[^က-ဪျ-ှ])[ျ-ှ]", "medial stored before its consonant"),
-    ("unicode", 3, r"င်္", "well-formed kinzi sequence"),
-    ("unicode", 3, r"[က-ဪ][ျ-ှ]", "medial follows its consonant"),
-    ("unicode", 2, r"[က-ဪ]်", "asat follows its consonant"),
-    ("unicode", 1, r"္[က-အ]", "virama stacking in logical order"),
+    ("zawgyi", 3, r"[ဳဴၠ-႗]", "letters that Unicode keeps for Shan, Mon and Karen"),
+    ("zawgyi", 3, r"(^|[^က-ဪျ-ှ္])ေ", "vowel E typed ahead of the letter it follows"),
+    ("zawgyi", 3, r"(^|[^က-ဪျ-ှ])[ျ-ှ]", "medial typed ahead of the letter it follows"),
+    ("unicode", 3, r"င်္", "kinzi in three letters"),
+    ("unicode", 3, r"[က-ဪ][ျ-ှ]", "medial behind a letter"),
+    ("unicode", 2, r"[က-ဪ]်", "asat behind a letter"),
+    ("unicode", 1, r"္[က-အ]", "letters stacked by virama"),
 )
 MYANMAR = r"[က-႟ꩠ-ꩿ]"
 
 
+def _points(text: Column) -> dict[str, Column]:
+    return {kind: sum((F.when(text.rlike(p), n).otherwise(0) for k, n, p, _ in SIGNALS if k == kind), F.lit(0)) for kind in ("zawgyi", "unicode")}
+
+
 def detect_myanmar_encoding(text: Column) -> Column:
     """encoding (unicode, zawgyi or unknown), confidence and signals."""
-    points = {kind: sum((F.when(text.rlike(p), n).otherwise(0) for k, n, p, _ in SIGNALS if k == kind), F.lit(0)) for kind in ("zawgyi", "unicode")}
+    points = _points(text)
     total = points["zawgyi"] + points["unicode"]
-    said = F.filter(F.array(*(F.when(text.rlike(p), F.lit(s)) for _, _, p, s in SIGNALS)), lambda s: s.isNotNull())
+    said = F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(s)) for _, _, p, s in SIGNALS)))
     foreign, bare = ~text.rlike(MYANMAR), total == 0
     won = F.greatest(points["zawgyi"], points["unicode"])
     return F.struct(
@@ -199,7 +256,8 @@ def detect_myanmar_encoding(text: Column) -> Column:
 
 
 def is_zawgyi(text: Column) -> Column:
-    return detect_myanmar_encoding(text)["encoding"] == "zawgyi"
+    points = _points(text)
+    return text.rlike(MYANMAR) & (points["zawgyi"] > points["unicode"])
 
 
 def assert_unicode_myanmar(text: Column, label: str = "text") -> Column:
@@ -287,60 +345,49 @@ ORDER = [
     "\u1038",
 ]
 
-_EXPAND, _SHIFT = str.maketrans(ZAWGYI), str.maketrans(SHIFT)
-_RANK = {mark: i for i, marks in enumerate(ORDER, 1) for mark in marks}
-_BASES = set(map(chr, [*range(0x1000, 0x102B), 0x103F, *range(0x104C, 0x1050)]))
-_VIRAMA = "္"
-
-
-def zawgyi_text(text: str) -> str:
-    """Zawgyi text in Unicode. Marks move behind their consonant and into order; stable among equals."""
-    import re
-
-    marks = "".join(k for k in _RANK if k != _VIRAMA)
-    bases = "".join(sorted(_BASES))
-    plain = text.translate(_EXPAND).translate(_SHIFT)
-    out: list[str] = []
-    waiting: list[str] = []
-    for m in re.finditer(f"([{bases}])((?:{_VIRAMA}[{bases}]|[{marks}])*)|([{''.join(_RANK)}])|(.)", plain, re.S):
-        base, tail, mark, other = m.groups()
-        if base:
-            units = waiting + re.findall(f"{_VIRAMA}[{bases}]|[{marks}]", tail)
-            out += [base, *sorted(units, key=lambda u: _RANK[u[0]])]
-            waiting = []
-        elif mark:
-            waiting.append(mark)
-        else:
-            out += [*waiting, other]
-            waiting = []
-    return "".join(out + waiting)
+#: Letters that marks belong to.
+BASES = "\u1000-\u102a\u103f\u104c-\u104f"
+_MARKS = "".join(ORDER)
 
 
-@F.pandas_udf(StringType())
-def zawgyi_to_unicode(texts: pd.Series) -> pd.Series:
-    return texts.map(zawgyi_text, na_action="ignore")
+def _in_order(syllable: Column) -> Column:
+    """A syllable's base and then its marks, by their rank and, of one rank, as they stood."""
+    base, marks = F.regexp_extract(syllable, f"[{BASES}]", 0), F.regexp_replace(syllable, f"[{BASES}]", "")
+    ranks = "".join(chr(ord("A") + i) * len(alike) for i, alike in enumerate(ORDER))
+    ranked = F.transform(F.split(marks, ""), lambda m, i: F.struct(F.translate(m, _MARKS, ranks).alias("rank"), i.alias("at"), m.alias("mark")))
+    return F.when(F.length(syllable) < 2, syllable).otherwise(F.concat(base, F.array_join(F.transform(F.array_sort(ranked), lambda r: r["mark"]), "")))
+
+
+def zawgyi_to_unicode(text: Column) -> Column:
+    """Zawgyi text in Unicode, in the JVM: letters by table, then the marks around each base behind it and in order."""
+    single = {k: SHIFT.get(v, v) for k, v in ZAWGYI.items() if len(v) == 1} | SHIFT
+    out = F.translate(text, "".join(single), "".join(single.values()))
+    for letter, written in ZAWGYI.items():
+        if len(written) > 1:
+            out = F.replace(out, F.lit(letter), F.lit(written.translate(str.maketrans(SHIFT))))
+    pieces = F.regexp_extract_all(out, F.lit(f"[{_MARKS}]*[{BASES}][{_MARKS}]*|[{_MARKS}]+|[^{_MARKS}{BASES}]+"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"[{BASES}]"), _in_order(p)).otherwise(p)), "")
 
 
 def normalize_myanmar(text: Column) -> Column:
-    """Zawgyi converted, other text as it is. Only the rows that need it are worth sending to Python; filter first where they are few."""
+    """Zawgyi converted, other text as it is."""
     return F.when(is_zawgyi(text), zawgyi_to_unicode(text)).otherwise(text)
 
 
 # ------------------------------------------------------------ search
 
 
-def to_search_key(text: Column, locale: Column, converted: Column | None = None) -> Column:
-    """What a text is found by: marks and case folded, digits in ASCII, white space collapsed.
-
-    For Myanmar script, converted is the text in Unicode (normalize_myanmar), if it may be in Zawgyi.
-    """
+def to_search_key(text: Column, locale: Column) -> Column:
+    """What a text is found by: in NFC, Zawgyi converted, marks and case folded, digits in ASCII, white space collapsed."""
     script = by_locale(resolve_locale(locale), {c: v.script for c, v in R.LOCALES.items()}, "Latn")
+    clustered = script.isin("Mymr", "Thai", "Laoo", "Khmr")
+    composed = normalize_nfc(F.when(clustered, text))
     bare = (
-        F.when(script == "Mymr", F.regexp_replace(text if converted is None else converted, r"[ါ-ှ]", ""))
-        .when(script == "Thai", F.regexp_replace(text, r"[็-๎]", ""))
-        .when(script == "Laoo", F.regexp_replace(text, r"[່-ໍ]", ""))
-        .when(script == "Khmr", F.regexp_replace(text, r"[ំ-៓]", ""))
-        .otherwise(fold_vietnamese(text))
+        F.when(script == "Mymr", F.regexp_replace(normalize_myanmar(composed), r"[ါ-ှ]", ""))
+        .when(script == "Thai", F.regexp_replace(composed, r"[็-๎]", ""))
+        .when(script == "Laoo", F.regexp_replace(composed, r"[່-ໍ]", ""))
+        .when(script == "Khmr", F.regexp_replace(composed, r"[ំ-៓]", ""))
+        .otherwise(fold_vietnamese(F.when(~clustered, text)))
     )
     return F.trim(F.regexp_replace(F.lower(to_latin_digits(bare)), SPACE + "+", " "))
 

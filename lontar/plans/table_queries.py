@@ -391,8 +391,7 @@ SELECT p_partkey AS text_id, CAST(sum(n) AS BIGINT) AS illegal, arg_min(reason,
 def illegal_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many places of Thai texts no one may cut at, and the commonest reason."""
     rows = _built(spark, sf_dir).where("locale = 'th'").select(F.col("p_partkey").alias("text_id"), "text")
-    cuts = rows.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("text") - 1)))
-    return evaluate.illegal_summary(evaluate.legality(cuts))
+    return evaluate.illegal_summary(rows)
 
 
 @query("SELECT conv_id, turn, length_grapheme(text) AS clusters, length_grapheme(text || '🇹🇭👨‍👩‍👧e' || chr(769) || 'ก็') AS more FROM conversations")

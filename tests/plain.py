@@ -117,3 +117,17 @@ def truncated(text: str, script: str, most: int, ellipsis: str = "…", lexicon:
         cut = at
     kept = text[: cut or limit].rstrip()
     return (kept or text[:limit]) + ellipsis
+
+
+def illegal_reasons(text, at, kind="break"):
+    """Names of the rules that a break (or a cut) at a place in the text offends, by name."""
+    from lontar.functions.legality import FIRST, LAST, STACKS, START
+
+    if not 0 < at < len(text):
+        return []
+    out = [name for name, letters in LAST.items() if regex.match(f"[{letters}]", text[at - 1])]
+    out += [name for name, pattern in FIRST.items() if regex.compile(pattern).match(text, at)]
+    out += [name for name, mark in STACKS.items() if mark in text[at - 1 : at + 1]]
+    if kind == "break" and text[at] in START["line-starts-with-punctuation"]:
+        out.append("line-starts-with-punctuation")
+    return sorted(out)

@@ -119,7 +119,31 @@ def test_vietnamese(spark):
     assert value(spark, scripts.slugify_vietnamese(F.lit("Hồ Chí Minh!"))) == "ho-chi-minh"
     loose = [unicodedata.normalize("NFD", t) for t in rows]
     assert each(spark, loose, scripts.normalize_vietnamese) == rows and each(spark, loose, scripts.tone_of)[0] == "sắc"
-    assert [scripts.telex_text(t) for t in ("Tieengs Vieejt", "ddaa", "chaof", "toans", "giayf", "", " a  b ")] == ["Tiếng Việt", "đâ", "chào", "toán", "giày", "", " a  b "]
+    typed = {"Tieengs Vieejt": "Tiếng Việt", "ddaa": "đâ", "chaof": "chào", "toans": "toán", "giayf": "giày", "": "", " a  b ": " a  b ", "nawxng": "nẵng", "muaf": "mùa", "HOAF": "HÒA", "DDaf": "Đà", "sfx": "sfx", "s": "s", "thuwowngf": "thừơng", "thuowngf": "thuờng", "asf\tbs\nngoaif": "às\tbs\nngoài", "quys": "qúy", "ax b": "ã b", "viejet": "vieẹt", "caacs": "cấc"}
+    assert dict(zip(typed, each(spark, typed, scripts.from_telex), strict=True)) == typed
+    assert each(spark, [None], scripts.from_telex) == [None]
+
+
+def test_search_keys_of_every_script(spark):
+    rows = ["й ά Ǖ が 한 क़ ﬁ Å", "ộ" * 3, "a\u0323\u0302\u0345b", "ุ่", "ุ่ x", None] + [chr(c) for c in (*range(0xC0, 0x250), *range(0x370, 0x530, 3), *range(0x1E00, 0x2000), *range(0x900, 0x980), *range(0x3040, 0x3100), 0xAC01, 0xF900, 0x2F800, 0x1D15E)]
+    assert each(spark, rows, scripts.fold_vietnamese) == [None if t is None else scripts._bare(t) for t in rows]
+    zawgyi, unicode = "ေက်ာင္း", "ကျောင်း"
+    key = lambda t, c: value(spark, scripts.to_search_key(F.lit(t), F.lit(c)))
+    assert key(zawgyi, "my") == key(unicode, "my") and value(spark, scripts.search_matches(F.lit(zawgyi), F.lit(f"x {unicode}"), F.lit("my")))
+    assert key("Й", "id") == "и" and key("น้ำ ๑๒", "th") == "นำ 12"
+
+
+def test_composed_letters_of_every_script(spark):
+    """NFC in the JVM for what is settled, in Python for the rest: equal to unicodedata over all letters, marks behind them and hangul."""
+    rng = random.Random(9)
+    rows = [chr(c) for c in range(0xA0, 0x30000) if unicodedata.category(chr(c)) not in ("Cs", "Cn", "Co")]
+    rows = ["".join(rows[i : i + 40]) for i in range(0, len(rows), 40)] + [unicodedata.normalize("NFD", r) for r in rng.sample(rows, 300)]
+    marks = [chr(c) for c in range(0x300, 0x370)] + ["ᅡ", "ᆨ", "가", "が"]
+    rows += ["".join(rng.choice("aeiouyAÔếकก가" + "".join(marks)) for _ in range(12)) for _ in range(500)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").select("i", scripts.normalize_nfc(F.col("t")).alias("v"), (F.col("t").rlike(f"[{scripts._unsettled()}]")).alias("open")).orderBy("i").collect()
+    assert [r.v for r in got] == [unicodedata.normalize("NFC", t) for t in rows]
+    plan = spark.createDataFrame([("x",)], "t string").select(scripts.normalize_nfc(F.col("t")))._jdf.queryExecution().toString()
+    assert "_nfc(CASE WHEN" in plan
 
 
 def test_jawi_and_myanmar(spark):
@@ -138,7 +162,7 @@ def test_jawi_and_myanmar(spark):
     assert value(spark, scripts.jawi_to_rumi(F.lit("شڠ"))) == "syng" and value(spark, scripts.is_jawi(F.lit("abc"))) is False
     verdict = value(spark, scripts.detect_myanmar_encoding(F.lit("ေက်ာင္း")))
     assert verdict.encoding == "zawgyi" and 0.5 < verdict.confidence <= 1
-    assert scripts.zawgyi_text("ေက်ာင္း") == "ကျောင်း"
+    assert value(spark, scripts.zawgyi_to_unicode(F.lit("ေက်ာင္း"))) == "ကျောင်း"
     with pytest.raises(Exception, match="Zawgyi"):
         value(spark, scripts.assert_unicode_myanmar(F.lit("ေက်ာင္း")))
     assert value(spark, scripts.search_matches(F.lit("da n"), F.lit("Đà Nẵng"), F.lit("vi"))) and not value(spark, scripts.search_matches(F.lit(" "), F.lit("x"), F.lit("en")))
@@ -164,7 +188,7 @@ def test_clusters_and_spans(script):
         at = 0
         for u in units[:-1]:
             at += len(u)
-            assert C.illegal_reasons(t, at, "cut") == [], (t, at)
+            assert plain.illegal_reasons(t, at, "cut") == [], (t, at)
         for engine in segment.ENGINES:
             pieces = plain.spans(t, script, lexicon, engine)
             assert "".join(p for p, _ in pieces) == t
@@ -258,3 +282,67 @@ def test_sentences_keep_every_character(spark):
     assert ["".join(s) for s in got] == given
     assert got[:6] == [["a\x01b. ", "c"], ["Version 1.2 shipped. ", "Yes! "], ["no end"], [], ["..."], ["1.2.3"]]
     assert got[6] == ["A?\u201d ", "B\u3002", "C\n\nD."]
+
+
+def settled(text):
+    """Zawgyi text in Unicode: letters one by one, then marks swap with the neighbour before them until none is out of place."""
+    wide = "".join(scripts.ZAWGYI.get(c, c) for c in text)
+    letters = [scripts.SHIFT.get(c, c) for c in wide]
+    bases = re.compile(f"[{scripts.BASES}]")
+    rank = {c: i for i, alike in enumerate(scripts.ORDER) for c in alike}
+    swapped = True
+    owner, at, home = [], None, []  # the base that each mark belongs to
+    for i, c in enumerate(letters):
+        if bases.match(c):
+            at = i
+        elif c not in rank:
+            at = None
+        owner.append(at if bases.match(c) or c in rank else None)
+    nxt = None
+    for i in range(len(letters) - 1, -1, -1):  # marks without one before them go to the next
+        if bases.match(letters[i]):
+            nxt = i
+        elif letters[i] not in rank:
+            nxt = None
+        elif owner[i] is None:
+            owner[i] = nxt
+        home.append(owner[i])
+    home = home[::-1]
+    key = lambda i: -1 if bases.match(letters[i]) else rank.get(letters[i], 0)
+    order = list(range(len(letters)))
+    while swapped:
+        swapped = False
+        for j in range(1, len(order)):
+            a, b = order[j - 1], order[j]
+            if home[a] is not None and home[a] == home[b] and key(a) > key(b):
+                order[j - 1], order[j] = b, a
+                swapped = True
+    return "".join(letters[i] for i in order)
+
+
+def test_zawgyi_in_the_jvm(spark):
+    rng = random.Random(11)
+    own = "".join(scripts.ZAWGYI) + "".join(scripts.SHIFT) + "ကခဂငစတနမရလသအ" * 3 + "ောိီုူဲံ့း" * 2 + " a၊"
+    rows = ["".join(rng.choice(own) for _ in range(rng.randint(0, 25))) for _ in range(1500)] + [None, "plain"]
+    assert each(spark, rows, scripts.zawgyi_to_unicode) == [None if r is None else settled(r) for r in rows]
+    frame = spark.createDataFrame([("x",)], "t string").select(scripts.normalize_myanmar(F.col("t")))
+    assert "EvalPython" not in frame._jdf.queryExecution().toString()
+
+
+def test_legality_is_linear_and_that_of_pairs(spark):
+    from lontar.functions import legality
+
+    rng = random.Random(13)
+    own = "กเาะัๆກເາັកា្ំကါ္်ျးန။, aé\u0301𠀀"
+    rows = ["".join(rng.choice(own) for _ in range(rng.randint(0, 20))) for _ in range(800)] + ["", None, "ကျ်" * 3]
+    for kind in ("break", "cut"):
+        frame = spark.createDataFrame([(i, t, list(range(-1, 22))) for i, t in enumerate(rows)], "i int, t string, o array<int>").orderBy("i")
+        t = F.col("t")
+        got = frame.select(legality.illegal_offsets(t, kind).alias("at"), legality.illegal_count(t, None, kind).alias("n"), legality.illegal_counts(t, kind).alias("by"), legality.judged(t, F.col("o"), kind).alias("judged")).collect()
+        for text, r in zip(rows, got, strict=True):
+            if text is None:
+                assert (r.at, r.n, r.by, r.judged) == (None, None, None, None)
+                continue
+            want = {at: names for at in range(len(text) + 1) if (names := plain.illegal_reasons(text, at, kind))}
+            assert r.at == list(want) and r.n == len(want) and {x.at: x.reasons for x in r.judged} == want, ascii(text)
+            assert {x.reason: x.n for x in r.by} == {name: n for name in legality.reasons(kind) if (n := sum(name in x for x in want.values()))}

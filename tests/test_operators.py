@@ -136,7 +136,7 @@ def test_evaluation(spark):
     gold = spark.createDataFrame([("th", "a", 1), ("th", "a", 2), ("en", "b", 2)], "locale string, text_id string, at int")
     got = {r.locale: (r.precision, r.recall, r.f1) for r in evaluate.boundary_scores(pairs, gold).collect()}
     assert got == {"th": (0.5, 0.5, 0.5), "en": (1.0, 1.0, 1.0)} and evaluate.macro(evaluate.boundary_scores(pairs, gold)).first().f1 == 0.75
-    cuts = spark.createDataFrame([(1, "เก", 1), (2, "กา", 1), (3, "ab", 1)], "text_id int, text string, at int")
+    cuts = spark.createDataFrame([(1, "เก", [1]), (2, "กา", [0, 1, 2]), (3, "ab", [1]), (4, None, [1]), (5, "กา", None)], "text_id int, text string, offsets array<int>")
     assert {(r.text_id, r.reason) for r in evaluate.legality(cuts).collect()} == {(1, "orphaned-leading-vowel"), (2, "orphaned-trailing-vowel")}
     text, offsets = bundles.annotated(F.lit("ab|c|de"))
     assert tuple(spark.range(1).select(text, offsets).first()) == ("abcde", [2, 3])
@@ -156,9 +156,14 @@ def test_sql_names(spark):
     from lontar.functions import sql
     from lontar.functions.clusters import Lexicon
 
-    assert len(sql.register(spark, {"th": Lexicon.of(["ฉัน", "รัก"])})) == 9
-    row = spark.sql("select lontar_words('ฉันรัก', 'th') as w, lontar_telex('chaof') as t, lontar_truncate_text('hello world', 'en', 6) as s, lontar_resolve_locale('VI_vn') as l, lontar_graphemes('เกา', 'th') as g").first()
-    assert (row.w, row.t, row.s, row.l, row.g) == (["ฉัน", "รัก"], "chào", "hello…", "vi", ["เกา"])
+    names = sql.register(spark, {"th": Lexicon.of(["ฉัน", "รัก"])}, locales=("vi", "zh-Hans-SG"))
+    assert len(names) == len(set(names)) == 6 + len(sql.COLUMNS) + 10
+    row = spark.sql("select lontar_words('ฉันรัก', 'th') as w, lontar_truncate_text('hello world', 'en', 6) as s, lontar_resolve_locale('VI_vn') as l, lontar_graphemes('เกา', 'th') as g").first()
+    assert (row.w, row.s, row.l, row.g) == (["ฉัน", "รัก"], "hello…", "vi", ["เกา"])
+    row = spark.sql("select lontar_format_count(2D, 'mèo', 'vi', 'animal') as c, lontar_money_vi(1500000D) as m, lontar_with_politeness('Hello?', 'th', 'male') as p, lontar_plural_category(1D, 'en') as k, lontar_is_zawgyi('ေက်ာင္း') as z, lontar_illegal_cuts('กา') as i, lontar_number_zh_hans_sg(1234.5D) as n, lontar_date_vi(timestamp_ntz'2026-08-18 15:04:05') as d, lontar_fallback_chain('ms-BN') as f").first()
+    assert (row.c, row.m, row.p, row.k, row.z, row.i, row.n) == ("2 con mèo", "1.500.000\xa0₫", "Hello ครับ?", "one", True, 1, "1,234.5") and "2026" in row.d and row.f[-1] == "en"
+    plan = spark.sql("select lontar_fold_letters('Đà') as x")._jdf.queryExecution().toString()
+    assert "Python" not in plan
 
 
 def test_scaffold(tmp_path):
