@@ -48,12 +48,16 @@ def test_query(spark, sf, db, name):
         assert rows_of(got.columns, rows) == rows_of(want.columns, want.fetchall())
 
 
-def test_entry_without_the_subpackage(tmp_path):
+@pytest.mark.parametrize("missing", ["the subpackage", "a library"])
+def test_entry_without_the_subpackage(tmp_path, missing):
     for name in ("__spark_entry__.py", "lontar"):
         source = ROOT / name
         (shutil.copytree if source.is_dir() else shutil.copy)(source, tmp_path / name)
-    shutil.rmtree(tmp_path / "lontar/llm", ignore_errors=True)
-    code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q) and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    if missing == "the subpackage":
+        shutil.rmtree(tmp_path / "lontar/llm", ignore_errors=True)
+    elif (ROOT / "corpus_pipeline.py").exists():
+        shutil.copy(ROOT / "corpus_pipeline.py", tmp_path)
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q) and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": ""}, timeout=120)
 
 
