@@ -15,8 +15,10 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..ship import spread
 from .cluster import cut, met, prepare, shared_folder, unused
@@ -120,7 +122,8 @@ def arrivals(keyed: DataFrame) -> DataFrame:
 def repeated_positions(docs: DataFrame, shortest: int = SHORTEST, common: int = COMMON, batch_lines: int = BATCH_LINES, batches: int = BATCHES) -> DataFrame:
     """(doc, t, positions): for each document the lines that go. doc: the doc_id, null the lowest number; t: a hash of the text."""
     doc, text, mark = _split(docs)
-    lines = docs.select(doc.alias("doc"), mark.alias("t"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
+    split = docs.select(doc.alias("doc"), mark.alias("t"), F.split(text, "\n", -1).alias("parts"))  # a text is hashed once, not for each line
+    lines = split.select("doc", "t", F.posexplode("parts").alias("at", "line"))
     long = lines.where(F.length("line") >= shortest)  # a key is no longer than its line
     keyed = long.select("doc", "t", "at", line_key(F.col("line")).alias("key")).where(F.length("key") >= shortest)
     keyed = cut(keyed.select("doc", "t", "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(17), "key").alias("h2")))
@@ -136,6 +139,16 @@ def repeated_positions(docs: DataFrame, shortest: int = SHORTEST, common: int =
     return gone.groupBy("doc", "t").agg(F.sort_array(F.collect_set("at")).alias("positions"))
 
 
+@F.arrow_udf(StringType())
+def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    """Texts without the lines at some places. Texts that keep all their lines come as nulls."""
+    out: list[str | None] = []
+    for text, places in zip(texts.to_pylist(), gone.to_pylist(), strict=True):
+        held = set(places or ())
+        out.append(None if text is None else "\n".join(line for i, line in enumerate(text.split("\n")) if i not in held))
+    return pa.array(out, pa.string())
+
+
 def dedup_lines(docs: DataFrame, shortest: int = SHORTEST, common: int = COMMON, batch_lines: int = BATCH_LINES, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """Every row of docs (doc_id, text, ...) with its text cleaned, and the numbers of its lines and of those dropped beside it.
 
@@ -153,9 +166,8 @@ def dedup_lines(docs: DataFrame, shortest: int = SHORTEST, common: int = COMMON,
     doc, text, mark = _split(docs)
     gone = gone.select(F.col("doc").alias(doc_at), F.col("t").alias(mark_at), F.col("positions").alias(gone_at))
     rows = docs.withColumns({doc_at: doc, text_at: text, mark_at: mark}).join(F.broadcast(gone) if size <= SMALL else gone, [doc_at, mark_at], "left")
-    parts = F.split(F.col(text_at), "\n", -1)
-    kept = F.filter(parts, lambda line, i: ~F.array_contains(F.col(gone_at), i))
-    cleaned = F.when(F.col(gone_at).isNull(), F.col(text_at)).otherwise(F.array_join(kept, "\n"))
+    whole = F.col(gone_at).isNull()
+    cleaned = F.when(whole, F.col(text_at)).otherwise(_without(F.when(~whole, F.col(text_at)), F.col(gone_at)))
     dropped = F.when(F.col(gone_at).isNull(), 0).otherwise(F.size(gone_at))
     lines = F.length(text_at) - F.length(F.replace(F.col(text_at), F.lit("\n"), F.lit(""))) + 1
     own = [cleaned.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns if c not in counts]

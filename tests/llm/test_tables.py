@@ -341,3 +341,18 @@ def test_mix_edges(spark):
     assert {(r.doc_id, r.size, r.target, r.taken) for r in only} == {(1, 0, 0.0, 0), (2, 0, 0.0, 0)}
     digest = hashlib.sha256(str(sorted(map(tuple, mixing.mixed(docs(spark, EDGES)).collect()), key=str)).encode()).hexdigest()
     assert digest == hashlib.sha256(str(sorted(map(tuple, mixing.mixed(docs(spark, EDGES[::-1])).collect()), key=str)).encode()).hexdigest()
+
+
+def test_many_repeated_lines_take_time_in_proportion(spark):
+    import time
+
+    def took(lines_each):
+        text = "\n".join(f"a line of forty characters and more, number {i}" for i in range(lines_each))
+        rows = spark.createDataFrame([(d, text) for d in range(5)], "doc_id long, text string")
+        start = time.time()
+        got = lines.dedup_lines(rows).select("doc_id", "n_lines", "n_dropped", F.length("text").alias("left")).collect()
+        assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.left) for r in got) == [(d, lines_each, lines_each, 0) for d in range(4)] + [(4, lines_each, 0, len(text))]
+        return time.time() - start
+
+    took(1000)
+    assert took(80_000) < 20 + 4 * took(20_000)
