@@ -14,12 +14,12 @@ texts are linked if the sum of the smaller counts is at least 0.8 of the sum of
 3. Bands of components are joined; each member of a band's bucket links to the bucket's smallest
    doc_id. Components of these links are the candidate groups: any two texts that share a band are
    in the same one.
-4. Within a candidate group, every text is held against every other one that is not joined to it
-   yet, by exact overlap of the multisets. Groups over a bound of size are cut into blocks, contract
-   block by block, and then compare what is still apart in pairs of blocks: memory is bounded and no
-   link between classes is lost. Groups of very many blocks that are still apart (chains over
-   passages that many texts share) are taken apart into their buckets first, so that only texts with
-   a common band are compared. Output is a star for each class and task, never the pairs.
+4. Texts that share a band and are not joined yet are held against each other, by exact overlap of the
+   multisets: that is the one rule, whatever the size of their group. Groups over a bound of size are cut
+   into blocks, contract block by block, and then compare what is still apart in pairs of blocks: memory is
+   bounded and no link between classes is lost. Groups of very many blocks that are still apart (chains
+   over passages that many texts share) are taken apart into their buckets first, which only spares pairs
+   without a common band. Output is a star for each class and task, never the pairs.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 6
 #: A task's block holds about so many texts and so many shingles.
 BLOCK_TEXTS, BLOCK_SHINGLES = 400, 400_000
-#: Groups of more blocks than that are compared by buckets. A text is in at most BANDS of these.
+#: Groups of more blocks than that are compared by buckets, of which a text is in at most BANDS: the same pairs in fewer blocks.
 MOST_BLOCKS = BANDS
 #: Texts are signed together until they have so many shingles.
 CHUNK = 150_000
@@ -188,12 +188,14 @@ class Block:
         return out
 
 
-def spanning(bags: list[tuple[np.ndarray, np.ndarray]], threshold: float, classes: np.ndarray | None = None) -> np.ndarray:
+def spanning(bags: list[tuple[np.ndarray, np.ndarray]], threshold: float, classes: np.ndarray | None = None, keys: list[np.ndarray] | None = None) -> np.ndarray:
     """A label for each bag; those joined by links with similarity threshold or more have the same.
 
-    classes: what is joined already. Only bags of different labels are compared, each pair at most once.
+    classes: what is joined already. Only bags of different labels are compared, each pair at most once; of bags
+    with keys, only those with one in common.
     """
     block = Block(bags)
+    shared = None if keys is None else Block([(k, np.ones(len(k), np.int64)) for k in keys])
     label = np.arange(len(bags)) if classes is None else np.unique(classes, return_inverse=True)[1]
     for one in range(len(bags) - 1):
         if not block.length[one]:
@@ -202,6 +204,8 @@ def spanning(bags: list[tuple[np.ndarray, np.ndarray]], threshold: float, classe
         a, b = block.total[one], block.total[rest]
         near = (label[rest] != label[one]) & (block.length[rest] > 0) & (np.minimum(a, b) >= threshold * np.maximum(a, b) * (1 - 1e-12))
         others = np.flatnonzero(near) + one + 1
+        if shared is not None and len(others):
+            others = others[shared.overlap(one, others) > 0]
         if not len(others):
             continue
         both = block.overlap(one, others)
@@ -218,7 +222,8 @@ def _verifier(width: int, threshold: float):
         import pandas as pd
 
         group = group.sort_values("id", kind="stable")
-        label = spanning([bag(t, width) for t in group["text"]], threshold, group["class"].to_numpy())
+        keys = [np.asarray(k, np.int64).view(np.uint64) for k in group["keys"]]
+        label = spanning([bag(t, width) for t in group["text"]], threshold, group["class"].to_numpy(), keys)
         node = group["class"].to_numpy(np.int64)
         low = pd.Series(node).groupby(label).transform("min").to_numpy()
         out = pd.DataFrame({"u": node, "v": low})
@@ -324,13 +329,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
 
     bucket = member.where("bands is not null").select("id", F.explode("bands").alias("key"))
     lead = cut(bucket.groupBy("key").agg(F.min("id").alias("v"), F.max("id").alias("top"), F.count("*").alias("n")).where("v < top"))
-    near = met(bucket, lead.select("key", "v"), "key", counts=lead).where("id > v").select(F.col("id").alias("u"), "v").distinct()
-    group = components(near)
+    held = cut(met(bucket, lead.select("key", "v"), "key", counts=lead).select("id", "key", "v"))
+    group = components(held.where("id > v").select(F.col("id").alias("u"), "v").distinct())
 
     nodes = cut(member.where("id = rep").select("id", "n").distinct().join(group, F.col("id") == F.col("node")).select("id", "component", "n"))
     # Texts of the candidates go out of all texts once; what follows shuffles these alone. Repeated rows count once.
     texts = known.join(nodes.select("id").distinct(), "id", "left_semi").withColumn("same", F.xxhash64("text"))
-    texts = cut(texts.dropDuplicates(["id", "same"]).select("id", "text"))
+    keys = held.groupBy("id").agg(F.collect_set("key").alias("keys"))  # BANDS at most of each text, those that another has
+    texts = cut(texts.dropDuplicates(["id", "same"]).select("id", "text").join(keys, "id"))
     classes = _joined(nodes, texts, bucket.distinct(), width, threshold)
 
     named_classes = classes.select(F.col("node").alias("rep"), "component")

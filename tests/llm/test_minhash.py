@@ -104,3 +104,21 @@ def test_documents(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {r.doc_id: r.component_id for r in minhash.op1_minhash(spark, sf).collect()}
     assert got == brute(rows)
+
+
+def test_one_rule_for_groups_of_every_size(spark, monkeypatch):
+    """Few bands miss many pairs; which ones must not depend on how a group is cut up."""
+    rng = np.random.default_rng(8)
+    rows, base = [], [f"v{i}" for i in range(60)]
+    for d in range(70):
+        words = list(base)
+        for p in rng.choice(60, int(rng.integers(0, 3)), replace=False):
+            words[p] = f"edit{d}_{p}"
+        rows.append((d, " ".join(words)))
+    found = []
+    for texts, most in ((400, 40), (5, 40), (5, 0), (7, 3)):
+        monkeypatch.setattr(minhash, "BLOCK_TEXTS", texts)
+        monkeypatch.setattr(minhash, "MOST_BLOCKS", most)
+        found.append(result(spark, rows, bands=6, rows=6))
+    assert all(f == found[0] for f in found) and 1 < len({c for _, c, _ in found[0]}) < 70
+    assert {d: c for d, c, _ in found[0]} != brute(rows)
