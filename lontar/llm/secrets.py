@@ -203,8 +203,9 @@ class Layer:
         keep(at, len(self.text))
         return Layer("".join(parts), starts, ends)
 
-    def read(self, data: bytes, spots: Sequence[int], packed: bool) -> Iterator[Layer]:
+    def read(self, data: bytes | memoryview, spots: Sequence[int], packed: bool) -> Iterator[Layer]:
         """Layers of the bytes that the base64 characters at spots hold; packed: after unpacking, when each stands for all of it."""
+        data = bytes(data)
         if READABLE.search(data) or _is_text(data):
             yield self._inner(data, range(len(data)), 1, spots, packed)
         for a, b in _wide(data):
@@ -260,6 +261,19 @@ def _byte(m: re.Match) -> list[tuple[str, int, int]] | None:
     return [(chr(code), 0, len(m[0]))] if code < 256 else None
 
 
+class _View(Sequence):
+    """A part of a sequence, without a copy."""
+
+    def __init__(self, base: Sequence[int], at: range | None = None):
+        self.base, self.at = base, range(len(base)) if at is None else at
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __getitem__(self, i):
+        return _View(self.base, self.at[i]) if isinstance(i, slice) else self.base[self.at[i]]
+
+
 def _carried(layer: Layer, escape: re.Pattern, refused: list[int]) -> Iterator[Layer]:
     """Layers in packed data of which some bytes are escaped and others stand as they are."""
     raw = layer.rewritten(escape, _byte)
@@ -274,7 +288,7 @@ def _carried(layer: Layer, escape: re.Pattern, refused: list[int]) -> Iterator[L
             _engine(data, at).decompress(data[at : at + FEED])
         except _BROKEN:
             continue
-        packed, left = Unpacking(data[at:]), MOST
+        packed, left = Unpacking(memoryview(data)[at:]), MOST
         for piece in packed.pieces():
             left -= len(piece)
             if left < 0:
@@ -293,9 +307,12 @@ def _bytes(run: str) -> bytes | None:
         return None
 
 
-def _packed(layer: Layer, data: bytes, spots: Sequence[int], refused: list[int]) -> Iterator[Layer]:
-    """Layers in packed data, and in what follows it, from the base64 characters at spots. Returns whether it is packed."""
-    work, seen, left, inside = [data], set(), MOST, False
+def _packed(layer: Layer, data: bytes | memoryview, spots: Sequence[int], refused: list[int]) -> Iterator[Layer]:
+    """Layers in packed data, and in what follows it, from the base64 characters at spots.
+
+    Returns how many bytes are packed: 0 if it is no packed data, 1 if it breaks off.
+    """
+    work, seen, left, inside, end = [data], set(), MOST, False, 0
     while work:  # packed again without a text layer between
         data = work.pop()
         packed, out, large = Unpacking(data), bytearray(), False
@@ -313,9 +330,10 @@ def _packed(layer: Layer, data: bytes, spots: Sequence[int], refused: list[int])
             refused.append(1)
         if not packed.end:
             if not inside:
-                return False
+                return 0
             yield from layer.read(data, spots, True)
             continue
+        end = end or (packed.end if packed.whole else 1)
         if not inside and packed.end < len(data):
             around, spots = spots, spots[: -(-packed.end * 4 // 3) if len(spots) > len(data) else packed.end]
         else:
@@ -329,7 +347,7 @@ def _packed(layer: Layer, data: bytes, spots: Sequence[int], refused: list[int])
         elif (mark := hashlib.blake2b(out, digest_size=16).digest()) not in seen:
             seen.add(mark)
             work.append(bytes(out))
-    return True
+    return end
 
 
 def _from_base64(layer: Layer, start: int, end: int, refused: list[int], read: bool = True) -> Iterator[Layer]:
@@ -360,7 +378,7 @@ def _shifted(layer: Layer, start: int, end: int, refused: list[int]) -> Iterator
         for m in PACKED.finditer(data):
             if m.start() % 3 == 0 and (m.start() or skip or odd):
                 own: list[int] = []
-                if (yield from _packed(layer, data[m.start() :], spots[m.start() // 3 * 4 :], own)):
+                if (yield from _packed(layer, memoryview(data)[m.start() :], spots[m.start() // 3 * 4 :], own)):
                     refused += own if len(m[0]) > 2 else []  # heads of two bytes occur by chance
                     break
 
@@ -371,18 +389,21 @@ def _from_lines(layer: Layer, start: int, end: int, refused: list[int]) -> Itera
     run = "".join(layer.text[a:b] for a, b in lines)
     if len(run) < 16:
         return
-    spots = [i for a, b in lines for i in range(a, b)]
-    for skip in range(4):
+    spots = _View([i for a, b in lines for i in range(a, b)])
+    phases = []
+    for skip in range(4):  # the places where a group of its characters can begin
         part = run[skip:]
-        data = _bytes(part[:-1] if len(part) % 4 == 1 else part)
+        data = _bytes(part[:-1] if len(part) % 4 == 1 else part) or b""
+        phases.append(memoryview(data))
         if data and (READABLE.search(data) or _wide(data)):
             yield from layer.read(data, spots[skip:], False)
-    at, counted = 0, refused
+    at, after, counted = 0, 0, refused
     for n, (a, b) in enumerate(lines):
-        if n + 1 < len(lines) and PACKED.match(_bytes(run[at : at + 12].ljust(12, "A"))):
-            part = run[at:]
-            if (yield from _packed(layer, _bytes(part[:-1] if len(part) % 4 == 1 else part), spots[at:], counted)):
+        data = phases[at % 4][at // 4 * 3 :]
+        if n + 1 < len(lines) and at >= after and PACKED.match(data[:9]):
+            if end := (yield from _packed(layer, data, spots[at:], counted)):
                 counted = []  # lines within packed data may look like the head of some
+                after = at + end * 4 // 3  # whole data is passed over
         at += b - a
 
 

@@ -210,3 +210,27 @@ def test_keys_are_found_in_any_nesting(seed):
     places = [(s, e) for s, k, e in every if k == 1]
     assert any(s >= len(before) - 1 and e <= len(before) + len(inner) for s, e in places), used
     assert set(base) <= set(every) and refused < 10  # some bytes within packed data look like the head of more
+
+
+def _took(text):
+    import time
+
+    best = 9e9
+    for _ in range(2):
+        start = time.process_time()
+        secrets.scan(text)
+        best = min(best, time.process_time() - start)
+    return best
+
+
+def test_long_wrapped_text_takes_time_in_proportion():
+    """Lines that all look like the head of packed data, and one run of such heads."""
+    line = base64.b64encode(b"\x78\x9c" + bytes(range(55))).decode()
+    for small, large in (("\n".join([line] * 1000), "\n".join([line] * 8000)), (line[:64].rstrip("=") * 1000, line[:64].rstrip("=") * 8000)):
+        assert _took(large) < 8 * 1.6 * _took(small) + 0.5
+
+
+def test_packed_data_behind_packed_data_in_lines():
+    first, second = (base64.encodebytes(gzip.compress(t.encode() * 3)).decode() for t in ("nothing to see here. ", "token = abcdefghijklmnop1 "))
+    for text in (first.rstrip() + "\n" + second, "x\n" + second + first):
+        assert any(kind == 0 for _, kind, _ in secrets.scan(text)[1]), text
