@@ -411,8 +411,8 @@ def newest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'key,description,en,vi' || chr(10) || string_agg(n_name || ',' || 'nation ' || CAST(n_nationkey AS VARCHAR) || ',' || CASE WHEN contains(n_name || ', ' || CAST(n_regionkey AS VARCHAR), ',') THEN '"' || n_name || ', ' || CAST(n_regionkey AS VARCHAR) || '"' END || ',', chr(10) ORDER BY n_name) AS body FROM nation""")
 def exported_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as translation keys, in one CSV file."""
-    keys = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")).alias("description"), F.create_map(F.lit("en"), F.create_map(F.lit("neutral"), F.concat("n_name", F.lit(", "), F.col("n_regionkey").cast("string")))).alias("values"))
-    return export.to_csv(keys, ["en", "vi"])
+    keys = _table(spark, sf_dir, "nation").select(F.lit("p").alias("project_id"), F.col("n_name").alias("name"), F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")).alias("description"), F.create_map(F.lit("en"), F.create_map(F.lit("neutral"), F.concat("n_name", F.lit(", "), F.col("n_regionkey").cast("string")))).alias("values"))
+    return export.export_keys("csv", keys, ["en", "vi"]).select("body")
 
 
 @query("""
@@ -421,7 +421,7 @@ UNION ALL SELECT '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<resour
 UNION ALL SELECT string_agg('"nation.' || lower(n_name) || '" = "' || n_name || '";', chr(10) ORDER BY lower(n_name)) || chr(10), 'text/plain; charset=utf-8', 'Localizable-en.strings' FROM nation""")
 def exported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as translation files of the other formats."""
-    keys = _table(spark, sf_dir, "nation").select(F.concat(F.lit("nation."), F.lower("n_name")).alias("name"), F.lit(None).cast("string").alias("description"), F.create_map(F.lit("en"), F.create_map(F.lit("neutral"), F.col("n_name"))).alias("values"))
+    keys = _table(spark, sf_dir, "nation").select(F.lit("p").alias("project_id"), F.concat(F.lit("nation."), F.lower("n_name")).alias("name"), F.lit(None).cast("string").alias("description"), F.create_map(F.lit("en"), F.create_map(F.lit("neutral"), F.col("n_name"))).alias("values"))
     files = [export.export_keys(f, keys, ["en"]) for f in ("json", "android", "ios")]
     return files[0].unionByName(files[1]).unionByName(files[2])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,6 +26,16 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path on storage that all machines share: below the checkpoint folder that the session names."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster must name a shared folder in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="work-")
+    return f"{named}/{name}-{uuid.uuid4().hex}"
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, if it comes in fewer partitions than there are, as a small file does; else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism

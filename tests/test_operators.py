@@ -127,7 +127,6 @@ def test_files(spark):
     assert '<string name="cart_title">Your cart\\\'s items</string>' in body("android").body and "5%%" in body("android").body and "&amp;" in body("android").body
     assert body("ios").body.startswith('/* The title */\n"cart.title" = "Your cart\'s items";\n"pay" = "Pay \\"5%\\" & go, now";')
     assert json.loads(body("json").body) == {"cart": {"title": "Your cart's items"}, "pay": 'Pay "5%" & go, now'} and body("json").filename == "en.json"
-    assert export.nested([("a", "1"), ("a.b", "2")]) == {"a": "1", "b": "2"}
     assert export.font_link(["th", "en", "vi", "nope"]).count("family=") == 3 and "direction: rtl" in export.font_css(["ms-Arab"])
 
 
