@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,29 +38,101 @@ class SessionStore:
         return name in self.held
 
 
+def _files(spark: SparkSession, folder: str):
+    """Hadoop's file system of a folder, and its path there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 class FolderStore:
-    """Tables as Parquet in versions under a folder that all machines share; the latest counts."""
+    """Tables as Parquet in versions under a folder that all machines share; the latest that is whole counts.
+
+    A version's number is claimed by making a file, which one writer alone can do, and is whole once its _SUCCESS is there;
+    so writers don't clash and readers see no half of a version.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _latest(self, name: str) -> int:
-        try:
-            found = self.spark.read.parquet(f"{self.folder}/{name}").agg(F.max("store_version")).first()[0]
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            found = None
-        return -1 if found is None else found
+    def _versions(self, name: str, mark: str) -> list[int]:
+        system, path = _files(self.spark, f"{self.folder}/{name}")
+        if not system.exists(path):
+            return []
+        found = [f.getPath().getName() for f in system.listStatus(path)]
+        numbers = [int(n.removeprefix(mark)) for n in found if n.startswith(mark)]
+        if mark != "store_version=":
+            return numbers
+        whole = lambda n: system.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/{mark}{n}/_SUCCESS"))
+        return [n for n in numbers if whole(n)]
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}").where(F.col("store_version") == self._latest(name)).drop("store_version")
+        return self.spark.read.parquet(f"{self.folder}/{name}/store_version={max(self._versions(name, 'store_version='))}")
 
     def put(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("errorifexists").parquet(f"{self.folder}/{name}/store_version={self._latest(name) + 1}")
+        system, _ = _files(self.spark, f"{self.folder}/{name}")
+        number = max(self._versions(name, "_claimed-"), default=-1) + 1
+        while not system.createNewFile(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/_claimed-{number}")):
+            number += 1
+        rows.write.mode("errorifexists").parquet(f"{self.folder}/{name}/store_version={number}")
 
     def exists(self, name: str) -> bool:
-        return self._latest(name) >= 0
+        return bool(self._versions(name, "store_version="))
+
+
+class Buckets:
+    """A table in buckets of its key, folders of a shared one; a change rewrites the buckets it touches and no others.
+
+    Take so many buckets that one is a task's work. Keys that are deleted stay, marked, so that no bucket falls empty.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, key: tuple[str, ...] = ("project_id", "name"), buckets: int = 64):
+        self.spark, self.folder, self.key, self.buckets = spark, folder.rstrip("/"), list(key), buckets
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+
+    def _write(self, rows: DataFrame) -> None:
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.folder)
+
+    def create(self, rows: DataFrame) -> None:
+        """Store rows, each key once, in a new folder."""
+        self._write(rows.withColumn("deleted", F.lit(False)).withColumn("bucket", self._bucket()))
+
+    def _held(self) -> DataFrame:
+        return self.spark.read.parquet(self.folder)
+
+    def table(self) -> DataFrame:
+        return self._held().where("NOT deleted").drop("deleted", "bucket")
+
+    def touched(self, changes: DataFrame) -> tuple[list[int], DataFrame]:
+        """The buckets of the keys of changes, and the stored rows with these keys; no other bucket is read."""
+        own = [r[0] for r in changes.select(self._bucket().alias("b")).distinct().collect()]  # numbers of buckets
+        rows = self._held().where(F.col("bucket").isin(own)).where("NOT deleted").drop("deleted", "bucket")
+        return own, rows.join(changes.select(*self.key).distinct(), self.key, "left_semi").select(*rows.columns)
+
+    def upsert(self, changes: DataFrame, gone: DataFrame | None = None) -> list[int]:
+        """Put rows of changes, each key once, in place of those with their keys; delete the keys of gone. Gives the buckets that were rewritten."""
+        columns = self._held().drop("bucket").columns
+        fresh = changes.withColumn("deleted", F.lit(False)).select(*columns)
+        if gone is not None:
+            held = self.touched(gone)[1]
+            fresh = fresh.unionByName(held.withColumn("deleted", F.lit(True)).select(*columns))
+        own = [r[0] for r in fresh.select(self._bucket().alias("b")).distinct().collect()]  # numbers of buckets
+        old = self._held().where(F.col("bucket").isin(own)).select(*columns)
+        kept = old.join(fresh.select(*self.key), self.key, "left_anti").select(*columns)
+        self._write(kept.unionByName(fresh).withColumn("bucket", self._bucket()))
+        return sorted(own)
+
+
+def import_into(buckets: Buckets, entries: DataFrame, project: str, locale: str, register: str = "neutral", source: str = "human") -> list[int]:
+    """import_entries() that reads and writes the buckets of the entries' names only. Gives the buckets that were rewritten.
+
+    buckets: of keys by project and name.
+    """
+    named = entries.select(F.lit(project).alias("project_id"), "name")
+    _, before = buckets.touched(named)
+    done = import_entries(before, entries, project, locale, register, source)
+    return buckets.upsert(done.where(F.col("action").isin("created", "updated")).drop("action"))
 
 
 def open_store(spark: SparkSession, folder: str | None = None) -> Store:
