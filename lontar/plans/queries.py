@@ -41,6 +41,17 @@ def _values(rows: list[tuple]) -> str:
     return "VALUES " + ", ".join("(" + ", ".join(map(_sql_text, r)) + ")" for r in rows)
 
 
+def _dealt(spark: SparkSession, sf_dir: str, table: str, key: str, rows: list[tuple], schema: str) -> DataFrame:
+    """Each row of a table, by its key, with one of some literal rows, dealt out in turn."""
+    held = F.array(*(F.struct(*(F.lit(v) for v in r)) for r in rows)).cast(f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in schema.split(', '))}>>")
+    dealt = spread(_table(spark, sf_dir, table).select(key)).withColumn("__row", F.get(held, (F.col(key) % len(rows)).cast("int")))
+    return dealt.select(key, *(F.col(f"__row.{c.split(' ')[0]}") for c in schema.split(", ")))
+
+
+def _dealt_sql(table: str, key: str, rows: list[tuple], columns: str, shown: str = "") -> str:
+    return f"SELECT {key}, {shown or columns} FROM {table} JOIN ({_values([(i, *r) for i, r in enumerate(rows)])}) t(nth, {columns}) ON {key} % {len(rows)} = nth"
+
+
 _CODES = list(R.LOCALES)
 #: The locale that a nation's numbers are shown in, and that a language of the documents stands for.
 _NATIONS = [(i, c, v.count_order, R.classifier(c, "book"), v.native_digits, 543 if v.calendar == "buddhist" else 0, c in ("fil", "ceb", "fil-x-taglish")) for i, (c, v) in enumerate(R.LOCALES.items())]
@@ -208,21 +219,21 @@ _RESOLVED = ["vi", "th", "ms-Arab-BN", None, "en-SG-x-singlish", "zh-Hans-SG", "
 _CHAINS = [" ".join(R.LOCALES[c].fallback) if c else "en" for c in _RESOLVED]
 
 
-@query(f"SELECT * FROM ({_values(list(zip(_TAGS, _RESOLVED, _CHAINS, strict=True)))}) t(tag, locale, chain)")
+@query(_dealt_sql("customer", "c_custkey", list(zip(_TAGS, _RESOLVED, _CHAINS, strict=True)), "tag, locale, chain"))
 def resolved_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language tags resolved, and their fallback chains."""
-    rows = spark.createDataFrame([(t,) for t in _TAGS], "tag string")
-    return rows.select("tag", resolve_locale(F.col("tag")).alias("locale"), F.array_join(fallback_chain(F.col("tag")), " ").alias("chain"))
+    """Language tags of customers resolved, and their fallback chains."""
+    rows = _dealt(spark, sf_dir, "customer", "c_custkey", [(t,) for t in _TAGS], "tag string")
+    return rows.select("c_custkey", "tag", resolve_locale(F.col("tag")).alias("locale"), F.array_join(fallback_chain(F.col("tag")), " ").alias("chain"))
 
 
 _REQUESTS = [("a", None, None, "en;q=0.5,vi,th;q=0.8", "vi th en", "vi"), ("b", None, "KH", "en-US", "en-US", "km"), ("c", "lo", "TH", "th", "th", "lo"), ("d", "nope", None, "xx, lo;q=0.9", "xx lo", "lo"), ("e", None, None, None, None, "en")]
 
 
-@query(f"SELECT id, tags, locale FROM ({_values(_REQUESTS)}) t(id, cookie, country, header, tags, locale)")
+@query(_dealt_sql("events", "event_id", _REQUESTS, "id, cookie, country, header, tags, locale", "id, tags, locale"))
 def negotiated_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Locales of web requests from cookie, country and header."""
-    rows = spark.createDataFrame([r[:4] for r in _REQUESTS], "id string, cookie string, country string, header string")
-    return rows.select("id", F.array_join(parse_accept_language(F.col("header")), " ").alias("tags"), locale_from_request(F.col("cookie"), F.col("country"), F.col("header")).alias("locale"))
+    """Locales of web requests, one for each event, from cookie, country and header."""
+    rows = _dealt(spark, sf_dir, "events", "event_id", [r[:4] for r in _REQUESTS], "id string, cookie string, country string, header string")
+    return rows.select("event_id", "id", F.array_join(parse_accept_language(F.col("header")), " ").alias("tags"), locale_from_request(F.col("cookie"), F.col("country"), F.col("header")).alias("locale"))
 
 
 @query("SELECT page_id, lower(regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1)) AS lang, CASE WHEN lower(regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1)) = 'en' THEN 'en' END AS locale FROM pages")
@@ -252,45 +263,48 @@ def jawi_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SYLLABLES = [("Tiếng", "sắc", True, "tieng"), ("Việt", "nặng", True, "viet"), ("chào", "huyền", True, "chao"), ("hỏi", "hỏi", True, "hoi"), ("ngã", "ngã", True, "nga"), ("ban", "ngang", False, "ban"), ("Đà", "huyền", True, "da")]
 
 
-@query(f"SELECT * FROM ({_values(_SYLLABLES)}) t(syllable, tone, marked, search_key)")
+@query(_dealt_sql("customer", "c_custkey", _SYLLABLES, "syllable, tone, marked, search_key"))
 def vietnamese_syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tones, marks and search keys of syllables."""
+    """Tones, marks and search keys of customers' syllables."""
     s = F.col("syllable")
-    rows = spark.createDataFrame([(r[0],) for r in _SYLLABLES], "syllable string")
-    return rows.select("syllable", scripts.tone_of(s).alias("tone"), scripts.has_vietnamese_diacritics(s).alias("marked"), scripts.to_search_key(s, F.lit("vi")).alias("search_key"))
+    rows = _dealt(spark, sf_dir, "customer", "c_custkey", [r[:1] for r in _SYLLABLES], "syllable string")
+    return rows.select("c_custkey", "syllable", scripts.tone_of(s).alias("tone"), scripts.has_vietnamese_diacritics(s).alias("marked"), scripts.to_search_key(s, F.lit("vi")).alias("search_key"))
 
 
-@query()
+_TYPED = [("Tieengs Vieejt", "Tiếng Việt"), ("ddaa", "đâ"), ("chaof", "chào"), ("toans", "toán"), ("giayf", "giày"), ("HOAF", "HÒA"), ("nawxng", "nẵng")]
+
+
+@query(_dealt_sql("customer", "c_custkey", _TYPED, "keys, composed"))
 def typed_vietnamese(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Telex keystrokes composed."""
-    rows = spark.createDataFrame([("Tieengs Vieejt",), ("ddaa",), ("chaof",), ("toans",), ("giayf",)], "keys string")
-    return rows.select("keys", scripts.from_telex(F.col("keys")).alias("composed"))
+    """Customers' Telex keystrokes composed."""
+    rows = _dealt(spark, sf_dir, "customer", "c_custkey", [r[:1] for r in _TYPED], "keys string")
+    return rows.select("c_custkey", "keys", scripts.from_telex(F.col("keys")).alias("composed"))
 
 
-_MYANMAR = [("မြန်မာ", "unicode"), ("ေက်ာင္း", "zawgyi"), ("hello", "unknown"), ("က", "unicode")]
+_MYANMAR = [("မြန်မာ", "unicode", "မြန်မာ"), ("ေက်ာင္း", "zawgyi", "ကျောင်း"), ("hello", "unknown", "hello"), ("က", "unicode", "က")]
 
 
-@query(f"SELECT * FROM ({_values(_MYANMAR)}) t(text, encoding)")
+@query(_dealt_sql("part", "p_partkey", _MYANMAR, "text, encoding, converted", "text, encoding"))
 def myanmar_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which encoding Burmese texts are in."""
-    rows = spark.createDataFrame([(t,) for t, _ in _MYANMAR], "text string")
-    return rows.select("text", scripts.detect_myanmar_encoding(F.col("text"))["encoding"].alias("encoding"))
+    """Which encoding Burmese texts of parts are in."""
+    rows = _dealt(spark, sf_dir, "part", "p_partkey", [r[:1] for r in _MYANMAR], "text string")
+    return rows.select("p_partkey", "text", scripts.detect_myanmar_encoding(F.col("text"))["encoding"].alias("encoding"))
 
 
-@query()
+@query(_dealt_sql("part", "p_partkey", _MYANMAR, "text, encoding, converted", "text, converted"))
 def converted_myanmar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Burmese texts in Unicode, whatever they were in."""
-    rows = spark.createDataFrame([(t,) for t, _ in _MYANMAR], "text string")
-    return rows.select("text", scripts.normalize_myanmar(F.col("text")).alias("converted"))
+    """Burmese texts of parts in Unicode, whatever they were in."""
+    rows = _dealt(spark, sf_dir, "part", "p_partkey", [r[:1] for r in _MYANMAR], "text string")
+    return rows.select("p_partkey", "text", scripts.normalize_myanmar(F.col("text")).alias("converted"))
 
 
 _POLITE = [("Hello.", "th", "female", "Hello ค่ะ."), ("Hello?", "th", "male", "Hello ครับ?"), ("Hello", "th", "neutral", "Hello"), ("Salamat!  ", "fil", "neutral", "Salamat po!"), ("Hi", "en", "male", "Hi")]
 
 
-@query(f"SELECT * FROM ({_values(_POLITE)}) t(text, locale, gender, polite)")
+@query(_dealt_sql("events", "event_id", _POLITE, "text, locale, gender, polite"))
 def polite_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with the particle of the speaker."""
-    rows = spark.createDataFrame([r[:3] for r in _POLITE], "text string, locale string, gender string")
+    """Texts of events with the particle of the speaker."""
+    rows = _dealt(spark, sf_dir, "events", "event_id", [r[:3] for r in _POLITE], "text string, locale string, gender string")
     return rows.select("*", grammar.with_politeness(F.col("text"), F.col("locale"), F.col("gender")).alias("polite"))
 
 
@@ -299,23 +313,22 @@ def _pronoun_rows() -> list[tuple]:
     return [(c, r, who, g, pair[i]) for c, v in R.LOCALES.items() for r, t in (every.get(c) or every.get(v.base_locale) or every["en"]).items() for who, pair in t.items() for i, g in enumerate(("male", "female"))]
 
 
-@query(f"SELECT * FROM ({_values(_pronoun_rows())}) t(locale, register, referent, gender, pronoun)")
+@query(_dealt_sql("customer", "c_custkey", _pronoun_rows(), "locale, register, referent, gender, pronoun"))
 def pronouns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pronoun of every locale."""
-    asked = R.dim_locale(spark).select(F.col("code").alias("locale"), F.explode(F.array(*map(F.lit, ("formal", "neutral", "casual")))).alias("register"))
-    asked = asked.select("*", F.explode(F.array(*map(F.lit, ("you", "i", "we")))).alias("referent")).select("*", F.explode(F.array(F.lit("male"), F.lit("female"))).alias("gender"))
+    """Pronouns of every locale, register, referent and gender, dealt out to customers."""
+    asked = _dealt(spark, sf_dir, "customer", "c_custkey", [r[:4] for r in _pronoun_rows()], "locale string, register string, referent string, gender string")
     return asked.select("*", grammar.pronoun(F.col("locale"), F.col("referent"), F.col("register"), F.col("gender")).alias("pronoun"))
 
 
 _NAMES = [("VN", "Nguyễn", "Văn", "An", None, None, "Nguyễn Văn An", "An"), ("MM", None, None, None, "Aung San", None, "Aung San", "Aung San"), ("MY", "Ahmad", None, "Siti", None, "binti", "Siti binti Ahmad", "Siti"), ("ID", None, None, "Sukarno", None, None, "Sukarno", "Sukarno"), ("TH", "Jaidee", None, "Somchai", None, None, "Somchai Jaidee", "Somchai")]
 
 
-@query(f"SELECT country, formatted, short FROM ({_values(_NAMES)}) t(country, family, middle, given, full_name, patronymic, formatted, short)")
+@query(_dealt_sql("customer", "c_custkey", _NAMES, "country, family, middle, given, full_name, patronymic, formatted, short", "country, formatted, short"))
 def person_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names as countries write them."""
-    rows = spark.createDataFrame([r[:6] for r in _NAMES], "country string, family string, middle string, given string, full string, patronymic string")
+    """Names of customers as countries write them."""
+    rows = _dealt(spark, sf_dir, "customer", "c_custkey", [r[:6] for r in _NAMES], "country string, family string, middle string, given string, full string, patronymic string")
     name = F.struct("full", "given", "middle", "family", "patronymic", F.lit(None).cast("string").alias("nickname"))
-    return rows.select("country", grammar.format_name(name, F.col("country")).alias("formatted"), grammar.short_name(name, F.col("country")).alias("short"))
+    return rows.select("c_custkey", "country", grammar.format_name(name, F.col("country")).alias("formatted"), grammar.short_name(name, F.col("country")).alias("short"))
 
 
 _MESSAGES = [
@@ -325,21 +338,24 @@ _MESSAGES = [
     ("vi", "cart.title", None, None, "Your cart", 0), ("vi", "pay", None, None, "Trả $5 {total}", 0), ("lo", "greet", None, None, "", 0),
 ]
 _LONG = "locale string, key string, register string, plural string, value string, ord int"
-_MESSAGE_SQL = f"m(locale, key, register, plural, value, ord) AS ({_values(_MESSAGES)})"
+_MESSAGE_SQL = f"m AS (SELECT locale, key || '.' || s_suppkey AS key, register, plural, value, ord FROM supplier CROSS JOIN ({_values(_MESSAGES)}) t(locale, key, register, plural, value, ord))"
 
 
-def _messages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_MESSAGES, _LONG)
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The literal messages of every supplier, whose number ends their keys."""
+    held = F.array(*(F.struct(*(F.lit(v) for v in r)) for r in _MESSAGES)).cast(f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in _LONG.split(', '))}>>")
+    rows = spread(_table(spark, sf_dir, "supplier").select("s_suppkey")).select("s_suppkey", F.explode(held).alias("m")).select("s_suppkey", "m.*")
+    return rows.withColumn("key", F.concat_ws(".", "key", F.col("s_suppkey").cast("string"))).drop("s_suppkey")
 
 
 _ASKED = [(1, "th", "cart.items", None, 3.0, "3 ชิ้น", "th", False), (2, "en", "cart.items", None, 1.0, "1 item", "en", False), (3, "lo", "cart.title", None, None, "ตะกร้าของคุณ", "th", False), (4, "vi", "greet", "casual", None, "Hey {name}", "en", False), (5, "en", "nope", None, None, "nope", None, True), (6, "en", "cart.items", None, 1500.0, "1,500 items", "en", False)]
 
 
-@query(f"SELECT * FROM ({_values([(r[0], *r[5:]) for r in _ASKED])}) t(request_id, text, matched_locale, missing)")
+@query(f"SELECT o_orderkey AS request_id, text, matched_locale, missing FROM ({_dealt_sql('orders', 'o_orderkey', [r[5:] for r in _ASKED], 'text, matched_locale, missing')})")
 def resolved_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages found through fallback chains, registers and plural forms."""
-    asked = spark.createDataFrame([r[:5] for r in _ASKED], "request_id int, locale string, key string, register string, count double")
-    return messages.resolve_messages(asked, _messages(spark)).select("request_id", "text", "matched_locale", "missing")
+    """Messages that orders ask for, found through fallback chains, registers and plural forms."""
+    asked = _dealt(spark, sf_dir, "orders", "o_orderkey", [r[1:5] for r in _ASKED], "locale string, key string, register string, count double").withColumnRenamed("o_orderkey", "request_id")
+    return messages.resolve_messages(asked, spark.createDataFrame(_MESSAGES, _LONG)).select("request_id", "text", "matched_locale", "missing")
 
 
 @query(f"""
@@ -348,7 +364,7 @@ SELECT l.locale, count(*) AS total, count(h.key) AS translated, coalesce(string_
 FROM k CROSS JOIN l LEFT JOIN h ON h.locale = l.locale AND h.key = k.key GROUP BY l.locale""")
 def bundle_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of the reference each locale has."""
-    return messages.coverage(_messages(spark)).withColumn("missing", F.array_join("missing", " "))
+    return messages.coverage(_messages(spark, sf_dir)).withColumn("missing", F.array_join("missing", " "))
 
 
 _FINDINGS = [
@@ -358,10 +374,10 @@ _FINDINGS = [
 ]
 
 
-@query(f"SELECT * FROM ({_values(_FINDINGS)}) t(locale, key, rule)")
+@query(f"SELECT locale, key || '.' || s_suppkey AS key, rule FROM supplier CROSS JOIN ({_values(_FINDINGS)}) t(locale, key, rule)")
 def lint_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the rules find in the literal messages."""
-    return lint.lint(_messages(spark)).select("locale", "key", "rule")
+    return lint.lint(_messages(spark, sf_dir)).select("locale", "key", "rule")
 
 
 _COUNTS = [("th", 20, 20, 60, 20, 0, 0), ("vi", 20, 20, 60, 0, 0, 0), ("lo", 10, 5, 5, 1, 1, 2), ("km", 0, 0, 0, 0, 0, 0), ("fil-x-taglish", 8, 8, 16, 0, 2, 1), ("en-SG", 5, 500, 9000, -3, 0, 0)]
@@ -369,7 +385,7 @@ _COUNT_NAMES = ("locale", "total_keys", "translated_keys", "filled_register_slot
 
 
 @query(f"""
-WITH c({", ".join(_COUNT_NAMES)}) AS ({_values(_COUNTS)}),
+WITH c AS (SELECT locale, {", ".join(f"CAST(sum({n}) AS BIGINT) AS {n}" for n in _COUNT_NAMES[1:])} FROM ({_dealt_sql("supplier", "s_suppkey", _COUNTS, ", ".join(_COUNT_NAMES))}) GROUP BY locale),
 a AS (SELECT locale, total_keys AS t, least(greatest(translated_keys, 0), total_keys) AS d, CASE WHEN locale = 'fil-x-taglish' THEN 2 ELSE 3 END AS r, filled_register_slots AS f, draft_keys AS g, errors AS e, warnings AS w FROM c),
 b AS (SELECT *, least(greatest(g, 0), d) AS dr, t * r AS s, least(greatest(f, 0), t * r) AS fs FROM a),
 x AS (SELECT locale, CASE WHEN t > 0 THEN d / t ELSE 0 END * 35 AS p1, CASE WHEN s > 0 THEN fs / s ELSE 0 END * 25 AS p2,
@@ -377,14 +393,15 @@ x AS (SELECT locale, CASE WHEN t > 0 THEN d / t ELSE 0 END * 35 AS p1, CASE WHEN
 y AS (SELECT locale, CAST(floor(round(p1, 2) + round(p2, 2) + round(p3, 2) + round(p4, 2) + 0.5) AS INTEGER) AS score FROM x)
 SELECT locale, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade FROM y""")
 def readiness_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores and grades of locales from their counts."""
-    return readiness.score_readiness(spark.createDataFrame(_COUNTS, "locale string, total_keys int, translated_keys int, filled_register_slots int, draft_keys int, errors int, warnings int")).select("locale", "score", "grade")
+    """Scores and grades of locales from the counts of suppliers."""
+    rows = _dealt(spark, sf_dir, "supplier", "s_suppkey", _COUNTS, "locale string, " + ", ".join(f"{n} long" for n in _COUNT_NAMES[1:]))
+    return readiness.score_readiness(rows.groupBy("locale").agg(*(F.sum(n).alias(n) for n in _COUNT_NAMES[1:]))).select("locale", "score", "grade")
 
 
 @query()
 def bundle_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readiness of the literal messages, and what drags each locale most."""
-    return readiness.readiness_from_bundles(_messages(spark)).select("locale", "score", "grade", "top_drag")
+    return readiness.readiness_from_bundles(_messages(spark, sf_dir)).select("locale", "score", "grade", "top_drag")
 
 
 @query("""
@@ -464,16 +481,16 @@ def truncated_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _THAI = ["ฉัน", "รัก", "ภาษา", "ไทย", "มาก", "ราคา", "บาท", "สวัสดี", "ครับ"]
-_UNSPACED = [("th", "ฉันรักภาษาไทยมาก"), ("th", "ราคา 1,500 บาท"), ("th", "สวัสดีครับ"), ("en", "e-mail can't 1,500"), ("my", "မြန်မာ")]
+_UNSPACED = [("th", "ฉันรักภาษาไทยมาก", "ฉัน|รัก|ภาษา|ไทย|มาก"), ("th", "ราคา 1,500 บาท", "ราคา|1,500|บาท"), ("th", "สวัสดีครับ", "สวัสดี|ครับ"), ("en", "e-mail can't 1,500", "e-mail|can't|1,500"), ("my", "မြန်မာ", "မြန်|မာ")]
 
 
-@query()
+@query(_dealt_sql("part", "p_partkey", _UNSPACED, "locale, text, words"))
 def segmented_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of texts with and without spaces, by a lexicon that is a parameter."""
     from ..functions.clusters import Lexicon
 
-    rows = spark.createDataFrame(_UNSPACED, "locale string, text string")
-    return segment.with_words(rows, "text", "locale", {"th": Lexicon.of(_THAI)}).select("locale", "text", F.array_join("words", "|").alias("words"))
+    rows = _dealt(spark, sf_dir, "part", "p_partkey", [r[:2] for r in _UNSPACED], "locale string, text string")
+    return segment.with_words(rows, "text", "locale", {"th": Lexicon.of(_THAI)}).select("p_partkey", "locale", "text", F.array_join("words", "|").alias("words"))
 
 
 _ENDS = "SELECT role AS locale, conv_id, turn, unnest(list_transform(range(1, len(n) + 1), lambda i: list_sum(n[1:i]))) AS pos FROM (SELECT role, conv_id, turn, list_transform(regexp_extract_all(text, '{pattern}'), lambda s: length(s)) AS n FROM conversations)"
@@ -497,10 +514,15 @@ def boundary_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.boundary_scores(ends(rf"(?:{text.WORD})|(?s:.)"), ends(r"\S+|(?s:\s)"))
 
 
-@query("SELECT code, len(string_split(countries, ' ')) AS n_countries, script FROM (" + _values([(c, " ".join(v.countries), v.script) for c, v in R.LOCALES.items() if not v.word_spaced]) + ") t(code, countries, script)")
+_UNSPACED_LOCALES = [("th", 1, "Thai"), ("my", 1, "Mymr"), ("shn", 1, "Mymr"), ("km", 1, "Khmr"), ("lo", 1, "Laoo"), ("zh-Hans-SG", 1, "Hans")]
+
+
+@query(_dealt_sql("customer", "c_custkey", _UNSPACED_LOCALES, "code, n_countries, script"))
 def unspaced_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Locales of scripts without spaces."""
-    return R.dim_locale(spark).where("not word_spaced").select("code", F.size("countries").cast("long").alias("n_countries"), "script")
+    """Locales of scripts without spaces, by customer, from the registry."""
+    rows = _dealt(spark, sf_dir, "customer", "c_custkey", [r[:1] for r in _UNSPACED_LOCALES], "code string")
+    held = R.dim_locale(spark).where("not word_spaced").select("code", F.size("countries").alias("n_countries"), "script")
+    return rows.join(F.broadcast(held), "code").select("c_custkey", "code", "n_countries", "script")  # a row for each locale
 
 
 @query(f"WITH f(locale, rank, tag) AS ({_values([(c, i, t) for c in _CODES for i, t in enumerate(R.chain(c))])}), n AS (SELECT n_nationkey, n_name FROM nation) SELECT n.n_name, min_by(f.tag, f.rank) AS negotiated FROM n JOIN f ON f.locale = (SELECT code FROM ({_values([(i, c) for i, c in enumerate(_CODES)])}) d(i, code) WHERE d.i = n.n_nationkey) WHERE f.tag IN ('th', 'ms', 'en') GROUP BY n.n_name")

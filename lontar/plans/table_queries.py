@@ -15,7 +15,7 @@ from ..functions.locale import cluster_script, first_day_of_week, get_locale, ht
 from ..operators import evaluate, export, lint, messages, readiness, store
 from ..ship import spread
 from ..sources import bundles
-from .queries import ORACLES, _table, _values, query
+from .queries import ORACLES, _dealt, _table, _values, query
 
 _FOUR = ("vi", "id", "th", "en")
 
@@ -295,15 +295,15 @@ def plain_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT code, known, lang, dir, first_day, unspaced, script, decimals FROM (VALUES
-  ('th', true, 'th', 'ltr', 0, true, 'Thai', 2), ('LO_la', true, 'lo', 'ltr', 0, true, 'Laoo', 0), ('ms-Arab-BN', true, 'ms-Arab-BN', 'rtl', 0, false, 'Latn', 2), ('vi-VN', true, 'vi', 'ltr', 1, false, 'Latn', 0), ('km', true, 'km', 'ltr', 0, true, 'Khmr', 0))
-  t(code, known, lang, dir, first_day, unspaced, script, decimals), (SELECT min(n_nationkey) FROM nation)""")
+SELECT s_suppkey, code, known, lang, dir, first_day, unspaced, script, decimals FROM supplier JOIN (VALUES
+  (0, 'th', true, 'th', 'ltr', 0, true, 'Thai', 2), (1, 'LO_la', true, 'lo', 'ltr', 0, true, 'Laoo', 0), (2, 'ms-Arab-BN', true, 'ms-Arab-BN', 'rtl', 0, false, 'Latn', 2), (3, 'vi-VN', true, 'vi', 'ltr', 1, false, 'Latn', 0), (4, 'km', true, 'km', 'ltr', 0, true, 'Khmr', 0))
+  t(nth, code, known, lang, dir, first_day, unspaced, script, decimals) ON s_suppkey % 5 = nth""")
 def web_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What pages need to know of a locale and its country."""
     tags = [("th", "TH", "THB"), ("LO_la", "LA", "LAK"), ("ms-Arab-BN", "BN", "BND"), ("vi-VN", "VN", "VND"), ("km", "KH", "KHR")]
-    rows = spark.createDataFrame(tags, "code string, country string, currency string")
+    rows = _dealt(spark, sf_dir, "supplier", "s_suppkey", tags, "code string, country string, currency string")
     c, html = F.col("code"), html_attributes(F.col("code"))
-    return rows.select("code", is_supported(c).alias("known"), html["lang"].alias("lang"), html["dir"].alias("dir"), first_day_of_week(F.col("country")).alias("first_day"), needs_segmentation(get_locale(c)).alias("unspaced"), cluster_script(c).alias("script"), numbers.currency_decimals(F.col("currency")).alias("decimals"))
+    return rows.select("s_suppkey", "code", is_supported(c).alias("known"), html["lang"].alias("lang"), html["dir"].alias("dir"), first_day_of_week(F.col("country")).alias("first_day"), needs_segmentation(get_locale(c)).alias("unspaced"), cluster_script(c).alias("script"), numbers.currency_decimals(F.col("currency")).alias("decimals"))
 
 
 @query("""
@@ -450,13 +450,13 @@ def page_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT code, levels, formal, gendered FROM (VALUES ('jv', true, 'krama', false), ('su', true, 'lemes', false), ('th', true, 'ราชาศัพท์/สุภาพ', true), ('km', true, 'ភាសាសុភាព', true), ('vi', false, NULL, false), ('fil', false, NULL, false))
-  t(code, levels, formal, gendered), (SELECT min(n_nationkey) FROM nation)""")
+SELECT s_suppkey, code, levels, formal, gendered FROM supplier JOIN (VALUES (0, 'jv', true, 'krama', false), (1, 'su', true, 'lemes', false), (2, 'th', true, 'ราชาศัพท์/สุภาพ', true), (3, 'km', true, 'ភាសាសុភាព', true), (4, 'vi', false, NULL, false), (5, 'fil', false, NULL, false))
+  t(nth, code, levels, formal, gendered) ON s_suppkey % 6 = nth""")
 def speech_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which locales have levels of speech, what the formal one is called, and whether particles tell a gender."""
-    rows = spark.createDataFrame([(c,) for c in ("jv", "su", "th", "km", "vi", "fil")], "code string")
+    rows = _dealt(spark, sf_dir, "supplier", "s_suppkey", [(c,) for c in ("jv", "su", "th", "km", "vi", "fil")], "code string")
     c = F.col("code")
-    return rows.select("code", grammar.has_speech_levels(c).alias("levels"), grammar.speech_level(c, F.lit("formal")).alias("formal"), grammar.particle_is_gendered(c).alias("gendered"))
+    return rows.select("s_suppkey", "code", grammar.has_speech_levels(c).alias("levels"), grammar.speech_level(c, F.lit("formal")).alias("formal"), grammar.particle_is_gendered(c).alias("gendered"))
 
 
 @query("""
