@@ -8,6 +8,7 @@ move. Maps have as many rows as there are slots, whatever the corpus.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .cluster import cut, prepare, shared_folder, told_apart
+from .cluster import cut, prepare, told_apart
 
 SLOTS = 8192
 SHARDS = 40
@@ -102,7 +103,7 @@ class SlotMap:
         return SlotMap(self.version + 1, shards, tuple(owner))
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(self.version, s, o) for s, o in enumerate(self.owner)], "version int, vslot int, shard int")
+        return spark.createDataFrame([(self.version, self.shards, s, o) for s, o in enumerate(self.owner)], "version int, shards int, vslot int, shard int")
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Store this version beside the earlier ones."""
@@ -126,7 +127,7 @@ class SlotMap:
         every = spark.read.parquet(f"{path}/map_version=*")
         version = every.agg(F.max("version")).first()[0] if version is None else version
         rows = every.where(F.col("version") == version).orderBy("vslot").collect()  # one for each slot
-        return SlotMap(version, max(r["shard"] for r in rows) + 1, tuple(r["shard"] for r in rows))
+        return SlotMap(version, rows[0]["shards"], tuple(r["shard"] for r in rows))
 
 
 def _near(ordered: list[tuple[int, int]], size: float) -> Iterable[tuple[int, int]]:
@@ -170,5 +171,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, p
 
 
 def op5_slots(spark, sf_dir: str) -> DataFrame:
-    """All documents in 40 shards of near equal bytes; both versions of the map are stored in the shared folder."""
-    return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), path=shared_folder(spark, "slot-maps"))
+    """All documents in 40 shards of near equal bytes. The map of this table is kept in the shared folder: a later run edits its latest version."""
+    prepare(spark)
+    table = f"{sf_dir}/documents.parquet"
+    kept = f"{spark.sparkContext.getCheckpointDir()}/slot-maps/{hashlib.sha256(table.encode()).hexdigest()[:32]}"
+    return shard_documents(spark.read.parquet(table), path=kept)

@@ -45,6 +45,24 @@ def test_shards_move_little_when_more_comes(spark, tmp_path):
     assert sum(after[s] != o for s, o in before.items()) <= 40
 
 
+def test_the_query_edits_the_stored_map(spark, tmp_path):
+    """A second run on more rows loads the version that the first one stored, and few slots move."""
+    def run(n, mode):
+        docs(spark, [(i, "x" * (i * 7 % 97), "c") for i in range(n)]).write.mode(mode).parquet(f"{tmp_path}/documents.parquet")
+        return sharding.op5_slots(spark, str(tmp_path)).collect()
+
+    first, second = run(20_000, "error"), run(22_000, "overwrite")
+    before, after = ({r.vslot: r.shard for r in rows} for rows in (first, second))
+    assert sum(after[s] != o for s, o in before.items() if s in after) < 0.2 * len(before)
+    load = Counter()
+    for r in second:
+        load[r.shard] += r.size
+    assert set(load) == set(range(40)) and max(load.values()) - min(load.values()) <= 113
+    sparse = sharding.SlotMap(0, 40, (0, 1, 2))  # most shards hold nothing
+    sparse.save(spark, str(tmp_path / "m"))
+    assert sharding.SlotMap.load(spark, str(tmp_path / "m")) == sparse
+
+
 def test_shards_query(spark, sf):
     """Law `bytes` at 40 shards over whole tables; repeated rows are spread."""
     got = sharding.op5_slots(spark, "/root/testdata/sf0.01").collect()
