@@ -190,7 +190,16 @@ def currency_by_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbers.with_money(rows, "s_acctbal").select("s_suppkey", "locale", "money")
 
 
-@query()
+#: Short forms of thousands and millions in some locales.
+_SHORT = "(VALUES ('en', 'K', 'M', ',.'), ('vi', '\u00a0N', '\u00a0Tr', '.,'), ('th', 'K', 'M', ',.'), ('id', '\u00a0rb', '\u00a0jt', '.,')) t(locale, thousand, million, marks)"
+
+
+@query(f"""
+WITH v AS (SELECT s_suppkey, locale, thousand, million, marks, round(s_acctbal, 3) AS n, round(s_acctbal / 10000 * 100) AS p, s_acctbal * 1000 AS c, abs(s_acctbal * 1000) AS a FROM supplier CROSS JOIN {_SHORT}),
+w AS (SELECT *, CASE WHEN a >= 1e6 THEN a / 1e6 WHEN a >= 1e3 THEN a / 1e3 ELSE a END AS part, CASE WHEN a >= 1e6 THEN million WHEN a >= 1e3 THEN thousand ELSE '' END AS unit FROM v)
+SELECT s_suppkey, locale, CASE WHEN n < 0 THEN '-' ELSE '' END || translate(regexp_replace(format('{{:,.3f}}', abs(n)), '\\.?0+$', ''), ',.', marks) AS number,
+  CASE WHEN p < 0 THEN '-' ELSE '' END || format('{{:.0f}}', abs(p)) || '%' AS percent,
+  CASE WHEN c < 0 THEN '-' ELSE '' END || translate(CASE WHEN round(part, 1) < 100 THEN regexp_replace(format('{{:.1f}}', round(part, 1)), '\\.0$', '') ELSE format('{{:.0f}}', round(part)) END, ',.', marks) || unit AS compact FROM w""")
 def short_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Account balances as plain, percent and compact numbers of some locales."""
     v = F.col("s_acctbal")
@@ -444,15 +453,15 @@ def exported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH k AS (SELECT n_nationkey AS name, 'old' AS v, n_nationkey % 5 = 0 AS regulated FROM nation), e AS (SELECT n_nationkey + 10 AS name FROM nation)
+WITH k AS (SELECT p_partkey AS name, 'old' AS v, p_partkey % 5 = 0 AS regulated FROM part), e AS (SELECT p_partkey + 10 AS name FROM part)
 SELECT CAST(coalesce(k.name, e.name) AS VARCHAR) AS name, CASE WHEN k.name IS NULL THEN 'created' WHEN e.name IS NOT NULL AND NOT regulated THEN 'updated' WHEN e.name IS NOT NULL THEN 'skipped' ELSE 'kept' END AS action,
   CASE WHEN k.name IS NULL OR (e.name IS NOT NULL AND NOT regulated) THEN 'new' ELSE 'old' END AS value
 FROM k FULL JOIN e ON k.name = e.name""")
 def imported_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An import into a project of keys, some of them regulated."""
-    nations = _table(spark, sf_dir, "nation")
-    keys = nations.select(F.lit("p").alias("project_id"), F.col("n_nationkey").cast("string").alias("name"), F.lit(None).cast("string").alias("description"), F.create_map(F.lit("vi"), F.create_map(F.lit("neutral"), F.lit("old"))).alias("values"), F.array().cast("array<string>").alias("draft"), (F.col("n_nationkey") % 5 == 0).alias("regulated"))
-    entries = nations.select((F.col("n_nationkey") + 10).cast("string").alias("name"), F.lit("new").alias("value"))
+    parts = _table(spark, sf_dir, "part")
+    keys = parts.select(F.lit("p").alias("project_id"), F.col("p_partkey").cast("string").alias("name"), F.lit(None).cast("string").alias("description"), F.create_map(F.lit("vi"), F.create_map(F.lit("neutral"), F.lit("old"))).alias("values"), F.array().cast("array<string>").alias("draft"), (F.col("p_partkey") % 5 == 0).alias("regulated"))
+    entries = parts.select((F.col("p_partkey") + 10).cast("string").alias("name"), F.lit("new").alias("value"))
     return store.import_entries(keys, entries, "p", "vi").select("name", "action", F.col("values")["vi"]["neutral"].alias("value"))
 
 

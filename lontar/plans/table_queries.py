@@ -33,6 +33,14 @@ def _no_text(*names: str) -> list[F.Column]:
     return [F.lit(None).cast("string").alias(n) for n in names]
 
 
+#: Parts, as the items that translation keys are about.
+_ITEMS = "(SELECT p_partkey AS item, p_name || ' ' || p_partkey AS title, p_size % 5 AS shelf FROM part)"
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("title"), (F.col("p_size") % 5).alias("shelf")))
+
+
 # ------------------------------------------------------------ messages and bundles
 
 _GROUPED = "regexp_replace(format('{{:,.3f}}', {v}), '\\.?0+$', '')"
@@ -62,17 +70,17 @@ def localised_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.resolve_messages(asked, every).select("request_id", "text", "matched_locale", "missing")
 
 
-@query("""
-SELECT n_nationkey, '#' || (n_nationkey % 7) AS shown, CASE WHEN n_nationkey % 2 = 0 THEN 'flat' ELSE 'nested' END AS found, 'inner ' || n_name AS inner_text FROM nation""")
+@query(f"""
+SELECT item, '#' || (item % 7) AS shown, CASE WHEN item % 2 = 0 THEN 'flat' ELSE 'nested' END AS found, 'inner ' || title AS inner_text FROM {_ITEMS}""")
 def flattened_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested JSON bundles, one for each nation, flattened to dotted keys; a key stored flat wins."""
-    nations = _table(spark, sf_dir, "nation")
-    k, n = F.col("n_nationkey").cast("string"), F.col("n_name")
-    flat = F.when(F.col("n_nationkey") % 2 == 0, F.lit(', "a.b": "flat"')).otherwise("")
-    body = F.concat(F.lit('{"a": {"b": "nested", "c": {"d": "inner '), n, F.lit('"}}, "shown": {"formal": "#'), (F.col("n_nationkey") % 7).cast("string"), F.lit('"}'), flat, F.lit("}"))
-    long = bundles.flatten_bundles(nations.select(k.alias("locale"), body.alias("body")))
+    """Nested JSON bundles, one for each part, flattened to dotted keys; a key stored flat wins."""
+    items = _items(spark, sf_dir)
+    k, n = F.col("item").cast("string"), F.col("title")
+    flat = F.when(F.col("item") % 2 == 0, F.lit(', "a.b": "flat"')).otherwise("")
+    body = F.concat(F.lit('{"a": {"b": "nested", "c": {"d": "inner '), n, F.lit('"}}, "shown": {"formal": "#'), (F.col("item") % 7).cast("string"), F.lit('"}'), flat, F.lit("}"))
+    long = bundles.flatten_bundles(items.select(k.alias("locale"), body.alias("body")))
     value = lambda key: F.max(F.when(F.col("key") == key, F.col("value")))
-    return long.groupBy(F.col("locale").cast("int").alias("n_nationkey")).agg(value("shown").alias("shown"), value("a.b").alias("found"), value("a.c.d").alias("inner_text"))
+    return long.groupBy(F.col("locale").cast("long").alias("item")).agg(value("shown").alias("shown"), value("a.b").alias("found"), value("a.c.d").alias("inner_text"))
 
 
 @query("SELECT event_id, 'k' AS key, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events")
@@ -84,34 +92,34 @@ def property_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A project's keys: nations in English, some in Thai and Lao, with drafts and regulated ones."""
-    n = F.col("n_nationkey")
+    """A project's keys: parts in English, some in Thai and Lao, with drafts and regulated ones."""
+    n = F.col("item")
     one = lambda x: F.create_map(F.lit("neutral"), x)
     table = F.map_concat(
-        F.create_map(F.lit("en"), one(F.col("n_name"))),
-        F.when(n % 2 == 0, F.create_map(F.lit("th"), F.create_map(F.lit("formal"), F.concat(F.lit("th "), F.col("n_name"))))).otherwise(F.create_map().cast("map<string,map<string,string>>")),
-        F.when(n % 3 == 0, F.create_map(F.lit("lo"), one(F.when(n % 6 == 0, "").otherwise(F.concat(F.lit("lo "), F.col("n_name")))))).otherwise(F.create_map().cast("map<string,map<string,string>>")),
+        F.create_map(F.lit("en"), one(F.col("title"))),
+        F.when(n % 2 == 0, F.create_map(F.lit("th"), F.create_map(F.lit("formal"), F.concat(F.lit("th "), F.col("title"))))).otherwise(F.create_map().cast("map<string,map<string,string>>")),
+        F.when(n % 3 == 0, F.create_map(F.lit("lo"), one(F.when(n % 6 == 0, "").otherwise(F.concat(F.lit("lo "), F.col("title")))))).otherwise(F.create_map().cast("map<string,map<string,string>>")),
     )
     draft = F.when(n % 4 == 0, F.array(F.lit("lo"))).otherwise(F.array().cast("array<string>"))
-    return _table(spark, sf_dir, "nation").select(_pick(F.col("n_regionkey"), ("p", "p", "q")).alias("project_id"), F.col("n_name").alias("name"), *_no_text("description"), table.alias("values"), draft.alias("draft"), (n % 5 == 0).alias("regulated"))
+    return _items(spark, sf_dir).select(_pick(F.col("shelf"), ("p", "p", "q")).alias("project_id"), F.col("title").alias("name"), *_no_text("description"), table.alias("values"), draft.alias("draft"), (n % 5 == 0).alias("regulated"))
 
 
-@query("""
-SELECT n_name AS key, CASE WHEN n % 3 = 0 AND n % 6 <> 0 THEN 'lo ' || n_name WHEN n % 2 = 0 THEN 'th ' || n_name ELSE n_name END AS value,
+@query(f"""
+SELECT title AS key, CASE WHEN n % 3 = 0 AND n % 6 <> 0 THEN 'lo ' || title WHEN n % 2 = 0 THEN 'th ' || title ELSE title END AS value,
   CASE WHEN n % 3 = 0 AND n % 6 <> 0 THEN 'lo' WHEN n % 2 = 0 THEN 'th' ELSE 'en' END AS matched_locale
-FROM (SELECT n_name, n_nationkey AS n FROM nation) WHERE NOT (n % 5 = 0 AND n % 4 = 0)""")
+FROM (SELECT title, item AS n FROM {_ITEMS}) WHERE NOT (n % 5 = 0 AND n % 4 = 0)""")
 def application_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an application in Lao loads: each key in the first locale of the chain that has a text, no regulated drafts."""
     return messages.bundle(_stored(spark, sf_dir), "lo")
 
 
-@query("SELECT n_name AS name, n_nationkey % 4 = 0 AS has_draft FROM nation WHERE n_regionkey % 3 < 2")
+@query(f"SELECT title AS name, item % 4 = 0 AS has_draft FROM {_ITEMS} WHERE shelf % 3 < 2")
 def listed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of one project."""
     return store.list_keys(_stored(spark, sf_dir), "p").select("name", (F.size("draft") > 0).alias("has_draft"))
 
 
-@query("SELECT n_name AS key, n_name AS source, 'th ' || n_name AS target FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey % 4 <> 0 ORDER BY n_name LIMIT 20")
+@query(f"SELECT title AS key, title AS source, 'th ' || title AS target FROM {_ITEMS} WHERE item % 2 = 0 AND item % 4 <> 0 ORDER BY title LIMIT 20")
 def remembered_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of approved texts in two locales, the first twenty by key."""
     keys = _stored(spark, sf_dir)
@@ -120,16 +128,16 @@ def remembered_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.translation_memory(values, "en", "th", drafts=drafts)
 
 
-@query("""
-SELECT n_name AS name, CASE WHEN n_regionkey % 3 < 2 THEN 'p' ELSE 'q' END AS project_id FROM nation WHERE n_nationkey % 7 <> 0
+@query(f"""
+SELECT title AS name, CASE WHEN shelf % 3 < 2 THEN 'p' ELSE 'q' END AS project_id FROM {_ITEMS} WHERE item % 7 <> 0
 UNION ALL SELECT r_name || ' region', 'p' FROM region""")
 def edited_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys after some were made (those that exist are left) and some deleted."""
     keys = _stored(spark, sf_dir)
     made = _table(spark, sf_dir, "region").select(F.lit("p").alias("project_id"), F.concat("r_name", F.lit(" region")).alias("name"))
-    made = made.unionByName(keys.select("project_id", "name").limit(5))
+    made = made.unionByName(keys.select("project_id", "name"))
     spare = [F.lit(None).cast(keys.schema[c].dataType).alias(c) for c in keys.columns if c not in ("project_id", "name")]
-    gone = _table(spark, sf_dir, "nation").where("n_nationkey % 7 = 0").select(_pick(F.col("n_regionkey"), ("p", "p", "q")).alias("project_id"), F.col("n_name").alias("name"))
+    gone = _items(spark, sf_dir).where("item % 7 = 0").select(_pick(F.col("shelf"), ("p", "p", "q")).alias("project_id"), F.col("title").alias("name"))
     return store.delete_keys(store.create_keys(keys, made.select("project_id", "name", *spare)), gone).select("name", "project_id")
 
 
@@ -187,15 +195,17 @@ _LINT_CASES = {
 _LINT_RULES = " ".join(f"WHEN {k} THEN {_sql_list(v[1]) if v[1] else '[]'}" for k, v in _LINT_CASES.items())
 
 
-@query(f"""
-SELECT 'th' AS locale, n_name AS key, unnest(CASE n_nationkey % 9 {_LINT_RULES} END) AS rule FROM nation
-UNION ALL SELECT 'vi', n_name, unnest(CASE n_nationkey % 3 WHEN 0 THEN ['vietnamese-nfc'] WHEN 1 THEN ['missing-key'] ELSE [] END) FROM nation
-UNION ALL SELECT 'my', n_name, unnest(CASE n_nationkey % 2 WHEN 0 THEN ['zawgyi-encoding'] ELSE [] END) FROM nation""")
-def linted_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every rule on messages about nations, each with its fault."""
-    n, name = _table(spark, sf_dir, "nation"), F.col("n_name")
+_LINTED = f"""
+SELECT 'th' AS locale, title AS key, unnest(CASE item % 9 {_LINT_RULES} END) AS rule FROM {{items}}
+UNION ALL SELECT 'vi', title, unnest(CASE item % 3 WHEN 0 THEN ['vietnamese-nfc'] WHEN 1 THEN ['missing-key'] ELSE [] END) FROM {{items}}
+UNION ALL SELECT 'my', title, unnest(CASE item % 2 WHEN 0 THEN ['zawgyi-encoding'] ELSE [] END) FROM {{items}}"""
+
+
+def _linted(items: DataFrame) -> DataFrame:
+    """Findings in messages about items (item, title), each with its fault."""
+    name = F.col("title")
     spare = [*_no_text("register", "plural"), F.lit(0).alias("ord")]
-    said = lambda code, value: n.select(F.lit(code).alias("locale"), name.alias("key"), value.alias("value"), *spare).where("value is not null")
+    said = lambda code, value: items.select(F.lit(code).alias("locale"), name.alias("key"), value.alias("value"), *spare).where("value is not null")
 
     def built(pattern: str | None) -> F.Column:
         if pattern is None:
@@ -204,29 +214,41 @@ def linted_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     thai = F.lit(None).cast("string")
     for k, (pattern, _) in _LINT_CASES.items():
-        thai = F.when(F.col("n_nationkey") % 9 == k, built(pattern)).otherwise(thai)
-    vietnamese = F.when(F.col("n_nationkey") % 3 == 0, F.concat(name, F.lit(" ế {name}"))).when(F.col("n_nationkey") % 3 == 2, F.concat(name, F.lit(" ế {name}")))
-    burmese = F.concat(name, F.when(F.col("n_nationkey") % 2 == 0, "ေက်ာင္း {name}").otherwise("မြန်မာ {name}"))
+        thai = F.when(F.col("item") % 9 == k, built(pattern)).otherwise(thai)
+    vietnamese = F.when(F.col("item") % 3 == 0, F.concat(name, F.lit(" ế {name}"))).when(F.col("item") % 3 == 2, F.concat(name, F.lit(" ế {name}")))
+    burmese = F.concat(name, F.when(F.col("item") % 2 == 0, "ေက်ာင္း {name}").otherwise("မြန်မာ {name}"))
     every = said("en", F.concat(name, F.lit(" {name}"))).unionByName(said("th", thai)).unionByName(said("vi", vietnamese)).unionByName(said("my", burmese))
     return lint.lint(every).select("locale", "key", "rule")
 
 
-@query("""
-SELECT n_regionkey AS region, CAST(count(*) FILTER (WHERE n_nationkey % 3 = 0) AS BIGINT) AS errors, CAST(count(*) FILTER (WHERE n_nationkey % 3 <> 0) AS BIGINT) AS warnings FROM nation GROUP BY n_regionkey""")
+@query(_LINTED.format(items="(SELECT n_nationkey AS item, n_name AS title FROM nation)"))
+def linted_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule on messages about nations, each with its fault."""
+    return _linted(_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("item"), F.col("n_name").alias("title")))
+
+
+@query(_LINTED.format(items=_ITEMS))
+def linted_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule on messages about parts, each with its fault."""
+    return _linted(_items(spark, sf_dir))
+
+
+@query(f"""
+SELECT shelf AS region, CAST(count(*) FILTER (WHERE item % 3 = 0) AS BIGINT) AS errors, CAST(count(*) FILTER (WHERE item % 3 <> 0) AS BIGINT) AS warnings FROM {_ITEMS} GROUP BY shelf""")
 def issue_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings by severity for each region."""
-    issues = _table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("region"), F.when(F.col("n_nationkey") % 3 == 0, "error").otherwise("warning").alias("severity"))
+    """Findings by severity for each shelf of parts."""
+    issues = _items(spark, sf_dir).select(F.col("shelf").alias("region"), F.when(F.col("item") % 3 == 0, "error").otherwise("warning").alias("severity"))
     return lint.issue_counts(issues, "region")
 
 
-@query("""
-WITH k AS (SELECT locale, n_name, n_nationkey % 5 = 0 AS e FROM nation CROSS JOIN (VALUES ('th'), ('lo')) l(locale))
+@query(f"""
+WITH k AS (SELECT locale, title, item % 5 = 0 AS e FROM {_ITEMS} CROSS JOIN (VALUES ('th'), ('lo')) l(locale))
 SELECT locale, line FROM (
   SELECT locale, locale || ': ' || count(*) FILTER (WHERE e) || ' errors, ' || count(*) FILTER (WHERE NOT e) || ' warnings' AS line FROM k GROUP BY locale
-  UNION ALL SELECT locale, '  [' || CASE WHEN e THEN 'error' ELSE 'warning' END || '] ' || n_name || ' r: m' FROM k)""")
+  UNION ALL SELECT locale, '  [' || CASE WHEN e THEN 'error' ELSE 'warning' END || '] ' || title || ' r: m' FROM k)""")
 def lint_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of findings, line by line."""
-    issues = _table(spark, sf_dir, "nation").select(F.explode(F.array(F.lit("th"), F.lit("lo"))).alias("locale"), F.col("n_name").alias("key"), F.lit("r").alias("rule"), F.when(F.col("n_nationkey") % 5 == 0, "error").otherwise("warning").alias("severity"), F.lit("m").alias("message"))
+    issues = _items(spark, sf_dir).select(F.explode(F.array(F.lit("th"), F.lit("lo"))).alias("locale"), F.col("title").alias("key"), F.lit("r").alias("rule"), F.when(F.col("item") % 5 == 0, "error").otherwise("warning").alias("severity"), F.lit("m").alias("message"))
     return lint.lint_report(issues).select("locale", "line")
 
 
@@ -242,8 +264,8 @@ _DRAG = "CASE WHEN list_max(lost) > 0 THEN ['translated', 'registerDepth', 'lint
 
 
 @query(f"""
-WITH c AS (SELECT 'th' AS locale, count(*) AS t, count(*) FILTER (WHERE n_nationkey % 2 = 0) AS done, 3 AS r, count(*) FILTER (WHERE n_nationkey % 2 = 0) AS f, 0 AS g, 0 AS e, 0 AS w FROM nation
-  UNION ALL SELECT 'lo', count(*), count(*) FILTER (WHERE n_nationkey % 3 = 0), 3, count(*) FILTER (WHERE n_nationkey % 3 = 0 AND n_nationkey % 6 <> 0), count(*) FILTER (WHERE n_nationkey % 4 = 0), 0, 0 FROM nation), {_PARTS}
+WITH c AS (SELECT 'th' AS locale, count(*) AS t, count(*) FILTER (WHERE item % 2 = 0) AS done, 3 AS r, count(*) FILTER (WHERE item % 2 = 0) AS f, 0 AS g, 0 AS e, 0 AS w FROM {_ITEMS}
+  UNION ALL SELECT 'lo', count(*), count(*) FILTER (WHERE item % 3 = 0), 3, count(*) FILTER (WHERE item % 3 = 0 AND item % 6 <> 0), count(*) FILTER (WHERE item % 4 = 0), 0, 0 FROM {_ITEMS}), {_PARTS}
 SELECT locale, score, grade, {_DRAG} AS top_drag FROM z""")
 def stored_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How ready two locales of a stored project are, and what costs them most."""
@@ -332,6 +354,23 @@ def customer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "customer").select("c_custkey", grammar.format_name(name, country).alias("formatted"), grammar.short_name(name, country).alias("short"), grammar.allows_mononym(country).alias("mononym"), F.size(grammar.validate_name(name, country)).alias("lacks"))
 
 
+@query("""
+SELECT c_custkey, country, coalesce(CASE country
+    WHEN 'VN' THEN array_to_string([CASE WHEN c_custkey % 7 = 0 THEN 'Family name is required' END, CASE WHEN c_custkey % 5 = 0 THEN 'Given name is required' END], '; ')
+    WHEN 'SG' THEN array_to_string([CASE WHEN c_custkey % 5 = 0 THEN 'Given name is required' END, CASE WHEN c_custkey % 7 = 0 THEN 'Family name is required' END], '; ')
+    WHEN 'MM' THEN 'Name is required' ELSE CASE WHEN c_custkey % 5 = 0 THEN 'Given name is required' END END, '') AS faults,
+  CASE country WHEN 'MM' THEN 'full!' WHEN 'VN' THEN 'family! middle given!' WHEN 'SG' THEN 'given! middle family!' ELSE 'given! middle family' END AS fields
+FROM (SELECT c_custkey, ['VN', 'SG', 'MM', 'ID'][c_custkey % 4 + 1] AS country FROM customer)""")
+def checked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is missing of customers' names where each country wants it, and the fields that it asks for."""
+    n, none = F.col("c_custkey"), F.lit(None).cast("string")
+    given, family = F.when(n % 5 != 0, F.col("c_name")).otherwise(" "), F.when(n % 7 != 0, F.col("c_mktsegment"))
+    name = F.struct(none.alias("full"), given.alias("given"), none.alias("middle"), family.alias("family"), none.alias("patronymic"), none.alias("nickname"))
+    country = _pick(n, ("VN", "SG", "MM", "ID"))
+    fields = F.transform(grammar.name_fields(country), lambda f: F.concat(f["key"], F.when(f["required"], "!").otherwise("")))
+    return _table(spark, sf_dir, "customer").select("c_custkey", country.alias("country"), F.array_join(grammar.validate_name(name, country), "; ").alias("faults"), F.array_join(fields, " ").alias("fields"))
+
+
 # ------------------------------------------------------------ text
 
 _VOWELS = ("a", "ă", "â", "e", "ê", "i", "o", "ô", "ơ", "u", "ư", "y")

@@ -14,7 +14,7 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
-from lontar.plans import file_queries, table_queries  # noqa: E402, F401
+from lontar.plans import event_queries, file_queries, table_queries  # noqa: E402, F401
 from lontar.plans.queries import ORACLES, QUERIES  # noqa: E402
 
 
