@@ -2,8 +2,10 @@
 
 A rule is a pattern on host and path, with the literal tokens (runs of a-z and 0-9) that any URL it
 fits must have. Each rule is filed under the one of its tokens that the fewest URLs have. A URL's
-tokens fetch the rules filed under them, and only those patterns are run. Rules without a token are
-run on every URL. Equal URLs are judged once.
+tokens fetch the rules filed under them, and only those patterns are run. Rules of filter lists, with
+wildcards and anchors, have their literals drawn from the pattern: whole tokens, and where a wildcard
+touches a run of letters, what three letters of it stand together. Rules without a literal are run on
+every URL. Equal URLs are judged once.
 """
 
 from __future__ import annotations
@@ -17,6 +19,10 @@ from pyspark.sql import functions as F
 from .cluster import cut, met, prepare
 
 
+#: Before three letters that stand together in a token.
+GRAM = "~"
+
+
 @dataclass(frozen=True)
 class Rule:
     """name: None for a pattern of the method, else the listed rule's text; pattern: on host and path together."""
@@ -34,6 +40,22 @@ class Rule:
         tokens = [t for t in (whole if path.endswith("/") or not path else whole[:-1]) if t]
         return Rule(action, rule, r"\A(?:[^/]*\.)?" + _quoted(host) + "/" + _quoted(path), tuple(dict.fromkeys(tokens)))
 
+    @staticmethod
+    def filtered(line: str) -> Rule:
+        """A line of a filter list, in any case: `*` stands for anything, `^` for a separator or the end, `|` at either end
+        anchors there, `||` at the start anchors at a label of the host; `@@` before it allows. `$` is a plain character."""
+        action, rest = ("allow", line[2:]) if line.startswith("@@") else ("block", line)
+        start = next(a for a in ("||", "|", "") if rest.startswith(a))
+        rest = rest.removeprefix(start)
+        end = "|" if rest.endswith("|") else ""
+        rest = re.sub("[A-Z]+", lambda m: m[0].lower(), rest.removesuffix(end))  # other scripts keep their case
+        pattern = {"||": r"\A(?:[^/]*\.)?", "|": r"\A", "": ""}[start]
+        pattern += "".join({"*": ".*", "^": r"(?:[^a-zA-Z0-9_.%-]|\z)"}.get(c) or _quoted(c) for c in rest)
+        found = [(m[0], (m.start() > 0 or bool(start)) and rest[m.start() - 1 : m.start()] != "*", (m.end() < len(rest) or bool(end)) and rest[m.end() : m.end() + 1] != "*") for m in re.finditer("[a-z0-9]+", rest)]
+        tokens = [run for run, left, right in found if left and right]
+        grams = [GRAM + run[i : i + 3] for run, _, _ in found for i in range(len(run) - 2)]
+        return Rule(action, None, "(?is)" + pattern + (r"\z" if end else ""), tuple(dict.fromkeys(tokens or grams)))
+
     @staticmethod
     def words(action: str, *words: str) -> Rule:
         """The words, one after the other, between other characters than letters and digits."""
@@ -53,20 +75,31 @@ RULES = tuple(Rule.listed(a, r) for a, r in LISTED) + tuple(Rule.words("block",
 
 def host_of(url: F.Column) -> F.Column:
     rest = F.regexp_extract(url, r"(?s)\A.*?://([^/?#]*)", 1)
-    return F.coalesce(F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    return F.coalesce(_small_letters(rest), F.lit(""))
 
 
 def path_of(url: F.Column) -> F.Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def url_tokens(place: F.Column) -> F.Column:
-    return F.array_distinct(F.filter(F.split(F.lower(place), "[^a-z0-9]+"), lambda t: t != ""))
+def _small_letters(text: F.Column) -> F.Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def url_tokens(place: F.Column, grams: bool = False) -> F.Column:
+    """Runs of letters and digits, and the grams in them."""
+    whole = F.filter(F.split(_small_letters(place), "[^a-z0-9]+"), lambda t: t != "")
+    if grams:
+        inner = F.transform(F.filter(whole, lambda t: F.length(t) > 2), lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.concat(F.lit(GRAM), F.substring(t, i, F.lit(3)))))
+        whole = F.concat(whole, F.flatten(inner))
+    return F.array_distinct(whole)
 
 
 SCHEMA = "rule_id int, action string, name string, pattern string, tokens array<string>"
 #: Rules of which more bytes than that are joined by a shuffle instead of a broadcast.
 SMALL = 8 << 20
+#: Rules without a literal that are run in one expression.
+BLOCK = 200
 
 
 def rule_frame(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
@@ -79,25 +112,27 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = RULES) -> Data
 
     rules: Rules, or a table of them (rule_id, action, name, pattern, tokens). The longest listed rule that
     fits decides (equal lengths: the smallest rule_id); else an unlisted pattern that fits gives its action,
-    block before allow; else allow. Without `://`, and for null, host and path are empty and nothing fits.
+    block before allow; else allow. Rules without a literal are read by the driver and run on every URL, in blocks. Without `://`, and for null, host and path are empty and nothing fits.
     Repeated rows and null page_ids stay; an empty table gives no rows. Other columns are not read.
     """
     spark = prepare(pages.sparkSession)
     filed = rules if isinstance(rules, DataFrame) else rule_frame(spark, rules)
-    held, loose = filed.agg(F.coalesce(F.sum(F.length("pattern") + 100), F.lit(0)), F.collect_list(F.when(F.size("tokens") == 0, F.struct("rule_id", "action", "name", "pattern")))).first()
+    bare = F.size("tokens") == 0
+    held, with_grams, without = filed.agg(F.coalesce(F.sum(F.length("pattern") + 100), F.lit(0)), F.coalesce(F.bool_or(F.exists("tokens", lambda t: t.startswith(GRAM))), F.lit(False)), F.count_if(bare)).first()
+    loose = filed.where(bare).select("rule_id", "action", "name", "pattern").collect() if without else []  # of a stated set of rules
     small = (lambda df: F.broadcast(df)) if held < SMALL else (lambda df: df)
 
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"))
     urls = rows.where("url is not null").groupBy("url").agg(F.count("*").alias("n"))
     urls = cut(urls.select("url", F.concat(host_of(F.col("url")), path_of(F.col("url"))).alias("place"), "n"))
-    tokens = urls.select("url", "place", F.explode(url_tokens(F.col("place"))).alias("token"))
+    tokens = urls.select("url", "place", F.explode(url_tokens(F.col("place"), with_grams)).alias("token"))
     literal = filed.select("rule_id", F.explode("tokens").alias("token"))
     used = tokens.select("token").join(small(literal.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("n"))
     rarest = literal.join(used, "token", "left").groupBy("rule_id").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
     index = cut(filed.join(rarest, "rule_id").select("token", "rule_id", "action", "name", "pattern"))
     fitting = tokens.join(small(index), "token").where(F.expr("rlike(place, pattern)")).select("url", "rule_id", "action", "name")
-    if loose:
-        rest = F.array(*(F.when(F.col("place").rlike(r["pattern"]), F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["action"]).alias("action"), F.lit(r["name"]).cast("string").alias("name"))) for r in loose))
+    for at in range(0, len(loose), BLOCK):
+        rest = F.array(*(F.when(F.col("place").rlike(r["pattern"]), F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["action"]).alias("action"), F.lit(r["name"]).cast("string").alias("name"))) for r in loose[at : at + BLOCK]))
         fitting = fitting.unionByName(urls.select("url", F.inline(F.array_compact(rest))))
     longest = F.max_by(F.struct("name", "action"), F.when(F.col("name").isNotNull(), F.struct(F.length("name"), -F.col("rule_id"))))
     found = fitting.groupBy("url").agg(longest.alias("best"), F.max(F.when(F.col("name").isNull(), F.col("action"))).alias("other"))

@@ -1,6 +1,8 @@
 """Shards, lines, URLs, grades and mixes."""
 
 import hashlib
+import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -339,6 +341,59 @@ def test_mix(spark):
         assert abs(sum(len((m[1] or "").split()) for m in mix if m[2] == s) - want[s]) <= largest[s]
 
 
+def small(text):
+    return "".join(c.lower() if c.isascii() else c for c in text)
+
+
+def fits_filter(line, place):
+    """Whether a filter line fits a place, by trying every start, character by character."""
+    line, place = small(line.removeprefix("@@")), small(place)
+    host = len(place.partition("/")[0])
+    if line.startswith("||"):
+        line, starts = line[2:], [0] + [i + 1 for i in range(host) if place[i] == "."]
+    elif line.startswith("|"):
+        line, starts = line[1:], [0]
+    else:
+        starts = range(len(place) + 1)
+    anchored = line.endswith("|")
+    line = line[:-1] if anchored else line
+    reached = set(starts)
+    for c in line:
+        if c == "*":
+            reached = set(range(min(reached), len(place) + 1)) if reached else set()
+        elif c == "^":
+            # The end is a separator that takes nothing.
+            reached = {i + 1 for i in reached if i < len(place) and not (place[i].isascii() and (place[i].isalnum() or place[i] in "_.%-"))} | ({len(place)} & reached)
+        else:
+            reached = {i + 1 for i in reached if i < len(place) and place[i] == c}
+    return len(place) in reached if anchored else bool(reached)
+
+
+def test_filter_lists(spark):
+    """Ten thousand filter lines with wildcards and anchors, against trying each on each URL."""
+    draw = random.Random(11)
+    names = ["ads", "track", "banner", "pix", "shop", "news", "cdn", "a1", "x", "promo9", "é", "\u212a"]
+
+    def text(parts):
+        return "".join(draw.choice(names) + draw.choice(parts) for _ in range(draw.randint(1, 3)))
+
+    lines_of_filters = [draw.choice(["", "", "@@"]) + draw.choice(["", "|", "||"]) + draw.choice(["", "", f"site{i}"]) + text([".", "/", "*", "^", "-", "", "?"]) + draw.choice(["", "|", "^", "*", str(i)]) for i in range(10_000)]
+    places = [text([".", "-", ""]) + draw.choice([".net", ".ORG", f".site{draw.randrange(10_000)}"]) + "/" + text(["/", "-", "_", ".", "K", "%"]) for _ in range(150)]
+    bare = [draw.choice(["", "@@"]) + a + b for a in "qjzx-._" for b in "abcdefghijklmnopqrstuvwxyz0123456789|^"]  # without literals: more than a block
+    pages = spark.createDataFrame([(i, "http://" + p) for i, p in enumerate(places)], "page_id long, url string")
+    for own in (lines_of_filters, lines_of_filters[5::50], bare):
+        rules = tuple(map(urls.Rule.filtered, own))
+        assert (own is bare and sum(not r.tokens for r in rules) > urls.BLOCK) or all(r.tokens for r, line in zip(rules, own, strict=True) if re.search("[a-z0-9]{3}", line))
+        listed = tuple(urls.Rule(r.action, line, r.pattern, r.tokens) for r, line in zip(rules, own, strict=True))
+        want = {}
+        for place in (small(p.partition("/")[0]) + "/" + p.partition("/")[2] for p in places):
+            fits = [(len(line), -i) for i, line in enumerate(own) if fits_filter(line, place)]
+            want[place] = own[-max(fits)[1]] if fits else None
+        got = {(r.host + r.path): (r.rule, r.verdict) for r in urls.judge(pages, listed).collect()}
+        assert got == {place: (line, "allow" if line is None or line.startswith("@@") else "block") for place, line in want.items()}
+        assert len({*got.values()}) > 10
+
+
 def test_mix_is_unbiased(spark):
     rows = [(i, "w " * (1 + i % 5), "a" if i < 150 else "b") for i in range(300)]
     total = Counter()
