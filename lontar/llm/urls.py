@@ -117,9 +117,9 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = RULES) -> Data
     """
     spark = prepare(pages.sparkSession)
     filed = rules if isinstance(rules, DataFrame) else rule_frame(spark, rules)
-    bare = F.size("tokens") == 0
-    held, with_grams, without = filed.agg(F.coalesce(F.sum(F.length("pattern") + 100), F.lit(0)), F.coalesce(F.bool_or(F.exists("tokens", lambda t: t.startswith(GRAM))), F.lit(False)), F.count_if(bare)).first()
-    loose = filed.where(bare).select("rule_id", "action", "name", "pattern").collect() if without else []  # of a stated set of rules
+    bare = F.when(F.size("tokens") == 0, F.struct("rule_id", "action", "name", "pattern"))
+    # Of rules, a stated set, never of pages.
+    held, with_grams, loose = filed.agg(F.coalesce(F.sum(F.length("pattern") + 100), F.lit(0)), F.coalesce(F.bool_or(F.exists("tokens", lambda t: t.startswith(GRAM))), F.lit(False)), F.collect_list(bare)).first()
     small = (lambda df: F.broadcast(df)) if held < SMALL else (lambda df: df)
 
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"))
