@@ -92,6 +92,7 @@ def test_a_failed_write_leaves_no_file(spark, tmp_path):
     bundle_files.register(spark)
     fails = F.when(F.col("id") == 90, F.raise_error(F.lit("no"))).otherwise("x\n").cast("string")
     rows = spark.range(100).repartitionByRange(4, "id").sortWithinPartitions("id").select(F.concat(F.lit("f"), (F.col("id") % 100 / 10).cast("int").cast("string")).alias("file"), F.col("id").cast("string").alias("pos"), fails.alias("text"))
+    (tmp_path / "w").mkdir()  # the write may fail before any task makes it
     with pytest.raises(Exception):
         rows.write.format("lontar_files").mode("append").save(str(tmp_path / "w"))
     seen = lambda: [f for f in os.listdir(tmp_path / "w") if not f.startswith("_pending-")]  # noqa: E731  other tasks may be killed later
