@@ -545,12 +545,21 @@ v AS (SELECT s_suppkey, m.*, CASE places WHEN 0 THEN round(s_acctbal) ELSE round
 w AS (SELECT *, translate(CASE places WHEN 0 THEN format('{{:,.0f}}', abs(x)) ELSE format('{{:,.2f}}', abs(x)) END, ',.' || CASE locale WHEN 'my' THEN '0123456789' ELSE '' END, marks || CASE locale WHEN 'my' THEN '၀၁၂၃၄၅၆၇၈၉' ELSE '' END) AS body FROM v)
 SELECT s_suppkey, locale, CASE WHEN x < 0 AND locale <> 'lo' THEN '-' ELSE '' END || before || CASE WHEN x < 0 AND locale = 'lo' THEN '-' ELSE '' END || body || after AS money FROM w"""
 
-_UNITS_OF_TIME = [("year", 31_536_000_000, "ปี", "ที่แล้ว"), ("month", 2_592_000_000, "เดือน", "ที่ผ่านมา"), ("week", 604_800_000, "สัปดาห์", "ที่ผ่านมา"), ("day", 86_400_000, "วัน", "ที่ผ่านมา")]
+_UNITS_OF_TIME = [
+    ("year", 31_536_000_000, "ปี", "ที่แล้ว"), ("month", 2_592_000_000, "เดือน", "ที่ผ่านมา"), ("week", 604_800_000, "สัปดาห์", "ที่ผ่านมา"), ("day", 86_400_000, "วัน", "ที่ผ่านมา"),
+    ("hour", 3_600_000, "ชั่วโมง", "ที่ผ่านมา"), ("minute", 60_000, "นาที", "ที่ผ่านมา"), ("second", 1000, "วินาที", "ที่ผ่านมา"),
+]
+#: Spans that have words of their own.
+_NAMED_SPANS = [
+    ("year", -1, "last year", "ปีที่แล้ว"), ("year", 1, "next year", "ปีหน้า"), ("month", -1, "last month", "เดือนที่แล้ว"), ("month", 1, "next month", "เดือนหน้า"), ("week", -1, "last week", "สัปดาห์ที่แล้ว"), ("week", 1, "next week", "สัปดาห์หน้า"),
+    ("day", -2, None, "เมื่อวานซืน"), ("day", -1, "yesterday", "เมื่อวาน"), ("day", 1, "tomorrow", "พรุ่งนี้"), ("day", 2, None, "มะรืนนี้"), ("second", 0, "now", "ขณะนี้"),
+]
 ORACLES["order_ages"] = f"""
-WITH u(unit, ms, thai, ago) AS ({_values(_UNITS_OF_TIME)}),
+WITH u(unit, ms, thai, ago) AS ({_values(_UNITS_OF_TIME)}), w(unit, n, en, th) AS ({_values(_NAMED_SPANS)}),
 l AS (SELECT o_custkey, CAST(epoch_us(max(o_orderdate)) // 1000 - epoch_us(TIMESTAMP '1998-12-31 00:00:00') // 1000 AS BIGINT) AS span FROM orders GROUP BY o_custkey),
-p AS (SELECT o_custkey, span, arg_max(u, u.ms) AS u FROM l JOIN u ON abs(span) >= u.ms GROUP BY ALL),
-n AS (SELECT o_custkey, u.unit AS unit, u.thai AS thai, u.ago AS ago, CAST(floor(CAST(span AS DOUBLE) / u.ms + 0.5) AS BIGINT) AS n FROM p)
+p AS (SELECT o_custkey, span, arg_max(u, u.ms) AS u FROM l LEFT JOIN u ON abs(span) >= u.ms OR (span IS NOT NULL AND u.unit = 'second') GROUP BY ALL),
+n AS (SELECT o_custkey, u.unit AS unit, u.thai AS thai, u.ago AS ago, CAST(floor(CAST(span AS DOUBLE) / u.ms + 0.5) AS BIGINT) AS n FROM p),
+c AS (SELECT n.*, format('{{:,}}', abs(n.n)) AS size, w.en AS own_en, w.th AS own_th FROM n LEFT JOIN w ON w.unit = n.unit AND w.n = n.n)
 SELECT o_custkey,
-  CASE WHEN n = -1 AND unit = 'day' THEN 'yesterday' WHEN n = 1 AND unit = 'day' THEN 'tomorrow' WHEN n = -1 THEN 'last ' || unit WHEN n = 1 THEN 'next ' || unit WHEN n < 0 THEN -n || ' ' || unit || 's ago' ELSE 'in ' || n || ' ' || unit || 's' END AS en,
-  CASE WHEN n = -1 AND unit = 'day' THEN 'เมื่อวาน' WHEN n = 1 AND unit = 'day' THEN 'พรุ่งนี้' WHEN n = -1 THEN thai || 'ที่แล้ว' WHEN n = 1 THEN thai || 'หน้า' WHEN n < 0 THEN -n || ' ' || thai || ago ELSE 'ในอีก ' || n || ' ' || thai END AS th FROM n"""
+  coalesce(own_en, CASE WHEN n < 0 THEN '' ELSE 'in ' END || size || ' ' || unit || CASE WHEN abs(n) = 1 THEN '' ELSE 's' END || CASE WHEN n < 0 THEN ' ago' ELSE '' END) AS en,
+  coalesce(own_th, CASE WHEN n < 0 THEN '' ELSE 'ในอีก ' END || size || ' ' || thai || CASE WHEN n < 0 THEN ago ELSE '' END) AS th FROM c"""
