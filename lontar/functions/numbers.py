@@ -53,8 +53,10 @@ def format_currency_for_country(spark: SparkSession, value: Column, country: str
 
 
 def format_percent(spark: SparkSession, value: Column, locale: str, native_digits: bool = False) -> Column:
+    """Whole percents, half away from zero by the value's decimals: 0.285 is 29%, though a hundred of that double are less than 28.5."""
     data = cldr.read(spark, R.resolve(locale).code)
-    out = _signed(value * 100, 0, _body(value * 100, data, 0, 0), data.percent)
+    whole = F.round(F.round(value.cast("double"), 2) * 100, 0)
+    out = _signed(whole, 0, _body(whole, data, 0, 0), data.percent)
     return to_native_digits(out, locale) if native_digits else out
 
 

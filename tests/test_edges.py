@@ -43,3 +43,11 @@ def test_ages_of_hours_and_of_two_days(spark, tables):
     sql = f"SELECT CAST(i AS BIGINT) AS o_orderkey, CAST(i AS BIGINT) AS o_custkey, TIMESTAMP '1998-12-31 00:00:00' + to_hours(h) AS o_orderdate FROM (VALUES {rows}) t(i, h)"
     found = {r["o_custkey"]: r for r in agrees(spark, tables(orders=sql), "order_ages")}
     assert [found[i]["en"] for i in (0, 1, 2, 8)] == ["now", "in 1 hour", "1 hour ago", "2 days ago"] and found[8]["th"] == "เมื่อวานซืน"
+
+
+_BALANCES = "SELECT CAST(row_number() OVER () AS BIGINT) AS s_suppkey, 's' AS s_name, CAST(0 AS INTEGER) AS s_nationkey, CAST(v AS DOUBLE) AS s_acctbal FROM (VALUES {}) t(v)"
+
+
+def test_percents_of_halves(spark, tables):
+    balances = _BALANCES.format(", ".join(f"({v})" for v in (28.5, -14.5, -100.5, 101.5, 0.5, -0.49, 0)))
+    assert {r["share"] for r in agrees(spark, tables(supplier=balances), "plain_numbers")} >= {"29%", "-15%", "-101%", "102%"}
