@@ -61,12 +61,13 @@ def format_percent(spark: SparkSession, value: Column, locale: str, native_digit
 
 
 def format_compact(spark: SparkSession, value: Column, locale: str, native_digits: bool = False) -> Column:
-    """Short forms of thousands and more; two digits at least, no fraction from 100 on."""
+    """Short forms of thousands and more; two digits at least, no fraction from 100 on. What rounds up to the next short form has that: 999,500 is 1M."""
     data = cldr.read(spark, R.resolve(locale).code, "compact")
     size = F.abs(value.cast("double"))
-    # The power of ten picks a scale and what stands around the digits.
+    # The power of ten, of what is left when the rest is rounded, picks a scale and what stands around the digits.
     steps = [(1.0, "", ""), *((scale, before, after) for _, scale, before, after in data.compact)]
-    power = F.when(size >= 1000, F.least(F.lit(len(steps)), F.length(F.floor(size).cast("decimal(38,0)").cast("string")) - 2)).otherwise(1)
+    starts = [first - steps[i][0] / 2 for i, (first, *_) in enumerate(data.compact)]
+    power = F.size(F.filter(F.array(*map(F.lit, starts)), lambda start: start <= size)) + 1
     scale, before, after = (F.element_at(F.array(*map(F.lit, column)), power) for column in zip(*steps, strict=True))
     part = size / scale
     body = F.when(F.round(part, 1) < 100, _body(F.round(part, 1), data, 0, 1)).otherwise(_body(part, data, 0, 0))

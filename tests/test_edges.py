@@ -5,8 +5,10 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_queries import rows_of
 
+from lontar.functions import numbers
 from lontar.plans import event_queries, file_queries, table_queries  # noqa: F401  add their queries to those
 from lontar.plans.queries import ORACLES, QUERIES
 
@@ -51,3 +53,11 @@ _BALANCES = "SELECT CAST(row_number() OVER () AS BIGINT) AS s_suppkey, 's' AS s_
 def test_percents_of_halves(spark, tables):
     balances = _BALANCES.format(", ".join(f"({v})" for v in (28.5, -14.5, -100.5, 101.5, 0.5, -0.49, 0)))
     assert {r["share"] for r in agrees(spark, tables(supplier=balances), "plain_numbers")} >= {"29%", "-15%", "-101%", "102%"}
+
+
+def test_short_numbers_that_round_up_to_the_next_form(spark, tables):
+    balances = _BALANCES.format(", ".join(f"({v})" for v in (999.49, 999.5, -999.99, 0.9994, 0.9996, 1150, 99.96, 0, 2850)))
+    found = [r["compact"] for r in agrees(spark, tables(supplier=balances), "short_numbers") if r["locale"] == "en"]
+    assert found == ["999K", "1M", "-1M", "999", "1K", "1.2M", "100K", "0", "2.9M"]
+    row = spark.range(1).select(*(numbers.format_compact(spark, F.lit(v), "en").alias(str(i)) for i, v in enumerate((999.4, 999.5, 999_499.0, 999_500.0, 999_950_000.0, 1234.0)))).first()
+    assert list(row) == ["999", "1K", "999K", "1M", "1B", "1.2K"]
