@@ -26,15 +26,34 @@ def _bare(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if not 0x300 <= ord(c) <= 0x36F).replace("đ", "d").replace("Đ", "D")
 
 
+#: First points of blocks that classes of many ranges are parted by.
+BLOCKS = (0, 0x300, 0x370, 0x590, 0x900, 0xB00, 0xD00, 0xE00, 0x1000, 0x10A0, 0x1100, 0x1200, 0x1700, 0x1AB0, 0x1B00, 0x1DC0, 0x1E00, 0x1F00, 0x2000, 0x2C00, 0x3000, 0x3100, 0xA000, 0xAC00, 0xD7A4, 0xF900, 0xFB00, 0x10000, 0x110000)
+
+
 def _ranges(points: list[int]) -> str:
-    """A class of code points for regular expressions of the JVM."""
-    spans: list[list[int]] = []
-    for c in points:
-        if spans and spans[-1][1] == c - 1:
-            spans[-1][1] = c
-        else:
-            spans.append([c, c])
-    return "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans)
+    """A class of code points, in ascending order, for regular expressions of the JVM.
+
+    The JVM tries the ranges of a class one after the other. Those of a block stand behind the block's own range, so that
+    a character meets those of its block alone.
+    """
+    out, at = "", 0
+    for first, end in zip(BLOCKS, BLOCKS[1:]):
+        spans: list[list[int]] = []
+        while at < len(points) and points[at] < end:
+            if spans and spans[-1][1] == points[at] - 1:
+                spans[-1][1] = points[at]
+            else:
+                spans.append([points[at], points[at]])
+            at += 1
+        own = "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans)
+        if own:
+            out += f"[\\x{{{first:x}}}-\\x{{{end - 1:x}}}&&[{own}]]" if len(spans) > 2 else own
+    return out
+
+
+def _high(pattern: str, least: int) -> str:
+    """A pattern whose first character is `least` or above, which is asked first."""
+    return f"(?=[\\x{{{least:x}}}-\\x{{10ffff}}])(?:{pattern})"
 
 
 @cache
@@ -54,7 +73,7 @@ def _folding() -> tuple[str, str, str]:
         elif bare != c:
             rest.append(code)
     loose = "".join(map(chr, range(0x300, 0x370)))
-    return "".join(source) + loose, "".join(target), f"[{_ranges(rest)}]|[{_ranges(marks)}][\\x{{300}}-\\x{{36f}}]*[{_ranges(marks)}]"
+    return "".join(source) + loose, "".join(target), _high(f"[{_ranges(rest)}]|[{_ranges(marks)}][\\x{{300}}-\\x{{36f}}]*[{_ranges(marks)}]", min(rest + marks))
 
 
 @F.pandas_udf(StringType())
@@ -80,7 +99,7 @@ def slugify_vietnamese(text: Column) -> Column:
 
 @cache
 def _unsettled() -> str:
-    """A class of the characters that a text in NFC may lack or join: those with a form of their own, marks that move, and ends of pairs."""
+    """A pattern of the characters that a text in NFC may lack or join: those with a form of their own, marks that move, and ends of pairs."""
     ends = {0x1161 + i for i in range(21)} | {0x11A8 + i for i in range(27)}
     for code in range(0xC0, 0x30000):
         parts = unicodedata.decomposition(chr(code))
@@ -88,7 +107,7 @@ def _unsettled() -> str:
             ends.add(int(parts.split(" ")[1], 16))
     own = [c for c in range(0xC0, 0x30000) if not 0xD800 <= c < 0xE000 and (c in ends or unicodedata.combining(chr(c)) or unicodedata.normalize("NFC", chr(c)) != chr(c))]
     own += [c for c in range(0xE0100, 0xE0200) if unicodedata.combining(chr(c))]
-    return _ranges(own)
+    return _high(f"[{_ranges(own)}]", min(own))
 
 
 @F.pandas_udf(StringType())
@@ -98,7 +117,7 @@ def _nfc(texts: pd.Series) -> pd.Series:
 
 def normalize_nfc(text: Column) -> Column:
     """NFC, which Spark has no function of its own for. Texts without a character that NFC can change don't leave the JVM."""
-    open_ = text.rlike(f"[{_unsettled()}]")
+    open_ = text.rlike(_unsettled())
     return F.when(open_, _nfc(F.when(open_, text))).otherwise(text)
 
 

@@ -61,3 +61,18 @@ def test_short_numbers_that_round_up_to_the_next_form(spark, tables):
     assert found == ["999K", "1M", "-1M", "999", "1K", "1.2M", "100K", "0", "2.9M"]
     row = spark.range(1).select(*(numbers.format_compact(spark, F.lit(v), "en").alias(str(i)) for i, v in enumerate((999.4, 999.5, 999_499.0, 999_500.0, 999_950_000.0, 1234.0)))).first()
     assert list(row) == ["999", "1K", "999K", "1M", "1B", "1.2K"]
+
+
+def test_classes_of_many_ranges_are_parted_by_blocks():
+    import regex
+
+    from lontar.functions import scripts
+
+    points = [c for c in range(0xC0, 0x30000) if c % 7 < 2 and not 0xD800 <= c < 0xE000]
+    made = scripts._ranges(points)
+    at_top = regex.sub(r"\[[^\[\]]*&&\[[^\[\]]*\]\]", "B", made)  # blocks, each behind one range
+    assert len(regex.findall(r"B|\\x\{\w+\}(?:-\\x\{\w+\})?", at_top)) <= 2 * len(scripts.BLOCKS)
+    own = regex.compile("[" + regex.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{int(m[1], 16):08x}", made) + "]", regex.V1)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x30000)]))
+    assert [ord(c) for c in own.findall(every)] == points
+    assert all(p.startswith("(?=") for p in (scripts._folding()[2], scripts._unsettled()))  # what is plain is asked one thing
