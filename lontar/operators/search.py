@@ -34,7 +34,8 @@ def searched(queries: DataFrame, texts: DataFrame, index: DataFrame | None = Non
     """(query_id, id) for each of queries (query_id, text, locale) and each of texts (id, text, locale) of its locale that it finds.
 
     A query finds a text if its key is not empty and in the text's. Ids of texts are unique. index: that of the
-    texts, if it is there already. Null texts, and queries without a key, find nothing.
+    texts, if it is there already. Null texts, and queries without a key, find nothing. Keys and grams are shuffled,
+    never broadcast: a small file may hold many, and Spark rates them by the file.
     """
     keys = keyed(texts)
     index = indexed(keys, gram) if index is None else index
@@ -43,11 +44,11 @@ def searched(queries: DataFrame, texts: DataFrame, index: DataFrame | None = Non
     counts = index.groupBy("locale", "gram").agg(F.count("*").alias("n"))
     own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("query") - (gram - 1)), lambda i: F.substr(F.col("query"), i, F.lit(gram))))
     grams = long.select("query_id", "locale", "query", F.explode(own).alias("gram"))
-    rated = grams.join(counts, ["locale", "gram"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rated = grams.join(counts.hint("merge"), ["locale", "gram"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = rated.groupBy("query_id", "locale", "query").agg(F.min(F.struct("n", "gram")).alias("best")).where("best.n > 0")
-    met = index.join(rarest.select("query_id", "locale", "query", F.col("best.gram").alias("gram")), ["locale", "gram"])
+    met = index.hint("merge").join(rarest.select("query_id", "locale", "query", F.col("best.gram").alias("gram")), ["locale", "gram"])
     begun = short.select("query_id", "locale", "query", F.length("query").alias("size"))
     heads = index.select("locale", "id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(gram - 1)), lambda s: F.left("gram", s))).alias("query")).where(~F.contains("query", F.lit(END))).distinct()
-    shorts = heads.join(begun, ["locale", "query"]).select("query_id", "id")
-    found = met.select("query_id", "id", "query").join(keys.select("id", "key"), "id").where(F.contains("key", "query"))
+    shorts = heads.hint("merge").join(begun, ["locale", "query"]).select("query_id", "id")
+    found = met.select("query_id", "id", "query").join(keys.select("id", "key").hint("merge"), "id").where(F.contains("key", "query"))
     return found.select("query_id", "id").unionByName(shorts)

@@ -76,3 +76,8 @@ def test_classes_of_many_ranges_are_parted_by_blocks():
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x30000)]))
     assert [ord(c) for c in own.findall(every)] == points
     assert all(p.startswith("(?=") for p in (scripts._folding()[2], scripts._unsettled()))  # what is plain is asked one thing
+
+
+def test_keys_and_grams_are_not_broadcast(spark, sf):
+    plan = QUERIES["searched_parts"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
