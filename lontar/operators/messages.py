@@ -29,6 +29,16 @@ def _candidates(requests: DataFrame, messages: DataFrame) -> DataFrame:
     return steps.join(held, ["tag", "key"])
 
 
+def _nearest(spark, messages: DataFrame) -> DataFrame:
+    """(code, key, tag, forms): for each locale asked for, the nearest of its chain that has the key, and its forms there.
+
+    As large as the messages times the locales that fall back on them; requests are joined with it and not grouped.
+    """
+    forms = messages.groupBy(F.col("locale").alias("tag"), "key").agg(F.collect_list(F.struct(F.col("register").alias("of_register"), "plural", "value", "ord")).alias("forms"))
+    steps = forms.join(F.broadcast(R.dim_fallback(spark).withColumnRenamed("locale", "code")), "tag")
+    return steps.groupBy("code", "key").agg(F.min_by(F.struct("tag", "forms"), "rank").alias("near")).select("code", "key", "near.*")
+
+
 def resolve_messages(requests: DataFrame, messages: DataFrame, native_digits: bool = False) -> DataFrame:
     """requests with text, matched_locale and missing.
 
@@ -42,18 +52,23 @@ def resolve_messages(requests: DataFrame, messages: DataFrame, native_digits: bo
     for name, kind in spare.items():
         if name not in requests.columns:
             requests = requests.withColumn(name, F.lit(None).cast(kind))
-    wanted = F.coalesce("register", F.lit("neutral"))
-    found = _candidates(requests, messages)
-    position = F.array_position(F.array(wanted, F.lit("neutral"), F.lit("formal"), F.lit("casual")), F.col("of_register"))
-    category = F.when(F.col("count").isNull(), "other").otherwise(plural_category(F.col("count"), F.col("tag")))
-    form = F.when(F.col("plural").isNull() | (F.col("plural") == category), 0).when(F.col("plural") == "other", 1).otherwise(2)
-    order = F.struct("rank", F.when(F.col("of_register").isNull(), 0).otherwise(position).alias("how"), form.alias("form"), "ord")
-    best = found.groupBy("request_id").agg(F.min_by(F.struct("value", "tag"), order).alias("best"))
+    own = unused_name(requests.columns, "__message")
+    position = lambda register: F.array_position(F.array(F.coalesce("register", F.lit("neutral")), F.lit("neutral"), F.lit("formal"), F.lit("casual")), register)
+    code = F.coalesce(resolve_locale(F.col("locale")), F.lit("en"))
+    forms = _nearest(requests.sparkSession, messages).select(F.struct("code", "key", "tag", "forms").alias(own))
+    held = requests.join(forms, (code == F.col(f"{own}.code")) & (F.col("key") == F.col(f"{own}.key")), "left")
+    tag = F.col(f"{own}.tag")
+    category = F.when(F.col("count").isNull(), "other").otherwise(plural_category(F.col("count"), tag))
+    held = held.withColumn(f"{own}_category", category)
+    form = lambda f: F.when(f["plural"].isNull() | (f["plural"] == F.col(f"{own}_category")), 0).when(f["plural"] == "other", 1).otherwise(2)
+    ordered = F.transform(F.col(f"{own}.forms"), lambda f: F.struct(F.when(f["of_register"].isNull(), 0).otherwise(position(f["of_register"])).alias("how"), form(f).alias("form"), f["ord"].alias("ord"), f["value"].alias("value")))
+    best = F.struct(F.array_min(ordered)["value"].alias("value"), tag.alias("tag"))
+    held = held.withColumn("best", F.when(tag.isNotNull(), best))
     symbols = unused_name(requests.columns)
     table = dim_numbers(requests.sparkSession)
     table = table.select(F.col("code").alias(f"{symbols}_code"), F.struct(*(x for x in table.columns if x != "code")).alias(symbols))
     asked_in = F.coalesce(resolve_locale(F.col("locale")), F.lit("en"))
-    out = requests.join(F.broadcast(table), asked_in == F.col(f"{symbols}_code"), "left").join(best, "request_id", "left")
+    out = held.join(F.broadcast(table), asked_in == F.col(f"{symbols}_code"), "left")
     none = F.create_map().cast("map<string,string>")
     params, numbers = F.coalesce("params", none), F.coalesce("numbers", F.create_map().cast("map<string,double>"))
     numbers = F.map_filter(numbers, lambda k, _: ~F.map_contains_key(params, k))

@@ -81,3 +81,15 @@ def test_classes_of_many_ranges_are_parted_by_blocks():
 def test_keys_and_grams_are_not_broadcast(spark, sf):
     plan = QUERIES["searched_parts"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_requests_are_not_grouped_or_sorted(spark, sf):
+    plan = QUERIES["resolved_messages"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(request_id" not in plan and "Sort [request_id" not in plan
+
+
+def test_long_texts_are_not_remembered():
+    from lontar.functions import clusters as C
+
+    before = C._remembered.cache_info().currsize
+    assert len(C.clusters("กา" * 500, "Thai")) == 500 and C._remembered.cache_info().currsize == before
