@@ -93,3 +93,27 @@ def test_long_texts_are_not_remembered():
 
     before = C._remembered.cache_info().currsize
     assert len(C.clusters("กา" * 500, "Thai")) == 500 and C._remembered.cache_info().currsize == before
+
+
+def test_a_bucket_holds_many_slots():
+    import pandas as pd
+
+    from lontar.streaming.revisions import _Slots
+
+    class Held(list):
+        def exists(self):
+            return bool(self)
+
+        def get(self):
+            return iter(self)
+
+        def put(self, rows):
+            self[:] = rows
+
+    slots = _Slots()
+    slots.held = Held()
+    rows = lambda *r: pd.DataFrame([(i, k, c, "neutral", v, "u", "human", i) for i, k, c, v in r], columns=["id", "key", "locale", "register", "value", "user", "source", "at"])
+    befores = lambda *frames: {r.id: r.before for out in slots.handleInputRows((0,), iter(frames), None) for r in out.itertuples()}
+    assert befores(rows((2, "a", "th", "y"), (3, "b", "th", "p")), rows((1, "a", "th", "x"), (4, None, "th", None))) == {1: None, 2: "x", 3: None, 4: None}
+    assert befores(rows((5, "b", "th", "q"), (6, "a", "vi", "z"), (7, "a", "th", None), (8, "a", "th", "w"), (9, None, "th", "n"))) == {5: "p", 6: None, 7: "y", 8: None, 9: None}
+    assert sorted(slots.held, key=str) == sorted([("a", "th", "neutral", "w"), ("b", "th", "neutral", "q"), ("a", "vi", "neutral", "z"), (None, "th", "neutral", "n")], key=str)
