@@ -1,9 +1,12 @@
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lontar.llm import minhash
+from lontar.llm.cluster import cut
 from lontar.llm.words import bag
 
 SCHEMA = "doc_id long, text string, lang string, key long, component long"
@@ -122,3 +125,20 @@ def test_one_rule_for_groups_of_every_size(spark, monkeypatch):
         found.append(result(spark, rows, bands=6, rows=6))
     assert all(f == found[0] for f in found) and 1 < len({c for _, c, _ in found[0]}) < 70
     assert {d: c for d, c, _ in found[0]} != brute(rows)
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    """What a step shuffled goes when the step is kept, so that disks don't hold the shuffles of all steps."""
+    def held():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size())}
+
+    before, rows = held(), spark.range(1000).repartition(3)
+    got = cut(rows.groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):  # files are removed beside the query
+        left = {f for f in held() - before if f.startswith("shuffle_")}
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and sorted(r["count"] for r in got.collect()) == [142] * 1 + [143] * 6
+    assert cut(rows.groupBy().count()).first()[0] == 1000
