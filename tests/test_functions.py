@@ -346,3 +346,10 @@ def test_legality_is_linear_and_that_of_pairs(spark):
             want = {at: names for at in range(len(text) + 1) if (names := plain.illegal_reasons(text, at, kind))}
             assert r.at == list(want) and r.n == len(want) and {x.at: x.reasons for x in r.judged} == want, ascii(text)
             assert {x.reason: x.n for x in r.by} == {name: n for name in legality.reasons(kind) if (n := sum(name in x for x in want.values()))}
+
+
+def test_sentences_are_counted_as_they_are_found(spark):
+    given = [None, "", " ", "One. Two 3.14, or 2.5! Three?! \"Four.\" five", "a.b.1.2.c", "...", "1.", ".1", "ဟုတ်။ ไทย। x…y", "A-b's 1,000.5 c’d— e\n\nF."]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string").orderBy("i")
+    found = frame.select(text.sentences(F.col("t")).alias("s"), text.sentence_count(F.col("t")).alias("n"), text.spaced_words(F.col("t")).alias("w"), text.spaced_word_count(F.col("t")).alias("m")).collect()
+    assert found[0].n is None and all(r.n == len(r.s) and r.m == len(r.w) and "".join(r.s) == t for r, t in zip(found[1:], given[1:], strict=True))
