@@ -66,19 +66,22 @@ def placed(texts: DataFrame, rounds: int = 50) -> DataFrame:
 
     Keys are set in order of their names, part by part. Where a text stands in a branch's way, the key's last part goes
     beside it; a text set where a branch or another text stands takes its place. Such conflicts may give others, so
-    places are found again until none changes; without any, once.
+    places are found again until none changes; without any, once. Keys are shuffled and never broadcast, however small
+    their file: compressed, a table of millions of keys looks small.
     """
     rows = texts.select(*_FILE, "name", "value", F.split("name", r"\.").alias("parts")).withColumn("path", F.col("parts"))
     inner = F.sequence(F.lit(1), F.size("parts") - 1)
     for _ in range(rounds):
-        leaves = rows.groupBy(*_FILE, "path").agg(F.min("name").alias("first")).withColumnRenamed("path", "branch")
         ways = rows.where(F.size("parts") > 1).select(*_FILE, "name", F.explode(inner).alias("depth"), "parts").withColumn("branch", F.slice("parts", F.lit(1), F.col("depth")))
-        hit = ways.join(leaves, [*_FILE, "branch"]).where(F.col("first") < F.col("name")).groupBy(*_FILE, "name").agg(F.min("depth").alias("stop"))
-        if hit.isEmpty() and rows.where("path != parts").isEmpty():
+        # Texts that stand where the branch of a later key does; mostly there is none, and no key has to be held against them.
+        both = rows.select(*_FILE, F.col("path").alias("branch"), F.col("name").alias("first"), F.lit(None).cast("string").alias("last")).unionByName(ways.select(*_FILE, "branch", F.lit(None).cast("string").alias("first"), F.col("name").alias("last")))
+        leaves = both.groupBy(*_FILE, "branch").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first < last").drop("last")
+        hit = ways.join(leaves.hint("merge"), [*_FILE, "branch"]).where(F.col("first") < F.col("name")).groupBy(*_FILE, "name").agg(F.min("depth").alias("stop"))
+        if leaves.isEmpty() and rows.where("path != parts").isEmpty():
             return rows.drop("parts")
         beside = F.concat(F.slice("parts", F.lit(1), F.col("stop") - 1), F.slice("parts", F.lit(-1), F.lit(1)))
-        after = rows.drop("path").join(hit, [*_FILE, "name"], "left").withColumn("path", F.when(F.col("stop").isNull(), F.col("parts")).otherwise(beside)).drop("stop")
-        same = rows.select(*_FILE, "name", F.col("path").alias("was")).join(after, [*_FILE, "name"]).where("was != path").isEmpty()
+        after = rows.drop("path").join(hit.hint("merge"), [*_FILE, "name"], "left").withColumn("path", F.when(F.col("stop").isNull(), F.col("parts")).otherwise(beside)).drop("stop")
+        same = rows.select(*_FILE, "name", F.col("path").alias("was")).join(after.hint("merge"), [*_FILE, "name"]).where("was != path").isEmpty()
         rows = after.select(*rows.columns)
         if same:
             break
@@ -87,8 +90,8 @@ def placed(texts: DataFrame, rounds: int = 50) -> DataFrame:
     last = rows.groupBy(*_FILE, "path").agg(F.max("name").alias("name"), F.max_by("value", "name").alias("value"))
     over = last.select(*_FILE, F.col("path").alias("branch"), F.col("name").alias("by"))
     ways = last.select(*_FILE, "name", "path", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("depth")).where(F.col("depth") < F.size("path"))
-    gone = ways.withColumn("branch", F.slice("path", F.lit(1), F.col("depth"))).join(over, [*_FILE, "branch"]).where("by > name").select(*_FILE, "path").distinct()
-    return last.join(gone, [*_FILE, "path"], "left_anti").select(*_FILE, "name", "value", "path")
+    gone = ways.withColumn("branch", F.slice("path", F.lit(1), F.col("depth"))).join(over.hint("merge"), [*_FILE, "branch"]).where("by > name").select(*_FILE, "path").distinct()
+    return last.join(gone.hint("merge"), [*_FILE, "path"], "left_anti").select(*_FILE, "name", "value", "path")
 
 
 def edges(rows: DataFrame) -> DataFrame:

@@ -61,11 +61,13 @@ class BundleReader(DataSourceReader):
             with system.open_input_stream(f"{inner}/{name}") as stream:
                 body = stream.read()
             try:
-                bundle = json.loads(body.decode("utf-8"))
+                body = body.decode("utf-8")
+                bundle = json.loads(body)
                 if not isinstance(bundle, dict):
                     raise ValueError("it holds no object")
             except ValueError as error:
                 raise ValueError(f"bundle {name} is not valid JSON: {error}") from None
+            del body  # the file's text isn't held beside its keys
             project, _, locale = name.removesuffix(".json").rpartition("/")
             for row in flatten(bundle, self.message_rule):
                 yield (project or None, locale, *row)
@@ -184,6 +186,7 @@ def read_bundle_files(spark: SparkSession, folder: str, message_rule: bool = Tru
 
     register(spark)
     found = spark.read.format("lontar_bundles").option("messageRule", str(message_rule).lower()).load(folder)
-    best = found.groupBy("project", "locale", "key").agg(F.max("is_flat").alias("best")).select(F.col("project").alias("p"), F.col("locale").alias("l"), F.col("key").alias("k"), "best")
-    same = F.col("project").eqNullSafe(F.col("p")) & (F.col("locale") == F.col("l")) & (F.col("key") == F.col("k")) & (F.col("is_flat") == F.col("best"))
-    return found.join(best, same, "left_semi").drop("is_flat")
+    # Keys in namespaces hold a point, so only flat ones with a point are looked for among them.
+    flat = found.where(F.col("is_flat") & F.contains("key", F.lit("."))).select(F.col("project").alias("p"), F.col("locale").alias("l"), F.col("key").alias("k")).distinct()
+    same = ~F.col("is_flat") & F.col("project").eqNullSafe(F.col("p")) & (F.col("locale") == F.col("l")) & (F.col("key") == F.col("k"))
+    return found.join(flat.hint("merge"), same, "left_anti").drop("is_flat")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lontar.operators import export, store
+from lontar.plans import file_queries
 from lontar.sources import bundle_files
 
 
@@ -88,6 +89,25 @@ def test_bundles_are_written_and_read(spark, tmp_path, monkeypatch):
         bundle_files.read_bundle_files(spark, folder).collect()
 
 
+def test_keys_are_dealt_out_and_never_broadcast(spark, sf, tmp_path, monkeypatch):
+    """However large or small the file of the parts is, a task has some of them and none has all."""
+    monkeypatch.setattr(file_queries, "PARTS", 10)
+    keys = file_queries._part_keys(spark, sf)
+    held = [r.n for r in keys.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(held) == spark.read.parquet(f"{sf}/part.parquet").count() and max(held) < 40
+    clash = spark.createDataFrame([("p", "en", "a", "1"), ("p", "en", "a.b", "2"), ("p", "en", "x", "4")], "project_id string, locale string, name string, value string")
+    folder = tmp_path / "flat"
+    (folder / "p").mkdir(parents=True)
+    (folder / "p/vi.json").write_text('{"x.y": "flat", "x": {"y": "deep", "z": "own"}, "y": "top"}')
+    read = bundle_files.read_bundle_files(spark, str(folder))
+    places = export.placed(clash)
+    for frame in (places, read):
+        frame.collect()
+        assert "BroadcastHashJoin" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.name, tuple(r.path)) for r in places.collect()) == [("a", ("a",)), ("a.b", ("b",)), ("x", ("x",))]
+    assert sorted((r.key, r.value) for r in read.collect()) == [("x.y", "flat"), ("x.z", "own"), ("y", "top")]
+
+
 def test_a_failed_write_leaves_no_file(spark, tmp_path):
     bundle_files.register(spark)
     fails = F.when(F.col("id") == 90, F.raise_error(F.lit("no"))).otherwise("x\n").cast("string")
