@@ -117,7 +117,7 @@ def _nfc(texts: pd.Series) -> pd.Series:
 
 def normalize_nfc(text: Column) -> Column:
     """NFC, which Spark has no function of its own for. Texts without a character that NFC can change don't leave the JVM."""
-    open_ = text.rlike(_unsettled())
+    open_ = (F.length(text) != F.octet_length(text)) & ~text.rlike(r"\A[\x{0}-\x{2ff}]*+\z") & text.rlike(_unsettled())
     return F.when(open_, _nfc(F.when(open_, text))).otherwise(text)
 
 

@@ -62,6 +62,15 @@ def test_rules(spark, locale, value, rule):
     assert [r.rule for r in lint.lint(long(spark, [(locale, "k", value)]), None).collect()] == ([rule] if rule else [])
 
 
+def test_rules_look_for_what_patterns_hold_before_they_try_them(spark):
+    texts = [("id", "Buku(S) ada"), ("id", "Buku(eS)"), ("id", "Buku( s)(ess)"), ("id", "5 €"), ("en", "5 £"), ("id", "$"), ("vi", "{count}  x"), ("vi", "{count} "), ("th", "ไปค่ะ\u00a0"), ("th", "คะไป"), ("th", "𝒂" * 21), ("th", "ก" * 40), ("vi", "ca\u0301 đẹp"), ("vi", "cá – “đẹp”"), ("vi", "\u212b")]
+    rows = long(spark, [(code, str(i), text) for i, (code, text) in enumerate(texts)])
+    found = lint.lint(rows, None)
+    assert sorted((int(r.key), r.rule) for r in found.collect()) == [(0, "hardcoded-plural"), (1, "hardcoded-plural"), (3, "hardcoded-currency"), (5, "hardcoded-currency"), (6, "missing-classifier"), (8, "gendered-particle"), (10, "no-break-opportunity"), (12, "vietnamese-nfc"), (14, "vietnamese-nfc")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "[$€£]" not in plan and "Contains(value#" in plan and all(f", {part})" in plan for part in ("ค", "(", "{count}", "$", "€", "£"))
+
+
 def test_counts_of_issues(spark):
     found = lint.lint(long(spark, [("en", "a", "Pay {x}"), ("en", "b", "Long text"), ("vi", "a", "Trả {y}"), ("vi", "b", "Long text"), ("th", "a", "จ่าย {x}")]))
     assert {(r.locale, r.errors, r.warnings) for r in lint.issue_counts(found).collect()} == {("vi", 2, 1), ("th", 1, 0)}
