@@ -10,8 +10,11 @@ ranks of a length go to which sequences; ranks are numbered in salted groups, ne
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property, partial
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +27,19 @@ from .cluster import cut, prepare, told_apart
 LENGTH = 2048
 #: Groups in which equal lengths are numbered.
 SALTS = 1024
-REMEMBERED = 120_000
+#: Words that a Python worker remembers, none longer than LONG; texts are encoded together up to so many characters.
+REMEMBERED, LONG, TOGETHER = 120_000, 64, 1 << 18
 
 
 class Encoder:
     """Ids of the tokenizer's file, as little-endian unsigned 32-bit bytes.
 
-    A single space before a word starts a new piece for this tokenizer, so texts with single spaces
-    are encoded word by word, and words seen before come from a table of bounded size. Other white
-    space, texts that hold special tokens and letters outside Latin script go to the tokenizer whole.
+    A single space before a word starts a new piece for this tokenizer, and a single line feed is a
+    piece of its own, so texts with single ones are encoded word by word. Words seen before come from
+    a table of bounded size; all others of many texts are encoded in one go and told apart by their
+    first byte. Texts with line feeds beside other white space are encoded whole by the same library;
+    further white space, texts that hold special tokens and letters outside Latin script go to the
+    tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -40,59 +47,105 @@ class Encoder:
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.fast = partial(tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy, disallowed_special=())
+        #: Ids that begin with a space or a line feed, as the first of each word does and no other.
+        self.opens = np.zeros(max(ranks.values()) + 1, bool)
+        self.opens[[i for token, i in ranks.items() if token[:1] in b" \n"]] = True
         self.known: dict[str, bytes] = {}
         self.same = os.path.basename(path) == "byte_bpe_50k.json"
 
+    @cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def exact(self, text: str) -> bytes:
         return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def word(self, word: str) -> bytes:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            found = self.known[word] = np.asarray(self.fast(" " + word), "<u4").tobytes()
-        return found
+    def library(self, text: str) -> np.ndarray:
+        return self.fast(text).astype("<u4", copy=False)
+
+    def learn(self, new: list[str]) -> None:
+        """Put words into the table; those that begin with a line feed have no space before them."""
+        ids = self.library("".join(w if w[0] == "\n" else " " + w for w in new))
+        raw, ends = ids.tobytes(), [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
+        self.known.update(zip(new, (raw[a:b] for a, b in pairwise(ends)), strict=True))
+
+    def plain(self, text: str) -> bool:
+        """Whether the library of this class gives the tokenizer's ids."""
+        return self.same and not _OTHER.search(text) and "  " not in text and " " not in (text[:1], text[-1:]) and "<|endoftext|>" not in text
+
+    @staticmethod
+    def words(text: str) -> list[str] | None:
+        """A plain text's words, each with the line feed before it and the first with one for the start; None if there are runs of white space."""
+        text = "\n" + text
+        return None if "\n\n" in text or " \n" in text or "\n " in text else text.replace("\n", " \n")[1:].split(" ")
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        plain = [self.plain(t) for t in texts]
+        divided = [self.words(t) if p else None for t, p in zip(texts, plain, strict=True)]
+        known = self.known
+        new = list(set(chain.from_iterable(filter(None, divided))).difference(known))
+        if len(known) >= REMEMBERED and 3 * len(new) > sum(len(words or ()) for words in divided):
+            known.clear()  # other words than before
+            new = list(set(chain.from_iterable(filter(None, divided))))
+        room = REMEMBERED - len(known)
+        if new:
+            self.learn(new)
+        out = []
+        for text, p, words in zip(texts, plain, divided, strict=True):
+            if words:
+                out.append(b"".join(map(known.__getitem__, words))[4:])  # without the line feed for the start
+            else:
+                out.append(self.library(text).tobytes() if p else self.exact(text))
+        for w in new:
+            if room > 0 and len(w) <= LONG:
+                room -= 1
+            else:
+                del known[w]
+        return out
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        other_script = not text.isascii() and max(text) >= "\u0250"
-        if not self.same or other_script or "  " in text or text[0] == " " or text[-1] == " " or "<|endoftext|>" in text or _ODD & set(text):
-            return self.exact(text)
-        first, *rest = text.split(" ")
-        known = self.known
-        if len(known) >= REMEMBERED:
-            known.clear()
-        try:
-            return np.asarray(self.fast(first), "<u4").tobytes() + b"".join(map(known.__getitem__, rest))
-        except KeyError:
-            return np.asarray(self.fast(first), "<u4").tobytes() + b"".join(map(self.word, rest))
+        return self.encode_all([text])[0]
 
 
-#: White space other than the space and the line feed.
-_ODD = set("\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0")
+#: White space other than the space and the line feed, and all that is beyond Latin script.
+_OTHER = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u0250-\U0010ffff]")
 _encoders: dict[str, Encoder] = {}
 
 
+def _together(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in runs of up to TOGETHER characters, or of one longer text."""
+    run, size = [], 0
+    for text in texts:
+        if run and size + len(text) > TOGETHER:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text)
+    if run:
+        yield run
+
+
 def _pieces(path: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
             _encoders[path] = Encoder(path)
-        encode = _encoders[path].encode
+        encode_all = _encoders[path].encode_all
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
                 rows: list[tuple] = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = memoryview(encode(text or "") + b"\0\0\0\0")
+                texts = [text or "" for text in part.column(1).to_pylist()]
+                for doc, own in zip(part.column(0).to_pylist(), chain.from_iterable(map(encode_all, _together(texts))), strict=True):
+                    ids = memoryview(own + b"\0\0\0\0")
                     n = len(ids) // 4
                     start, piece = 0, 0
                     while start < n:

@@ -51,6 +51,42 @@ def test_encoder_agrees_with_the_tokenizer(tokenizer):
         assert encoder.encode(text) == encoder.exact(text), repr(text)
 
 
+def test_encoder_agrees_at_line_feeds(tokenizer):
+    encoder = packing.Encoder(tokenizer)
+    rng = random.Random(7)
+    for _ in range(3000):
+        letters = rng.choice(["a \n", "a\n\n", "ab1., \n'", "aé \n.", "s't \n", "0½a_ \n", "a \n\0|"])
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 14)))
+        assert encoder.encode(text) == encoder.exact(text), repr(text)
+
+
+def test_unseen_words_are_encoded_in_one_go(tokenizer):
+    encoder = packing.Encoder(tokenizer)
+    calls, fast = [], encoder.fast
+    encoder.fast = lambda text: calls.append(text) or fast(text)
+    text = " ".join(f"w{i}x{i * 7919}" for i in range(1000)) + "\nend."
+    assert encoder.encode(text) == encoder.exact(text) and len(calls) <= 3
+    calls.clear()
+    assert encoder.encode(text) == encoder.exact(text) and len(calls) <= 1
+
+
+def test_remembered_words_are_bounded(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    encoder = packing.Encoder(tokenizer)
+    rng = random.Random(11)
+    for turn in range(60):
+        texts = [" ".join(f"{'xy'[turn // 30]}{rng.randint(0, 80)}" for _ in range(rng.randint(0, 40))) for _ in range(5)] + ["z" * 200, "", "a\n\nb", "你 好"]
+        assert encoder.encode_all(texts) == [encoder.exact(t) for t in texts]
+        assert len(encoder.known) <= 50 and max(map(len, encoder.known)) <= packing.LONG
+
+
+def test_texts_are_taken_together(monkeypatch):
+    monkeypatch.setattr(packing, "TOGETHER", 10)
+    texts = ["", "abc", "d" * 7, "e", "f" * 25, "", "g"]
+    assert list(packing._together(texts)) == [["", "abc", "d" * 7], ["e"], ["f" * 25], ["", "g"]]
+    assert list(packing._together([])) == []
+
+
 def check(rows, texts, tokenizer, most):
     exact = packing.Encoder(tokenizer).exact
     pieces = defaultdict(list)
